@@ -45,3 +45,8 @@ def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def small_side(df: DataFrame, is_small: bool) -> DataFrame:
+    """df with a broadcast hint where the caller has counted its rows; else the plain side of a join that AQE may split."""
+    return F.broadcast(df) if is_small else df

@@ -19,13 +19,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash, word_count, written
+from .common import small_side, unit_hash, word_count, written
 
 #: Parts of a source's ranking that are summed before the cut is looked for.
 SLICES = 4096
 #: No document is taken more often than this.
 MOST_COPIES = 3
 ROUNDS = 3
+#: Source tables of at most so many rows (counted) are broadcast, so that a hot source's rows stay where they are.
+SMALL_SOURCES = 20_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -46,9 +48,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Da
     return t.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce("level", F.lit(float("inf")))).alias("target"))
 
 
-def _fit(free: DataFrame, gaps: DataFrame) -> DataFrame:
+def _fit(free: DataFrame, gaps: DataFrame, small: bool) -> DataFrame:
     """Of free (key .. source, size, rank_key, slice), the longest prefixes of the ranking that fit into gaps (source, gap)."""
-    can = free.join(gaps, F.col("source").eqNullSafe(F.col("gap_source")), "inner").where((F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    can = free.join(small_side(gaps, small), F.col("source").eqNullSafe(F.col("gap_source")), "inner").where((F.col("size") > 0) & (F.col("size") <= F.col("gap")))
     sums = can.groupBy("source", "slice").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
     ordered = Window.partitionBy("source").orderBy("slice")
     sums = sums.withColumn("before", F.sum("words").over(ordered) - F.col("words")).where(F.col("before") <= F.col("gap"))
@@ -67,9 +69,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, ke
     base = base.withColumn("row", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", F.row_number().over(twins).cast("string")))
     base = written(base, "mix-base")
     targets = written(source_targets(base.select("source", "size"), weights), "mix-targets")
+    small = targets.count() <= SMALL_SOURCES
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = base.join(t, F.col("source").eqNullSafe(F.col("t_source")), "inner").drop("t_source").withColumn("certain", F.least(F.floor(rate + 1e-9), F.lit(MOST_COPIES)).cast("bigint")).withColumn("share", F.greatest(rate - F.col("certain"), F.lit(0.0)))
+    rows = base.join(small_side(t, small), F.col("source").eqNullSafe(F.col("t_source")), "inner").drop("t_source").withColumn("certain", F.least(F.floor(rate + 1e-9), F.lit(MOST_COPIES)).cast("bigint")).withColumn("share", F.greatest(rate - F.col("certain"), F.lit(0.0)))
     u = unit_hash("row", seed=seed)
     odds = (u / (1 - u)) / F.greatest(F.col("share") / (1 - F.least("share", F.lit(1 - 1e-9))), F.lit(1e-12))
     free = rows.where((F.col("share") > 0) & (F.col("size") > 0)).withColumn("rank_key", odds).withColumn("slice", F.floor(F.col("rank_key") / (1 + F.col("rank_key")) * SLICES))
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, ke
     gaps = targets.select(F.col("source").alias("gap_source"), (F.col("target") - F.least(F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-9), F.lit(MOST_COPIES)) * F.col("source_size")).alias("gap"))
     chosen = None
     for k in range(ROUNDS):
-        got = written(_fit(free if chosen is None else free.join(chosen.select("row"), "row", "left_anti"), gaps), f"mix-round{k}")
+        got = written(_fit(free if chosen is None else free.join(chosen.select("row"), "row", "left_anti"), gaps, small), f"mix-round{k}")
         chosen = got if chosen is None else chosen.unionByName(got)
         used = got.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"))
         gaps = gaps.join(used, F.col("gap_source").eqNullSafe(F.col("u_source")), "left").select("gap_source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))

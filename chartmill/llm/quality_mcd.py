@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, written
 
 #: Transformed measures and the least standard deviation that each is given: below it, differences don't matter.
-MEASURES = {"word_length": 0.12, "symbols": 0.04, "dup_lines": 0.10, "repeats": 0.10}
+MEASURES = {"word_length": 0.12, "symbols": 0.04, "dup_lines": 0.16, "repeats": 0.14}
 #: Share of a group that the determinant is minimised over, its consistency factor for 4 dimensions (chi-square: 0.75 / P6(q4(0.75))), C-steps.
 CORE, FACTOR, STEPS = 0.75, 1.485, 4
 #: Squared Mahalanobis distance beyond which a row is rejected: chi-square with 4 degrees of freedom at 1 - 1e-6.

@@ -11,6 +11,30 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity_subword import toxicity
+
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid_crf import identify
+
+    return identify(_documents(spark, sf_dir))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_kmtree import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing_gga import pack
+
+    return pack(_documents(spark, sf_dir), capacity=2048)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
