@@ -23,6 +23,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(_documents(spark, sf_dir))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann_kmtree import search
 

@@ -28,11 +28,14 @@ from .langid_crf import held_out
 from .ngrams import WordTable, batches_of_words, csr, stripped
 
 #: Bound of the training sample: rows of the toxic and the clean class, and words of each.
-ROWS, WORDS = (900, 1800), 600
-BUCKETS, SIZES, DIM = 1 << 16, (3, 4, 5), 6
+ROWS, WORDS = (900, 2700), 600
+BUCKETS, SIZES, DIM = 1 << 18, (3, 4, 5), 4
 #: Words in a window, step between windows, words of a group in memory.
-WINDOW, STEP, GROUP = 24, 12, 300_000
-ROUNDS, EPOCHS, RATE, RIDGE = 3, 25, 0.05, 1e-5
+WINDOW, STEP, GROUP = 6, 3, 300_000
+#: Rounds of choosing windows, gradient steps in each, Adam's rate and the gradient size under which it eases off.
+ROUNDS, EPOCHS, RATE, EASE = 5, 15, 0.03, 1e-4
+#: Training rows that an n-gram must be in, rows by which its first odds are shrunk, worst windows of a clean row taken in each round.
+LEAST_ROWS, SHRINK, HARD = 5, 10.0, 2
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -73,68 +76,89 @@ class Subword:
         vocabulary = sorted({w for ws, _ in texts for w in ws})
         place = {w: i for i, w in enumerate(vocabulary)}
         starts, feature = csr(vocabulary, SIZES, BUCKETS)
-        used, local = np.unique(feature, return_inverse=True)
         grams = np.diff(np.r_[starts, len(feature)])
-        back = np.argsort(local, kind="stable")
-        back_owner = np.repeat(np.arange(len(vocabulary)), grams)[back]
-        back_start = np.searchsorted(local[back], np.arange(len(used)))
-        items, bounds, of, label = [], [0], [], []
-        for d, (ws, y) in enumerate(texts):
-            for a, b in windows(len(ws)):
-                items += [place[w] for w in ws[a:b]]
-                bounds.append(len(items))
-                of.append(d)
-            label.append(y)
-        item, bound, of, label = np.array(items), np.array(bounds), np.array(of), np.array(label)
-        size = np.diff(bound)
-        check = np.arange(len(label)) % 4 == 3  # rows for the calibration
+        docs = [np.array([place[w] for w in ws]) for ws, _ in texts]
+        label = np.array([y for _, y in texts])
+        check = np.zeros(len(label), dtype=bool)  # rows for the calibration: every fourth of a class
+        for c in (0, 1):
+            check[np.flatnonzero(label == c)[3::4]] = True
+        # n-grams of too few rows say nothing about unseen text: they stay at zero
+        of_word = np.repeat(np.arange(len(vocabulary)), grams)
+        seen = np.zeros((2, BUCKETS))
+        for d, y, aside in zip(docs, label, check, strict=True):
+            if not aside:
+                words = np.unique(d)
+                n = grams[words]
+                at = np.repeat(starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                seen[y][np.unique(feature[at])] += 1
+        total = np.array([max(1, ((label == c) & ~check).sum()) for c in (0, 1)], dtype=float)
+        known = seen.sum(0) >= LEAST_ROWS
+        rate = seen.sum(0) / total.sum()
+        odds = [np.log((seen[c] + SHRINK * rate + 1e-9) / (total[c] + SHRINK)) for c in (1, 0)]
+        start = np.where(known, odds[0] - odds[1], 0.0)
+        used, local = np.unique(feature[known[feature]], return_inverse=True)
+        of_used, ngrams = of_word[known[feature]], grams.astype(float)
         rng = np.random.default_rng(9)
-        emb, soft, bias = rng.normal(0, 0.1, (len(used), DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
+        emb, soft, bias = rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 0.05, (DIM, 2)), np.zeros(2)
+        emb[:, 0] += start[used]
+        soft[0] = (-0.5, 0.5)
+        bounds = [windows(len(d)) for d in docs]
+        item = np.concatenate([d[a:b] for d, ws in zip(docs, bounds, strict=True) for a, b in ws])
+        size = np.array([b - a for ws in bounds for a, b in ws])
+        of = np.repeat(np.arange(len(docs)), [len(ws) for ws in bounds])
+        begin = np.cumsum(size) - size
+
+        def word_scores() -> np.ndarray:
+            return np.bincount(of_used, weights=(emb @ (soft[:, 1] - soft[:, 0]))[local], minlength=len(vocabulary)) / ngrams
+
+        def window_scores() -> np.ndarray:
+            return np.add.reduceat(word_scores()[item], begin) / size
+
+        chosen = np.zeros(len(size), dtype=bool)
         moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, soft, bias)]
         step = 0
-        owner_w = np.repeat(np.arange(len(size)), size)
-        by_item = np.argsort(item, kind="stable")
-        item_start = np.searchsorted(item[by_item], np.arange(len(vocabulary)))
-        item_window = owner_w[by_item]
-
-        def forward():
-            words = np.add.reduceat(emb[local], starts) / grams[:, None]
-            return words, np.add.reduceat(words[item], bound[:-1]) / size[:, None]
-
-        for r in range(ROUNDS):
-            weight = np.where(check[of], 0.0, 1.0)
-            if r:
-                _, hidden = forward()
-                logit = hidden @ (soft[:, 1] - soft[:, 0])
-                best = np.full(len(label), -np.inf)
-                np.maximum.at(best, of, logit)
-                weight = np.where((label[of] == 1) & (logit < best[of]), 0.0, weight)
-            target = label[of]
-            for c in (0, 1):
-                weight = np.where(target == c, weight / max(weight[target == c].sum(), 1e-9) * 0.5, weight)
+        for _ in range(ROUNDS):
+            z = window_scores()
+            order = np.lexsort((-z, of))
+            rank = np.arange(len(z)) - np.searchsorted(of[order], of[order])
+            top = np.empty(len(z), dtype=np.int64)
+            top[order] = rank
+            # a toxic row counts by its most toxic window, a clean one by all that ever were among its worst
+            chosen = np.where(label[of] == 1, top < 1, chosen | (top < HARD)) & ~check[of]
+            pick = np.flatnonzero(chosen)
+            target = label[of[pick]]
+            weight = np.where(target == 1, 0.5 / (target == 1).sum(), 0.5 / max(1, (target == 0).sum()))
+            n = size[pick]
+            own = np.repeat(np.arange(len(pick)), n)
+            words = item[np.repeat(begin[pick] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            # the bag of a window: its words' n-grams, each word weighing 1 / words and each n-gram 1 / n-grams of its word
+            first = np.searchsorted(of_used, words)
+            m = np.searchsorted(of_used, words, side="right") - first
+            gram = local[np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+            share = np.repeat(1 / (n[own] * ngrams[words]), m)
+            owner = np.repeat(own, m)
+            live, gram = np.unique(gram, return_inverse=True)
             for _ in range(EPOCHS):
-                words, hidden = forward()
-                z = hidden @ soft + bias
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(target)), target] -= 1
-                g = p * weight[:, None] * 1.0
-                g_hidden = (g @ soft.T) / size[:, None]
-                g_words = np.add.reduceat(g_hidden[item_window], item_start) / grams[:, None]
-                grads = (np.add.reduceat(g_words[back_owner], back_start) + RIDGE / len(used) * emb, hidden.T @ g + RIDGE * soft, g.sum(0))
+                e = emb[live]
+                hidden = np.stack([np.bincount(owner, weights=e[gram, j] * share, minlength=len(pick)) for j in range(DIM)], 1)
+                q = hidden @ soft + bias
+                q = np.exp(q - q.max(1, keepdims=True))
+                q /= q.sum(1, keepdims=True)
+                q[np.arange(len(target)), target] -= 1
+                g = q * weight[:, None]
+                back = g @ soft.T
+                d_emb = np.zeros_like(emb)
+                d_emb[live] = np.stack([np.bincount(gram, weights=back[owner, j] * share, minlength=len(live)) for j in range(DIM)], 1)
                 step += 1
-                for x, d, m in zip((emb, soft, bias), grads, moments, strict=True):
-                    m[0] = 0.9 * m[0] + 0.1 * d
-                    m[1] = 0.99 * m[1] + 0.01 * d * d
-                    x -= RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
-        direction = soft[:, 1] - soft[:, 0]
+                for x, d, mo in zip((emb, soft, bias), (d_emb, hidden.T @ g, g.sum(0)), moments, strict=True):
+                    mo[0] = 0.9 * mo[0] + 0.1 * d
+                    mo[1] = 0.99 * mo[1] + 0.01 * d * d
+                    x -= RATE * (mo[0] / (1 - 0.9**step)) / (np.sqrt(mo[1] / (1 - 0.99**step)) + EASE)
         table = np.zeros(BUCKETS, dtype=np.float32)
-        table[used] = (emb @ direction).astype(np.float32)
+        table[used] = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         model = cls(table, float(bias[1] - bias[0]), 1.0, 0.0)
-        words = model.words(vocabulary)
-        logit = np.add.reduceat(words[item], bound[:-1]) / size + model.bias
         top = np.full(len(label), -np.inf)
-        np.maximum.at(top, of, logit)
+        np.maximum.at(top, of, np.add.reduceat(model.words(vocabulary)[item], begin) / size + model.bias)
         model.slope, model.offset = _calibrate(top[check], label[check], top[~check], label[~check], threshold)
         return model
 
