@@ -35,6 +35,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parity_join import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing_gga import pack
 
@@ -50,6 +56,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digest
+
+    return digest(_documents(spark, sf_dir), window=400)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_mcd import judge
 
