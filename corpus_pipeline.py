@@ -1,8 +1,68 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), docs having the columns of ``documents``, and works on all that
+its predecessor kept; all but the last return these columns again. Between stages the rows are written as
+Parquet in the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chartmill.llm.common import written
+from chartmill.llm.packing_gga import pack
+from chartmill.llm.pareto_mix import mix
+from chartmill.llm.parity_join import one_of_each
+from chartmill.llm.quality_mcd import judge
+from chartmill.llm.suffix_dedup import without_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the robust distance reject go."""
+    return judge(docs, keep=("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return one_of_each(docs.select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes or more that occur elsewhere are cut out; n_chars follows the text."""
+    return without_repeats(docs.select(*COLUMNS), window=400).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document stays as often as the mix takes it."""
+    mixed = mix(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens, one row a piece."""
+    return pack(docs, capacity=2048)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: Stages count hashes, iterate and tokenise: SQL doesn't express them; tests compare each with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, f"pipeline-{name}")
+    return docs
