@@ -337,7 +337,8 @@ def digest(docs: DataFrame, window: int = 400) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     """docs with repeated passages cut out of text (bytes of characters cut in two go too); rows that lose everything go."""
     rows = _with_spans(docs, window)
-    at = docs.columns.index("text")
+    columns = list(docs.columns)
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,10 +352,10 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
                 else:
                     kept.append(True)
                     texts.append(None if t is None else t.decode())
-            cols = [pa.array(texts, pa.string()) if i == at else b.column(c) for i, c in enumerate(docs.columns)]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns).filter(pa.array(kept))
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(c) for i, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(cols, columns).filter(pa.array(kept))
 
-    return rows.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return rows.select(*columns, "_spans").mapInArrow(run, docs.schema)
 
 
 __all__ = ["GRAM", "digest", "merged", "multikey_quicksort", "neighbour_prefix", "repeated_spans", "without_repeats"]
