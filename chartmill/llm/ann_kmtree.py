@@ -8,7 +8,8 @@ answered by brute force over all rows, and visits widen until their recall reach
 
 Equal vectors are one class with its smallest k + 1 ids (ties go to smaller ids, so no other member can
 be in an answer of k): a vector that a third of all rows share is searched once and is one candidate.
-Leaves over BLOCK_ROWS classes are split into blocks, each compared with the leaf's queries on its own.
+Neighbouring leaves form groves of about BLOCK_ROWS classes, to which a query goes once; larger leaves are
+split into blocks, each compared with the leaf's queries on its own.
 
 Defined results: null, zero, non-finite vectors and those holding nulls take no part, nor do vectors
 whose length isn't the table's most frequent one (ties: the greater), nor null ids; of rows with the
@@ -34,8 +35,8 @@ CALIBRATE, TARGET, BLOCK_ROWS = 160, 0.97, 4000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>): rows that take part, one an id."""
-    d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    """vec_id, v: rows that take part, one an id."""
+    d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     d = d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
     d = d.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -131,20 +132,25 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1)
 
 
-def _best(q: np.ndarray, v: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best candidates, ties to smaller `first`."""
+def _best(q: np.ndarray, v: np.ndarray, first: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of each query's k best candidates, ties to smaller `first`. allowed: queries x candidates."""
     out = []
     for at in range(0, len(q), 256):
-        rough = q[at : at + 256] @ v.T
-        for i, r in enumerate(rough):
-            if len(r) > k:
-                edge = np.partition(r, len(r) - k)[len(r) - k]
-                near = np.flatnonzero(r >= edge - 1e-9 * max(1.0, abs(edge)))
-            else:
-                near = np.arange(len(r))
-            s = products(np.broadcast_to(q[at + i], (len(near), q.shape[1])), v[near])
-            top = np.lexsort((first[near], -s))[:k]
-            out.append((np.full(len(top), at + i), near[top], s[top]))
+        part = q[at : at + 256]
+        rough = part @ v.T
+        if allowed is not None:
+            rough[~allowed[at : at + 256]] = -np.inf
+        if rough.shape[1] > k:
+            edge = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+            edge = np.where(np.isfinite(edge), edge - 1e-9 * np.maximum(1.0, np.abs(edge)), -np.finfo(float).max)
+        else:
+            edge = np.full(len(part), -np.finfo(float).max)
+        i, j = np.nonzero(rough >= edge[:, None])
+        score = products(part[i], v[j])
+        order = np.lexsort((first[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        out.append((i[rank < k] + at, j[rank < k], score[rank < k]))
     if not out:
         return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
@@ -170,7 +176,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, leaf_rows: int = LE
     asked = d.where(F.col("vec_id") % every == 0).select("h1", "h2", F.col("vec_id").alias("query_id"))
     asks = asked.select("h1", "h2").distinct().withColumn("asks", F.lit(True))
     classes = written(classes.join(asks, ["h1", "h2"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "ann-classes")
-    n, most = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
+    n, most = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
     share = min(1.0, SAMPLE / max(1, n))
     sampled = classes.where(F.pmod(F.xxhash64("c", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v")
     sample = np.array([r[0] for r in sampled.limit(SAMPLE + SAMPLE // 10).collect()], dtype=float)
@@ -183,37 +189,52 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, leaf_rows: int = LE
                 pdf["leaf"] = shared.value.assign(np.array(pdf["v"].tolist(), dtype=float))
                 yield pdf
 
-    rows = written(classes.select("c", "v", "ids", "asks").mapInPandas(index, "c long, v array<double>, ids array<long>, asks boolean, leaf long"), "ann-index")
+    rows = written(classes.select("c", "v", "ids", "asks").mapInPandas(index, f"c long, v {dict(classes.dtypes)['v']}, ids array<long>, asks boolean, leaf long"), "ann-index")
     sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids"))
     size = {r["leaf"]: (r["n"], r["ids"]) for r in sizes.collect()}  # at most MOST_LEAVES rows
     visits = _calibrated(rows, tree, size, k, target)
-    full = spark.sparkContext.broadcast({leaf: (-(-n // BLOCK_ROWS), ids) for leaf, (n, ids) in size.items()})
+    place = spark.sparkContext.broadcast(_groves({leaf: n for leaf, (n, _) in size.items()}))
+    held = spark.sparkContext.broadcast({leaf: ids for leaf, (_, ids) in size.items()})
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for c, v in zip(pdf["c"], pdf["v"], strict=True):
-                got, seen = 0, 0
+            cells = []
+            for v in pdf["v"]:
+                got, seen, mine = 0, 0, {}
                 for leaf in shared.value.walk(np.asarray(v, dtype=float)):
-                    blocks, ids = full.value.get(leaf, (0, 0))
-                    out += [(c, v, leaf, b) for b in range(blocks)]
-                    got, seen = got + 1, seen + ids
+                    if leaf in place.value:
+                        grove, blocks = place.value[leaf]
+                        for b in range(blocks):
+                            mine.setdefault((grove, b), []).append(leaf)
+                    got, seen = got + 1, seen + held.value.get(leaf, 0)
                     if got >= visits and seen > k:
                         break
-            yield pd.DataFrame(out, columns=["q", "v", "leaf", "block"])
+                cells.append([{"grove": g, "block": b, "leaves": x} for (g, b), x in mine.items()])
+            yield pd.DataFrame({"q": pdf["c"], "v": pdf["v"], "cells": cells})
 
-    routed = rows.where("asks").select("c", "v").repartition("c").mapInPandas(route, "q long, v array<double>, leaf long, block long")
-    blocks = F.create_map(*[x for leaf, (m, _) in size.items() if m > BLOCK_ROWS for x in (F.lit(leaf), F.lit(-(-m // BLOCK_ROWS)))]) if any(m > BLOCK_ROWS for m, _ in size.values()) else None
-    count = F.coalesce(F.element_at(blocks, F.col("leaf")), F.lit(1)) if blocks is not None else F.lit(1)
-    stored = rows.select("c", "v", "ids", "leaf", F.pmod(F.xxhash64("c"), count).cast("long").alias("block"))
+    kind = dict(rows.dtypes)["v"]
+    routed = rows.where("asks").select("c", "v").repartition("c").mapInPandas(route, f"q long, v {kind}, cells array<struct<grove: long, block: long, leaves: array<long>>>")
+    routed = routed.select("q", "v", F.explode("cells").alias("x")).select("q", "v", "x.grove", "x.block", "x.leaves")
+
+    def stow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = [place.value[leaf] for leaf in pdf["leaf"]]
+            yield pdf.assign(grove=[g for g, _ in at], block=[int(c) % b for c, (_, b) in zip(pdf["c"], at, strict=True)])
+
+    stored = rows.select("c", "v", "ids", "leaf").mapInPandas(stow, f"c long, v {kind}, ids array<long>, leaf long, grove long, block long")
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
-        a, b, s = _best(np.array(q["v"].tolist()), np.array(x["v"].tolist()), x["c"].to_numpy(), k + 1)
+        leaves, of = np.unique(x["leaf"].to_numpy(), return_inverse=True)
+        number = {leaf: i for i, leaf in enumerate(leaves.tolist())}
+        asked_here = np.zeros((len(q), len(leaves)), dtype=bool)
+        for i, mine in enumerate(q["leaves"]):
+            asked_here[i, [number[leaf] for leaf in mine if leaf in number]] = True
+        a, b, s = _best(np.array(q["v"].tolist(), dtype=float), np.array(x["v"].tolist(), dtype=float), x["c"].to_numpy(), k + 1, asked_here[:, of])
         return _expanded(q["q"].to_numpy()[a], b, s, x["ids"].tolist(), k + 1)
 
-    found = routed.groupBy("leaf", "block").cogroup(stored.groupBy("leaf", "block")).applyInPandas(compare, "q long, vec_id long, score double")
+    found = routed.groupBy("grove", "block").cogroup(stored.groupBy("grove", "block")).applyInPandas(compare, "q long, vec_id long, score double")
     answers = _top(found, k + 1).join(classes.select("h1", "h2", F.col("c").alias("q")), "q")
     out = asked.join(answers.select("h1", "h2", "vec_id", "score"), ["h1", "h2"]).where(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -221,6 +242,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, leaf_rows: int = LE
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _groves(sizes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """leaf -> (grove, blocks): neighbouring leaves share a grove of about BLOCK_ROWS rows; a leaf over that is one of its own, in blocks."""
+    out, grove, rows = {}, 0, 0
+    for leaf in sorted(sizes):
+        n = sizes[leaf]
+        if rows and rows + n > BLOCK_ROWS:
+            grove, rows = grove + 1, 0
+        out[leaf] = (grove, max(1, -(-n // BLOCK_ROWS)))
+        rows += n
+    return out
+
+
 def _calibrated(rows: DataFrame, tree: Tree, size: dict, k: int, target: float) -> int:
     """Leaves to visit: widened until brute-force answers of sampled queries are found to the share `target`."""
     asked = rows.where("asks").orderBy(F.xxhash64("c", F.lit(5)), "c").limit(CALIBRATE).select("c", "v").collect()
