@@ -30,7 +30,7 @@ def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("axis"), (F.col("l_linenumber") * 40.0).alias("pixel"), F.col("l_quantity").alias("value"))
 
 
-TICKS = "ticks AS (SELECT l_orderkey AS axis, l_linenumber * 40.0 AS pixel, l_quantity AS value FROM lineitem)"
+TICKS = "ticks AS (SELECT l_orderkey AS axis, CAST(l_linenumber * 40 AS DOUBLE) AS pixel, l_quantity AS value FROM lineitem)"
 
 
 def box_table(spark: SparkSession, sf_dir: str) -> DataFrame:

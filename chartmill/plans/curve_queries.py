@@ -46,7 +46,7 @@ QUERIES = {
     "curve_sliding_median": (_q(C.sliding_median), f"WITH {CLEAN} SELECT curve, round(x, 4) AS x, round(y, 4) AS y, round(median(y) OVER (PARTITION BY curve ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS mid FROM cl"),
     "curve_leading_clip": (_q(lambda p: C.leading_clip(p, F.lit(20.0))), f"WITH {STEPS}, g AS (SELECT curve, max(n) AS n, min(CASE WHEN NOT y >= 20 * 0.98 THEN i - 1 END) AS k, arg_min(x, CASE WHEN NOT y >= 20 * 0.98 THEN i - 1 END) AS ax FROM st GROUP BY 1) SELECT curve, coalesce(k, n) AS n_clipped, CASE WHEN k > 0 AND k < n - 2 THEN round(ax, 4) END AS boundary_x FROM g"),
     "curve_first_crossing": (_q(lambda p: C.first_crossing(p.withColumn("y", F.col("y") - 60))), f"WITH {CLEAN}, z AS (SELECT curve, x, y - 60 AS y FROM cl), s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM z WINDOW w AS (PARTITION BY curve ORDER BY x)), h AS (SELECT *, row_number() OVER (PARTITION BY curve ORDER BY x) AS r, count(*) OVER (PARTITION BY curve) AS n_crossings FROM s WHERE py IS NOT NULL AND sign(y) * sign(py) <= 0) SELECT curve, round(CASE WHEN y = py THEN px ELSE px - py * (x - px) / (y - py) END, 4) AS x_cross, n_crossings FROM h WHERE r = 1"),
-    "curve_resample_gaps": (lambda s, d: _round(C.resample_gaps(_clean(s, d), 25.0), x=3, y=2), f"WITH {CLEAN}, s AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM cl WINDOW w AS (PARTITION BY curve ORDER BY x)), c AS (SELECT curve, median(nx - x) AS cadence FROM s GROUP BY 1), k AS (SELECT s.*, CASE WHEN cadence > 0 AND nx - x > 1.5 * cadence AND abs(ny - y) <= 25 THEN least(floor((nx - x) / cadence), 64) ELSE 1 END AS n FROM s JOIN c USING (curve)), e AS (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS j FROM k) SELECT curve, round(x + CASE WHEN j > 0 THEN (nx - x) * j / n ELSE 0 END, 3) AS x, round(y + CASE WHEN j > 0 THEN (ny - y) * j / n ELSE 0 END, 2) AS y, j > 0 AS filled FROM e"),
+    "curve_resample_gaps": (lambda s, d: _round(C.resample_gaps(_clean(s, d), 25.0), x=7, y=7), f"WITH {CLEAN}, s AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM cl WINDOW w AS (PARTITION BY curve ORDER BY x)), c AS (SELECT curve, median(nx - x) AS cadence FROM s GROUP BY 1), k AS (SELECT s.*, CASE WHEN cadence > 0 AND nx - x > 1.5 * cadence AND abs(ny - y) <= 25 THEN least(floor((nx - x) / cadence), 64) ELSE 1 END AS n FROM s JOIN c USING (curve)), e AS (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS j FROM k) SELECT curve, round(x + CASE WHEN j > 0 THEN (nx - x) * j / n ELSE 0 END, 7) AS x, round(y + CASE WHEN j > 0 THEN (ny - y) * j / n ELSE 0 END, 7) AS y, j > 0 AS filled FROM e"),
     "curve_percentiles": (_q(C.percentiles), f"WITH {CLEAN}, s AS (SELECT *, lead(y) OVER w - 2 * y + lag(y) OVER w AS d2 FROM cl WINDOW w AS (PARTITION BY curve ORDER BY x)) SELECT curve, round(quantile_cont(y, 0.1), 4) AS p10, round(quantile_cont(y, 0.5), 4) AS p50, round(quantile_cont(y, 0.9), 4) AS p90, round(avg(abs(d2)), 4) AS roughness FROM s GROUP BY 1"),
     "curve_coarse_monotone": (_q(C.coarse_monotone), f"WITH {CLEAN}, s AS (SELECT *, min(x) OVER (PARTITION BY curve) AS lo, max(x) OVER (PARTITION BY curve) AS hi FROM cl), m AS (SELECT curve, CAST(CASE WHEN hi > lo THEN least(23, floor((x - lo) / (hi - lo) * 24)) ELSE 0 END AS BIGINT) AS bin, median(y) AS mid FROM s GROUP BY 1, 2), t AS (SELECT *, max(mid) OVER (PARTITION BY curve ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m) SELECT curve, count(*) AS n_bins, round(greatest(coalesce(max(top - mid), 0), 0), 4) AS largest_fall FROM t GROUP BY 1"),
     "curve_three_segments": (lambda s, d: _round(C.three_segments(_clean(s, d).where(F.col("x") < 300)), sse=1), f"""WITH {CLEAN}, u AS (SELECT * FROM cl WHERE x < 300), p AS (SELECT curve, row_number() OVER w AS i, count(*) OVER (PARTITION BY curve) AS n, sum(x) OVER w AS sx, sum(y) OVER w AS sy, sum(x * x) OVER w AS sxx, sum(x * y) OVER w AS sxy, sum(y * y) OVER w AS syy FROM u WINDOW w AS (PARTITION BY curve ORDER BY x ROWS UNBOUNDED PRECEDING)),
