@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AXIS = Window.partitionBy("axis")
+
+def by_axis() -> Window:
+    return Window.partitionBy("axis")
 
 
 def fit_axes(ticks: DataFrame, model: str = "auto", least_ticks: int = 2, floor_px: float = 1.5, span_share: float = 0.03, ambiguity_px: float = 0.75, ambiguity_share: float = 0.005) -> DataFrame:
@@ -15,17 +17,17 @@ def fit_axes(ticks: DataFrame, model: str = "auto", least_ticks: int = 2, floor_
     strictly monotone; a forced log axis with a value <= 0; no candidate with a slope; a best residual over
     max(floor_px, span_share of the span); a runner-up within max(ambiguity_px, ambiguity_share of the span).
     The residual is the RMS of the ticks' pixels against the inverted fit."""
-    order = AXIS.orderBy("pixel", "value")
+    order = by_axis().orderBy("pixel", "value")
     t = ticks.select("axis", F.col("pixel").cast("double").alias("pixel"), F.col("value").cast("double").alias("value")).where("pixel IS NOT NULL AND value IS NOT NULL")
     t = t.withColumn("_dp", F.col("pixel") - F.lag("pixel").over(order)).withColumn("_dv", F.col("value") - F.lag("value").over(order))
     shape = t.groupBy("axis").agg(F.count(F.lit(1)).alias("n_ticks"), F.coalesce(F.min("_dp") > 0, F.lit(True)).alias("_ordered"), F.coalesce((F.min("_dv") > 0) | (F.max("_dv") < 0), F.lit(True)).alias("_monotone"), (F.min("value") > 0).alias("_positive"), (F.max("pixel") - F.min("pixel")).alias("_span"))
     names = ["linear", "log10"] if model == "auto" else [model]
-    positive = F.min("value").over(AXIS) > 0
+    positive = F.min("value").over(by_axis()) > 0
     rows = t.withColumn("_pos", positive).withColumn("model", F.explode(F.array(*[F.lit(x) for x in names]))).where((F.col("model") == "linear") | F.col("_pos"))
     rows = rows.withColumn("_c", F.when(F.col("model") == "log10", F.log10(F.when(F.col("value") > 0, F.col("value")))).otherwise(F.col("value")))
     line = rows.groupBy("axis", "model").agg(F.regr_slope("_c", "pixel").alias("m"), F.regr_intercept("_c", "pixel").alias("b"))
     far = rows.join(line, ["axis", "model"]).where(F.abs("m") >= 1e-12).groupBy("axis", "model").agg(F.sqrt(F.avg(F.pow(F.try_divide(F.col("_c") - F.col("b"), F.col("m")) - F.col("pixel"), F.lit(2.0)))).alias("residual_px"), F.first("m").alias("m"), F.first("b").alias("b"))
-    rank = AXIS.orderBy("residual_px", "model")
+    rank = by_axis().orderBy("residual_px", "model")
     best = far.withColumn("_r", F.row_number().over(rank)).withColumn("runner_up_px", F.lead("residual_px").over(rank)).where("_r = 1").drop("_r")
     out = shape.join(best, "axis", "left")
     status = (
@@ -82,7 +84,7 @@ def maximal_linear_runs(ticks: DataFrame, least: int = 3, floor: float = 0.35, s
     """Maximal runs of consecutive ticks that are strictly monotone and linear within max(floor, share of the median step).
 
     All (start, stop) pairs are judged by prefix sums; runs inside another accepted run are dropped."""
-    w = AXIS.orderBy("pixel", "value")
+    w = by_axis().orderBy("pixel", "value")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     t = ticks.withColumn("i", F.row_number().over(w)).withColumn("_dv", F.col("value") - F.lag("value").over(w))
     t = t.withColumn("_rise", F.sum(F.when(F.col("_dv") > 0, 1).otherwise(0)).over(up)).withColumn("_fall", F.sum(F.when(F.col("_dv") < 0, 1).otherwise(0)).over(up))
@@ -111,17 +113,17 @@ def consensus_fit(ticks: DataFrame, inlier: float = 0.35) -> DataFrame:
     near = pair.join(t, "axis").where(F.abs(F.col("_m") * F.col("pixel") + F.col("_b") - F.col("value")) <= inlier)
     fit = near.groupBy("axis", "pa", "va", "pb", "vb").agg(F.count(F.lit(1)).alias("n_inliers"), (F.max("pixel") - F.min("pixel")).alias("span_px"), F.regr_slope("value", "pixel").alias("m"), F.regr_intercept("value", "pixel").alias("b"), F.regr_syy("value", "pixel").alias("_yy"), F.regr_sxy("value", "pixel").alias("_xy"), F.regr_sxx("value", "pixel").alias("_xx"))
     fit = fit.withColumn("_sse", F.round(F.greatest(F.col("_yy") - F.col("_xy") * F.col("_xy") / F.nullif("_xx", F.lit(0.0)), F.lit(0.0)), 6))
-    order = AXIS.orderBy(F.desc("n_inliers"), F.desc("span_px"), "_sse", "pa", "va", "pb", "vb")
+    order = by_axis().orderBy(F.desc("n_inliers"), F.desc("span_px"), "_sse", "pa", "va", "pb", "vb")
     return fit.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("axis", "n_inliers", "span_px", "m", "b")
 
 
 def drop_offset_tick(ticks: DataFrame, least: int = 5, shrink: float = 3.0) -> DataFrame:
     """Leave-one-out: the tick whose removal shrinks the fit's residual at least `shrink` times, in axes of `least` ticks or more."""
-    t = ticks.select("axis", "pixel", "value").withColumn("i", F.row_number().over(AXIS.orderBy("pixel", "value"))).withColumn("n", F.count(F.lit(1)).over(AXIS)).where(F.col("n") >= least)
+    t = ticks.select("axis", "pixel", "value").withColumn("i", F.row_number().over(by_axis().orderBy("pixel", "value"))).withColumn("n", F.count(F.lit(1)).over(by_axis())).where(F.col("n") >= least)
     rms = lambda: F.sqrt(F.greatest(F.regr_syy("value", "pixel") - F.regr_sxy("value", "pixel") * F.regr_sxy("value", "pixel") / F.nullif(F.regr_sxx("value", "pixel"), F.lit(0.0)), F.lit(0.0)) / F.count(F.lit(1)))
     whole = t.groupBy("axis").agg(rms().alias("rms_all"))
     out = t.select("axis", F.col("i").alias("drop")).join(t, "axis").where("i <> drop").groupBy("axis", "drop").agg(rms().alias("rms_left"))
-    best = out.withColumn("_r", F.row_number().over(AXIS.orderBy(F.round("rms_left", 6), "drop"))).where("_r = 1")
+    best = out.withColumn("_r", F.row_number().over(by_axis().orderBy(F.round("rms_left", 6), "drop"))).where("_r = 1")
     return best.join(whole, "axis").select("axis", F.when(F.round("rms_all", 6) >= shrink * F.round("rms_left", 6) + 1e-6, F.col("drop")).cast("bigint").alias("dropped"), "rms_all", "rms_left")
 
 
@@ -134,11 +136,11 @@ def one_tick_a_value(ticks: DataFrame) -> DataFrame:
 
 def uniform_run(tokens: DataFrame) -> DataFrame:
     """tokens (axis, i, value) -> the longest strictly increasing run of consecutive tokens from a zero, and whether its steps are uniform."""
-    w = AXIS.orderBy("i")
+    w = by_axis().orderBy("i")
     t = tokens.withColumn("_dv", F.col("value") - F.lag("value").over(w)).withColumn("_new", F.when((F.col("value") == 0) | ~F.coalesce(F.col("_dv") > 0, F.lit(False)), 1).otherwise(0))
     t = t.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_in", F.when(F.col("_new") == 0, F.col("_dv")))
     g = t.groupBy("axis", "_run").agg(F.min("value").alias("first"), F.max("value").alias("last"), F.count(F.lit(1)).alias("n"), F.stddev_pop("_in").alias("_sd"), F.median("_in").alias("_md"), F.min("i").alias("start")).where("first = 0")
-    best = g.withColumn("_r", F.row_number().over(AXIS.orderBy(F.desc("n"), "start"))).where("_r = 1")
+    best = g.withColumn("_r", F.row_number().over(by_axis().orderBy(F.desc("n"), "start"))).where("_r = 1")
     return best.select("axis", F.col("start").cast("bigint").alias("start"), "n", "last", F.coalesce(F.col("_sd") <= F.greatest(F.lit(0.05), 0.15 * F.col("_md")), F.lit(False)).alias("uniform"))
 
 

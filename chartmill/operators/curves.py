@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CURVE = Window.partitionBy("curve")
+
+def by_curve() -> Window:
+    return Window.partitionBy("curve")
 
 
 def finite(c: Column) -> Column:
@@ -18,7 +20,7 @@ def finite(c: Column) -> Column:
 
 
 def by_x() -> Window:
-    return CURVE.orderBy("x")
+    return by_curve().orderBy("x")
 
 
 def clean_points(points: DataFrame, decimals: int = 10) -> DataFrame:
@@ -27,7 +29,7 @@ def clean_points(points: DataFrame, decimals: int = 10) -> DataFrame:
     Curves with fewer than two distinct abscissae are left out (see refused_curves)."""
     good = points.where(finite(F.col("x")) & finite(F.col("y")) & (F.col("y") > 0))
     merged = good.groupBy("curve", F.round(F.greatest("x", F.lit(0.0)), decimals).alias("x")).agg(F.median("y").alias("y"), F.count(F.lit(1)).alias("n_merged"))
-    return merged.withColumn("_n", F.count(F.lit(1)).over(CURVE)).where("_n >= 2").drop("_n")
+    return merged.withColumn("_n", F.count(F.lit(1)).over(by_curve())).where("_n >= 2").drop("_n")
 
 
 def refused_curves(points: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def masked_integral(points: DataFrame, mask: Column) -> DataFrame:
 
 def span_stats(points: DataFrame) -> DataFrame:
     """Counts, spans, and the rise: median of the right fifth over median of the left fifth of a curve's points, less 1."""
-    n = F.count(F.lit(1)).over(CURVE)
+    n = F.count(F.lit(1)).over(by_curve())
     ranked = points.withColumn("_i", F.row_number().over(by_x())).withColumn("_n", n).withColumn("_fifth", F.greatest(F.lit(1), F.floor(F.col("_n") / 5)))
     return ranked.groupBy("curve").agg(
         F.count(F.lit(1)).alias("n_points"),
@@ -118,7 +120,7 @@ def sign_runs(points: DataFrame, margin: float, least: int) -> DataFrame:
 def robust_sequence(points: DataFrame, margin: float, least: int) -> DataFrame:
     """curve, signs: the robust runs' signs in order, repeats merged; an empty array where there are none."""
     runs = sign_runs(points, margin, least)
-    order = CURVE.orderBy("run")
+    order = by_curve().orderBy("run")
     kept = runs.withColumn("_new", F.col("sign") != F.coalesce(F.lag("sign").over(order), F.lit(0))).where("_new")
     signs = kept.groupBy("curve").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "sign"))), lambda r: r["sign"].cast("string")), ",").alias("signs"))
     return points.select("curve").distinct().join(signs, "curve", "left").select("curve", F.coalesce("signs", F.lit("")).alias("signs"))
@@ -135,8 +137,8 @@ def moving_average(points: DataFrame, taps: int = 9) -> DataFrame:
     """points + smooth: a centred average whose edges repeat the end values instead of shrinking the window."""
     half = taps // 2
     w = by_x()
-    full = CURVE.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = points.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(CURVE)).withColumn("_a", F.first("y").over(full)).withColumn("_z", F.last("y").over(full)).withColumn("_s", F.sum("y").over(w.rowsBetween(-half, half)))
+    full = by_curve().orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = points.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(by_curve())).withColumn("_a", F.first("y").over(full)).withColumn("_z", F.last("y").over(full)).withColumn("_s", F.sum("y").over(w.rowsBetween(-half, half)))
     left, right = F.greatest(half - (F.col("_i") - 1), F.lit(0)), F.greatest(half - (F.col("_n") - F.col("_i")), F.lit(0))
     return s.withColumn("smooth", (F.col("_s") + left * F.col("_a") + right * F.col("_z")) / taps).drop("_i", "_n", "_a", "_z", "_s")
 
@@ -148,7 +150,7 @@ def sliding_median(points: DataFrame, half: int = 3) -> DataFrame:
 
 def leading_clip(points: DataFrame, ceiling: Column, tolerance: float = 0.02) -> DataFrame:
     """curve, n_clipped, boundary_x: the run of points at the ceiling from the first one; no boundary if it leaves fewer than 3 points."""
-    s = points.withColumn("_c", F.col("y") >= ceiling * (1 - tolerance)).withColumn("_i", F.row_number().over(by_x()) - 1).withColumn("_n", F.count(F.lit(1)).over(CURVE))
+    s = points.withColumn("_c", F.col("y") >= ceiling * (1 - tolerance)).withColumn("_i", F.row_number().over(by_x()) - 1).withColumn("_n", F.count(F.lit(1)).over(by_curve()))
     g = s.groupBy("curve").agg(F.min(F.when(~F.col("_c"), F.col("_i"))).alias("first_clear"), F.max("_n").alias("n"), F.min_by("x", F.when(~F.col("_c"), F.col("_i"))).alias("at"))
     valid = (F.col("first_clear") > 0) & (F.col("first_clear") < F.col("n") - 2)
     return g.select("curve", F.coalesce("first_clear", "n").cast("bigint").alias("n_clipped"), F.when(valid, F.col("at")).alias("boundary_x"))
@@ -158,7 +160,7 @@ def first_crossing(points: DataFrame) -> DataFrame:
     """curve, x_cross, n_crossings: where y first changes sign (or touches zero), by linear interpolation."""
     s = _steps(points).where(F.col("py").isNotNull() & (F.signum("y") * F.signum("py") <= 0))
     at = F.when(F.col("y") == F.col("py"), F.col("px")).otherwise(F.col("px") - F.col("py") * F.col("dx") / (F.col("y") - F.col("py")))
-    r = s.withColumn("x_cross", at).withColumn("_r", F.row_number().over(by_x())).withColumn("n_crossings", F.count(F.lit(1)).over(CURVE))
+    r = s.withColumn("x_cross", at).withColumn("_r", F.row_number().over(by_x())).withColumn("n_crossings", F.count(F.lit(1)).over(by_curve()))
     return r.where("_r = 1").select("curve", "x_cross", "n_crossings")
 
 
@@ -184,10 +186,10 @@ def percentiles(points: DataFrame, at: tuple[float, ...] = (0.1, 0.5, 0.9)) -> D
 
 def coarse_monotone(points: DataFrame, bins: int = 24) -> DataFrame:
     """Largest fall of the medians of `bins` bins of x under their running maximum."""
-    span = points.withColumn("_lo", F.min("x").over(CURVE)).withColumn("_hi", F.max("x").over(CURVE))
+    span = points.withColumn("_lo", F.min("x").over(by_curve())).withColumn("_hi", F.max("x").over(by_curve()))
     b = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
     mids = span.withColumn("bin", b.cast("bigint")).groupBy("curve", "bin").agg(F.median("y").alias("mid"))
-    top = F.max("mid").over(CURVE.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    top = F.max("mid").over(by_curve().orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     return mids.withColumn("_top", top).groupBy("curve").agg(F.count(F.lit(1)).alias("n_bins"), F.greatest(F.coalesce(F.max(F.col("_top") - F.col("mid")), F.lit(0.0)), F.lit(0.0)).alias("largest_fall"))
 
 
@@ -196,7 +198,7 @@ def three_segments(points: DataFrame, least: int = 2, most_points: int = 64) ->
 
     Curves over most_points are refused (null split), as the pairs grow with the square of the points."""
     up = by_x().rowsBetween(Window.unboundedPreceding, 0)
-    s = points.withColumn("i", F.row_number().over(by_x())).withColumn("n", F.count(F.lit(1)).over(CURVE))
+    s = points.withColumn("i", F.row_number().over(by_x())).withColumn("n", F.count(F.lit(1)).over(by_curve()))
     p = s.select("curve", "i", "n", *[F.sum(e).over(up).alias(k) for k, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") * F.col("y")))])
     ok = p.where((F.col("n") <= most_points) & (F.col("n") >= 3 * least))
     a, b, c = (ok.select([F.col(k).alias(f"{t}_{k}") if k != "curve" else F.col("curve") for k in ok.columns]) for t in "abc")
@@ -209,5 +211,5 @@ def three_segments(points: DataFrame, least: int = 2, most_points: int = 64) ->
         return F.greatest(yy - F.when(xx > 1e-12, xy * xy / xx).otherwise(0.0), F.lit(0.0))
 
     total = sse("a", None) + sse("b", "a") + sse("c", "b")
-    best = both.withColumn("sse", total).withColumn("_r", F.row_number().over(CURVE.orderBy(F.round("sse", 6), "a_i", "b_i"))).where("_r = 1")
+    best = both.withColumn("sse", total).withColumn("_r", F.row_number().over(by_curve().orderBy(F.round("sse", 6), "a_i", "b_i"))).where("_r = 1")
     return best.select("curve", F.col("a_n").alias("n_points"), F.col("a_i").alias("first_split"), F.col("b_i").alias("second_split"), "sse")

@@ -49,9 +49,14 @@ def charge_table(knots: DataFrame, v_max: float, samples: int = 256) -> DataFram
     return t.select("curve", "i", "v", "c", F.sum("_q").over(up).alias("q"), F.sum("_e").over(up).alias("e"))
 
 
+def _short(c: str):
+    """Nine significant digits without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.9g", c), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
 def spice_text(table: DataFrame) -> DataFrame:
     """curve, netlist: a tabulated charge function and the current source that differentiates it. Charges are pC in, coulombs out."""
-    pair = F.struct("i", F.concat(F.format_string("%.9g", "v"), F.lit(","), F.format_string("%.9e", F.col("q") * 1e-12)).alias("t"))
+    pair = F.struct("i", F.concat(_short("v"), F.lit(","), F.format_string("%.9e", F.col("q") * 1e-12)).alias("t"))
     rows = table.groupBy("curve").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["t"]), ", ").alias("body"))
     name = F.concat(F.lit("c"), F.col("curve").cast("string"))
     text = F.concat(F.lit(".func qoss_"), name, F.lit("(v) {table(max(v,0), "), F.col("body"), F.lit(")}\nB_COSS_"), name, F.lit(" d s I=ddt(qoss_"), name, F.lit("(V(d,s)))\n"))

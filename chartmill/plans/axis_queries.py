@@ -77,7 +77,7 @@ QUERIES = {
  ou AS (SELECT a.axis, a.i AS dr, sqrt(greatest(regr_syy(b.value, b.pixel) - regr_sxy(b.value, b.pixel) * regr_sxy(b.value, b.pixel) / regr_sxx(b.value, b.pixel), 0) / count(*)) AS rms_left FROM t a JOIN t b ON a.axis = b.axis AND a.i <> b.i GROUP BY 1, 2)
  SELECT axis, CASE WHEN round(rms_all, 6) >= 3 * round(rms_left, 6) + 1e-6 THEN dr END AS dropped, round(rms_all, 3) AS rms_all, round(rms_left, 3) AS rms_left FROM ou JOIN al USING (axis) QUALIFY row_number() OVER (PARTITION BY axis ORDER BY round(rms_left, 6), dr) = 1"""),
     "axis_one_tick_a_value": (lambda s, d: A.one_tick_a_value(order_ticks(s, d)), f"WITH {TICKS}, l AS (SELECT axis, regr_slope(value, pixel) AS m, regr_intercept(value, pixel) AS b FROM ticks GROUP BY 1) SELECT axis, pixel, value FROM ticks JOIN l USING (axis) QUALIFY row_number() OVER (PARTITION BY axis, value ORDER BY round(abs(m * pixel + b - value), 9), pixel) = 1"),
-    "axis_uniform_run": (lambda s, d: A.uniform_run(order_ticks(s, d).groupBy("axis", "pixel").agg(F.min("value").alias("value")).select("axis", (F.col("pixel") / 40).cast("int").alias("i"), (F.col("value") - F.min("value").over(A.AXIS)).alias("value"))), f"WITH {TICKS}, u AS (SELECT axis, CAST(pixel / 40 AS INT) AS i, min(value) AS v FROM ticks GROUP BY 1, 2), z AS (SELECT axis, i, v - min(v) OVER (PARTITION BY axis) AS value FROM u), t AS (SELECT *, value - lag(value) OVER w AS dv FROM z WINDOW w AS (PARTITION BY axis ORDER BY i)), n AS (SELECT *, CASE WHEN value = 0 OR NOT coalesce(dv > 0, false) THEN 1 ELSE 0 END AS new FROM t), r AS (SELECT *, sum(new) OVER (PARTITION BY axis ORDER BY i ROWS UNBOUNDED PRECEDING) AS run, CASE WHEN new = 0 THEN dv END AS din FROM n), g AS (SELECT axis, run, min(value) AS f, max(value) AS last, count(*) AS n, stddev_pop(din) AS sd, median(din) AS md, CAST(min(i) AS BIGINT) AS start FROM r GROUP BY 1, 2 HAVING min(value) = 0) SELECT axis, start, n, last, coalesce(sd <= greatest(0.05, 0.15 * md), false) AS uniform FROM g QUALIFY row_number() OVER (PARTITION BY axis ORDER BY n DESC, start) = 1"),
+    "axis_uniform_run": (lambda s, d: A.uniform_run(order_ticks(s, d).groupBy("axis", "pixel").agg(F.min("value").alias("value")).select("axis", (F.col("pixel") / 40).cast("int").alias("i"), (F.col("value") - F.min("value").over(A.by_axis())).alias("value"))), f"WITH {TICKS}, u AS (SELECT axis, CAST(pixel / 40 AS INT) AS i, min(value) AS v FROM ticks GROUP BY 1, 2), z AS (SELECT axis, i, v - min(v) OVER (PARTITION BY axis) AS value FROM u), t AS (SELECT *, value - lag(value) OVER w AS dv FROM z WINDOW w AS (PARTITION BY axis ORDER BY i)), n AS (SELECT *, CASE WHEN value = 0 OR NOT coalesce(dv > 0, false) THEN 1 ELSE 0 END AS new FROM t), r AS (SELECT *, sum(new) OVER (PARTITION BY axis ORDER BY i ROWS UNBOUNDED PRECEDING) AS run, CASE WHEN new = 0 THEN dv END AS din FROM n), g AS (SELECT axis, run, min(value) AS f, max(value) AS last, count(*) AS n, stddev_pop(din) AS sd, median(din) AS md, CAST(min(i) AS BIGINT) AS start FROM r GROUP BY 1, 2 HAVING min(value) = 0) SELECT axis, start, n, last, coalesce(sd <= greatest(0.05, 0.15 * md), false) AS uniform FROM g QUALIFY row_number() OVER (PARTITION BY axis ORDER BY n DESC, start) = 1"),
     "axis_snap_to_grid": (lambda s, d: A.snap_to_grid(order_ticks(s, d).where("axis < 3000"), s.range(1, 8).select((F.col("id") * 45.0).alias("rail")).crossJoin(order_ticks(s, d).where("axis < 3000").select("axis").distinct()), 15.0), f"WITH {TICKS}, t AS (SELECT * FROM ticks WHERE axis < 3000), d AS (SELECT axis, pixel, value, k * 45.0 AS rail, abs(pixel - k * 45.0) AS dd FROM t CROSS JOIN (SELECT unnest(range(1, 8)) AS k) WHERE abs(pixel - k * 45.0) <= 15), m AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY axis, pixel, value ORDER BY dd, rail) = 1) SELECT axis, pixel, value, CAST(rail AS DOUBLE) AS snapped FROM m QUALIFY row_number() OVER (PARTITION BY axis, rail ORDER BY dd, pixel, value) = 1"),
     "interp_inside": (lambda s, d: _round(I.interp_inside(_clean(s, d), _probes(s, d)), value=3), _BRACKET + " SELECT curve, px, round(CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL THEN lerp END, 3) AS value FROM v"),
     "interp_near": (lambda s, d: _round(I.interp_near(_clean(s, d), _probes(s, d), 15.0), value=3), _BRACKET + " SELECT curve, px, round(CASE WHEN x0 IS NOT NULL AND x1 IS NOT NULL AND x1 - x0 <= 15 THEN lerp END, 3) AS value, CASE WHEN x0 IS NULL OR x1 IS NULL THEN 'outside_span' WHEN x1 - x0 > 15 THEN 'inside_gap' END AS reason FROM v"),
