@@ -94,17 +94,17 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node, n: the set's key (null without words) and size."""
+    """doc_id, text_key, node, n, bits: the set's key (null without words), size and bit sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+            n, node, bits = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64), [None] * len(b)
             for i, s in sets(_texts(b)):
-                n[i] = len(s)
-                node[i] = set_key(s) if len(s) else 0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(node, mask=n == 0), pa.array(n)], ["doc_id", "text_key", "node", "n"])
+                if len(s):
+                    n[i], node[i], bits[i] = len(s), set_key(s), _bits(s)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(node, mask=n == 0), pa.array(n), pa.array(bits, pa.binary())], ["doc_id", "text_key", "node", "n", "bits"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, n long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, node long, n long, bits binary")
 
 
 def _given_out(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -176,33 +176,52 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _read_again(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, n, shingles, bits of the nodes in ids (doc_id, node): one text of each is read."""
+    """node, n, shingles of the nodes in ids (doc_id, node): one text of each is read."""
     few = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
     # of rows that repeat the id, the one whose set is the node's counts
     texts = docs.select("doc_id", "text").join(small_side(ids.select("doc_id", "node"), few), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, keys, shingles, bits = b.column("node").to_pylist(), [], [], []
+            node, keys, shingles = b.column("node").to_pylist(), [], []
             for i, s in sets(_texts(b)):
                 if len(s) and set_key(s) == node[i]:
                     keys.append(node[i])
                     shingles.append(s.view(np.int64))
-                    bits.append(_bits(s))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in shingles], pa.int64()), pa.array(shingles, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["node", "n", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in shingles], pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["node", "n", "shingles"])
 
-    got = texts.mapInArrow(run, "node long, n long, shingles array<long>, bits binary")
-    return got
+    return texts.mapInArrow(run, "node long, n long, shingles array<long>")
 
 
-def _linked(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose sets overlap enough."""
-    a = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    b = known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    n = known.select("node", "n")
-    near = pairs.join(n.toDF("a", "xa"), "a").join(n.toDF("b", "xb"), "b").where((4 * F.col("xa") >= 3 * F.col("xb")) & (4 * F.col("xb") >= 3 * F.col("xa"))).select("a", "b")
-    both = near.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, na, nb, bits_a, bits_b -> the pairs whose sketches differ no more than linked sets can."""
+    for b in batches:
+        n = b.column("na").to_numpy() + b.column("nb").to_numpy()
+        keep = np.zeros(len(b), dtype=bool)
+        for i, (x, y) in enumerate(zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist(), strict=True)):
+            size = min(len(x), len(y))
+            far = _folded(np.frombuffer(x, dtype=np.uint8), size) ^ _folded(np.frombuffer(y, dtype=np.uint8), size)
+            keep[i] = int.from_bytes(far.tobytes(), "little").bit_count() <= n[i] // 7
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+
+def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that sizes and sketches (info: node, n, bits) allow."""
+    a, b = info.toDF("a", "na", "bits_a"), info.toDF("b", "nb", "bits_b")
+    near = pairs.join(a, "a").join(b, "b").where("4 * na >= 3 * nb AND 4 * nb >= 3 * na")
+    return near.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_allowed, "a long, b long")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of plausible pairs (a, b), those whose sets overlap enough: the sets of their nodes are made again and counted."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = nodes.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
+    known = written(_read_again(docs, written(ids, "parity-ids")), "parity-sets")
+    if nodes.groupBy("doc_id").count().where("count > 1").limit(1).count():  # some id has several rows
+        known = known.dropDuplicates(["node"])
+    a, b = known.toDF("a", "na", "sa"), known.toDF("b", "nb", "sb")
+    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(100 * F.col("common") >= 75 * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -250,30 +269,20 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(words * 0.6 / PART_ROWS) + 1)
     given = _given_out(d, _frequent(d)).repartition(tasks, "sig").sortWithinPartitions("sig", "node")
     stars = written(given.mapInArrow(_stars, "sig long, center long, node long"), "parity-stars")
-    pairs = written(stars.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "parity-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    known = written(_read_again(d, written(ids, "parity-ids")), "parity-sets")
-    if _repeats(nodes):
-        known = known.dropDuplicates(["node"])
-    labels = components(_linked(pairs, known))
+    info = written(nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "parity-info")
+    pairs = written(_plausible(stars.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), info), "parity-pairs")
+    labels = components(_linked(pairs, d, nodes))
     label = labels.select(F.col("node"), F.col("label"))
     tagged = stars.join(label, "node", "left").join(label.select(F.col("node").alias("center"), F.col("label").alias("cl")), "center", "left").select("sig", "center", "node", F.coalesce("label", "node").alias("label"), F.coalesce("cl", "center").alias("cl"))
     open_sigs = tagged.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("m >= 2 and lo <> hi").select("sig")
     members = tagged.join(open_sigs, "sig", "left_semi").select("sig", "node", "label")
-    info = known.select("node", "n", "bits")
     rest = members.join(info, "node").repartition("sig").sortWithinPartitions("sig").mapInArrow(_rest, "a long, b long").distinct()
     rest = written(rest, "parity-rest")
     if rest.limit(1).count():
-        labels = components(_linked(rest, known), labels)
+        labels = components(_linked(rest, d, nodes), labels)
     return nodes, labels
 
 
-def _repeats(nodes: DataFrame) -> bool:
-    """Whether some doc_id has several rows."""
-    return bool(nodes.groupBy("doc_id").count().where("count > 1").limit(1).count())
-
-
 def _component_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n, label by row; label null without words."""
     nodes, labels = similar_components(docs)
