@@ -32,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import written
 from .shingles import substring_hashes
 
 GRAM = 32
 #: Bytes hashed at once, most bytes of a segment, distinct runs of an anchor that one bucket may hold.
 GROUP_BYTES, SEGMENT, HOT_RUNS = 2_000_000, 8_000_000, 20_000
-#: Rows of spans broadcast at most (about 60 bytes each); more are joined.
-SMALL_ROWS = 150_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -108,8 +106,7 @@ def _all_runs(docs: DataFrame, window: int) -> DataFrame:
 def _cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """wanted (doc_id, k, ...) + the run's bytes."""
     rows = wanted.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "run", "c", "p", "n", "anchor_at")).alias("runs")).toDF("w_id", "w_k", "runs")
-    few = wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    both = docs.join(small_side(rows, few), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("k") == F.col("w_k"))).select("doc_id", "k", "text", "runs")
+    both = docs.join(rows, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("k") == F.col("w_k"))).select("doc_id", "k", "text", "runs")
     kind = "doc_id long, k long, anchor long, run long, c long, p long, n long, anchor_at long, lead long, data binary"
     names = [x.split()[0] for x in kind.split(", ")]
 
@@ -312,8 +309,7 @@ def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     """docs + k, spans."""
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
     spans = written(repeated_spans(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("k"), "text"), window), "suffix-spans").toDF("_id", "_k2", "_spans")
-    few = spans.limit(SMALL_ROWS // 5 + 1).count() <= SMALL_ROWS // 5
-    return keyed.join(small_side(spans, few), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k2")), "left").drop("_k", "_id", "_k2")
+    return keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k2")), "left").drop("_k", "_id", "_k2")
 
 
 def digest(docs: DataFrame, window: int = 400) -> DataFrame:
