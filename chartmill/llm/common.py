@@ -27,14 +27,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that written() made and release() has not removed, oldest first.
+_made: list[str] = []
+
+
+def made_so_far() -> list[str]:
+    return list(_made)
+
+
+def release(spark: SparkSession, paths: list[str], reader: DataFrame | None) -> None:
+    """Removes those tables of written() that `reader` doesn't read. The caller vouches that nothing else does."""
+    read = " ".join(reader.inputFiles()) if reader is not None and paths else ""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if path in _made and path.rsplit("/", 1)[1] not in read:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            _made.remove(path)
+
+
 def delete_written(spark: SparkSession) -> None:
     """Removes every table that written() made in this application."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made.clear()
 
 
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
