@@ -7,10 +7,12 @@ Parquet in the shared folder and read again.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartmill.llm.common import written
+from chartmill.llm.common import made_so_far, release, written
 from chartmill.llm.packing_gga import pack
 from chartmill.llm.pareto_mix import mix
 from chartmill.llm.parity_join import one_of_each
@@ -19,33 +21,57 @@ from chartmill.llm.suffix_dedup import without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Scratch tables of stages that have run. A stage's rows are written before the next stage begins, so these can go
+#: then, unless that stage's input still reads them.
+_scratch: list[str] = []
+
+
+def _stage(f):
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _scratch, docs)
+        before = set(made_so_far())
+        out = f(spark, docs, sf_dir)
+        made = [p for p in made_so_far() if p not in before] if f is not packing_rows else []  # the result itself may be read later
+        _scratch[:] = [p for p in _scratch if p in made_so_far()] + made
+        return out
+
+    return run_stage
 
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the robust distance reject go."""
     return judge(docs, keep=("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return one_of_each(docs.select(*COLUMNS))
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 400 bytes or more that occur elsewhere are cut out; n_chars follows the text."""
     return without_repeats(docs.select(*COLUMNS), window=400).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document stays as often as the mix takes it."""
     mixed = mix(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packing_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens, one row a piece."""
     return pack(docs, capacity=2048)
 
 
+packing = _stage(packing_rows)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
