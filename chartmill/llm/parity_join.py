@@ -11,10 +11,11 @@ Very frequent shingles would make hot parts. A bounded sample names them (any ch
 shingles out of both sets can only lower their difference); they are left out of the parts, and sets that
 lack parts without them are joined once more with all their shingles.
 
-Equal sets are one node. Members of a part link to its least node first (a star, not all pairs); after
-these links are verified, only members of still different components are compared, by size and by the
-Hamming distance of bit sketches before their shingles are counted. Every pair is verified exactly, on
-64-bit shingle hashes.
+Equal sets are one node. Members of equal parts aren't paired with each other: in a few rounds each node
+is tested against centres that its sketch allows, links are contracted to components, and groups within one component are done.
+Only members of groups that are still of different components are then compared, by size and by the Hamming
+distance of bit sketches, before their shingles are counted. Every pair is verified exactly, on 64-bit
+shingle hashes; the last comparison leaves no pair of an open group out, so rounds cost no links.
 
 Defined results: null, empty and wordless texts have n_shingles 0 and are components of their own;
 null doc_ids get component null unless linked; repeated rows are equal sets; extra columns are ignored.
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_side, written
@@ -40,6 +41,11 @@ SAMPLE_TEXTS, SAMPLE_TIMES, MOST_FREQUENT = 4000, 12, 50_000
 SMALL_IDS = 500_000
 #: Rows of parts in a task, about: sets the number of partitions with the data.
 PART_ROWS = 1_500_000
+#: Most rounds that test one centre a node before all members of still open groups are compared, and the share of
+#: nodes with a plausible centre under which they end (links don't depend on either).
+ROUNDS, WORTH = 4, 0.005
+#: Centres of a node that a round compares by sketch, and those that it tests.
+CENTRES, TESTED = 6, 2
 
 
 def bands(n: int) -> list[tuple[int, int]]:
@@ -162,8 +168,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(s: np.ndarray) -> bytes:
-    """Parity sketch of twice as many bits as the band's least size, eight times 8 at least."""
-    n = 1 << max(6, len(s).bit_length())
+    """Parity sketch of 2 to 4 bits a shingle: so many that sets a little beyond the bound already differ in more bits than linked ones can."""
+    n = 1 << max(8, len(s).bit_length() + 1)
     bit = (mixed(s ^ np.uint64(0xA5A5A5A5)) % np.uint64(n)).astype(np.int64)
     return np.packbits(np.bincount(bit, minlength=n) & 1).tobytes()
 
@@ -176,10 +182,10 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _read_again(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, n, shingles of the nodes in ids (doc_id, node): one text of each is read."""
+    """node, n, shingles of the nodes in ids (node, doc_id, text_key): one text of each is read; null doc_ids are matched too."""
     few = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-    # of rows that repeat the id, the one whose set is the node's counts
-    texts = docs.select("doc_id", "text").join(small_side(ids.select("doc_id", "node"), few), "doc_id")
+    one = small_side(ids.select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), few)
+    texts = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))).select("text", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,12 +219,12 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return near.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_allowed, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     """Of plausible pairs (a, b), those whose sets overlap enough: the sets of their nodes are made again and counted."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
+    ids = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x")).select("node", "x.doc_id", "x.text_key").join(wanted, "node", "left_semi")
     known = written(_read_again(docs, written(ids, "parity-ids")), "parity-sets")
-    if nodes.groupBy("doc_id").count().where("count > 1").limit(1).count():  # some id has several rows
+    if repeated:  # some rows are identical
         known = known.dropDuplicates(["node"])
     a, b = known.toDF("a", "na", "sa"), known.toDF("b", "nb", "sb")
     both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
@@ -260,6 +266,36 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
+def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """groups (sig, node) + label: the node's component so far, itself without links."""
+    if labels is None:
+        return groups.withColumn("label", F.col("node"))
+    return groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+
+
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The groups whose members are still of different components."""
+    tagged = _labelled(groups, labels)
+    mixed_ = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    return groups.join(mixed_, "sig", "left_semi")
+
+
+def _round_pairs(groups: DataFrame, labels: DataFrame | None, info: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of a node with centres of its groups that are of another component: CENTRES are compared by sketch, and of
+    those that it allows TESTED are kept.
+
+    A round has its own order of nodes, so that groups get new centres."""
+    order = lambda c: F.xxhash64(F.lit(k), c)
+    tagged = _labelled(groups, labels)
+    centres = tagged.groupBy("sig").agg(F.min(F.struct(order(F.col("node")).alias("o"), F.col("node"), F.col("label"))).alias("c"))
+    pairs = tagged.join(centres, "sig").where(F.col("label") != F.col("c.label")).groupBy("node", F.col("c.node").alias("a")).agg(F.count(F.lit(1)).alias("shared"))
+    # parts that a pair shares speak for it, so the most come first
+    first = Window.partitionBy("node").orderBy(F.desc("shared"), order(F.col("a")))
+    some = pairs.withColumn("r", F.row_number().over(first)).where(F.col("r") <= CENTRES)
+    near = _plausible(some.select("a", F.col("node").alias("b")), info)
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(order(F.col("a"))))).where(F.col("r") <= TESTED).select("a", "b")
+
+
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (doc_id, node, n by row; node, label of linked nodes)."""
     spark: SparkSession = docs.sparkSession
@@ -270,16 +306,24 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     given = _given_out(d, _frequent(d)).repartition(tasks, "sig").sortWithinPartitions("sig", "node")
     stars = written(given.mapInArrow(_stars, "sig long, center long, node long"), "parity-stars")
     info = written(nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "parity-info")
-    pairs = written(_plausible(stars.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), info), "parity-pairs")
-    labels = components(_linked(pairs, d, nodes))
-    label = labels.select(F.col("node"), F.col("label"))
-    tagged = stars.join(label, "node", "left").join(label.select(F.col("node").alias("center"), F.col("label").alias("cl")), "center", "left").select("sig", "center", "node", F.coalesce("label", "node").alias("label"), F.coalesce("cl", "center").alias("cl"))
-    open_sigs = tagged.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("m >= 2 and lo <> hi").select("sig")
-    members = tagged.join(open_sigs, "sig", "left_semi").select("sig", "node", "label")
-    rest = members.join(info, "node").repartition("sig").sortWithinPartitions("sig").mapInArrow(_rest, "a long, b long").distinct()
-    rest = written(rest, "parity-rest")
-    if rest.limit(1).count():
-        labels = components(_linked(rest, d, nodes), labels)
+    groups = stars.select("sig", "node").unionByName(stars.select("sig", F.col("center").alias("node")).distinct())
+    sizes = info.count()
+    repeated = bool(nodes.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
+    labels = None
+    for k in range(ROUNDS):
+        pairs = written(_round_pairs(groups, labels, info, k), "parity-pairs")
+        found = pairs.count()
+        if found:
+            labels = components(_linked(pairs, d, nodes, repeated), labels)
+            groups = written(_open(groups, labels), "parity-open")
+        if found <= WORTH * sizes:
+            break
+    tagged = _labelled(groups, labels)
+    rest = written(tagged.join(info, "node").repartition("sig").sortWithinPartitions("sig").mapInArrow(_rest, "a long, b long").distinct(), "parity-rest")
+    if rest.count():
+        labels = components(_linked(rest, d, nodes, repeated), labels)
+    if labels is None:
+        labels = spark.createDataFrame([], "node long, label long")
     return nodes, labels
 
 
