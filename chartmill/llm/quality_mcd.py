@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, small_side, written
 
 #: Transformed measures and the least standard deviation that each is given: below it, differences don't matter.
 MEASURES = {"word_length": 0.12, "symbols": 0.04, "dup_lines": 0.16, "repeats": 0.14}
@@ -29,6 +29,8 @@ CORE, FACTOR, STEPS = 0.75, 1.485, 4
 #: Squared Mahalanobis distance beyond which a row is rejected: chi-square with 4 degrees of freedom at 1 - 1e-6.
 CUTOFF = 33.4
 MIN_GROUP = 30
+#: Tables of one row a group are broadcast up to so many groups (counted), so that a hot group's rows stay where they are.
+SMALL_GROUPS = 20_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -86,7 +88,7 @@ def measures() -> dict[str, Column]:
     }
 
 
-def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, fit: DataFrame, small: bool) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance from their group's fit (grp, m_i, s_i_j), by a Cholesky factor in columns."""
     p = len(MEASURES)
     floors = list(MEASURES.values())
@@ -99,26 +101,26 @@ def _distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
             else:
                 f = f.withColumn(f"l_{i}_{j}", (F.col(f"s_{i}_{j}") - known) / F.col(f"l_{j}_{j}"))
     f = f.select("_grp", *[f"m_{i}" for i in range(p)], *[f"l_{i}_{j}" for i in range(p) for j in range(i + 1)])
-    out = rows.join(f, rows.grp == f._grp, "left")
+    out = rows.join(small_side(f, small), F.col("grp") == F.col("_grp"), "left")
     for i, name in enumerate(MEASURES):
         known = sum((F.col(f"l_{i}_{k}") * F.col(f"y_{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"y_{i}", (F.col(name) - F.col(f"m_{i}") - known) / F.col(f"l_{i}_{i}"))
     return out.withColumn("d2", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(p)), F.lit(0.0))).select(*rows.columns, "d2")
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(rows: DataFrame, small: bool) -> DataFrame:
     names = list(MEASURES)
     mid = rows.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{i}") for i, c in enumerate(names)])
-    off = rows.join(mid.withColumnRenamed("grp", "_grp"), F.col("grp") == F.col("_grp"))
+    off = rows.join(small_side(mid.withColumnRenamed("grp", "_grp"), small), F.col("grp") == F.col("_grp"))
     mad = off.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"d_{i}") for i, c in enumerate(names)], *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(len(names))])
     return mad.select("grp", *[f"m_{i}" for i in range(len(names))], *[((1.4826 * F.col(f"d_{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in range(len(names)) for j in range(i + 1)])
 
 
-def _c_step(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def _c_step(rows: DataFrame, fit: DataFrame, small: bool) -> DataFrame:
     names = list(MEASURES)
-    far = _distance(rows, fit)
+    far = _distance(rows, fit, small)
     cut = far.groupBy("grp").agg(F.percentile_approx("d2", CORE, 10_000).alias("cut")).withColumnRenamed("grp", "_grp")
-    core = far.join(cut, F.col("grp") == F.col("_grp")).where(F.col("d2") <= F.col("cut"))
+    core = far.join(small_side(cut, small), F.col("grp") == F.col("_grp")).where(F.col("d2") <= F.col("cut"))
     sums = core.groupBy("grp").agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)], *[F.covar_pop(a, names[j]).alias(f"s_{i}_{j}") for i, a in enumerate(names) for j in range(i + 1)])
     return sums.select("grp", *[f"m_{i}" for i in range(len(names))], *[(FACTOR * F.col(f"s_{i}_{j}")).alias(f"s_{i}_{j}") for i in range(len(names)) for j in range(i + 1)])
 
@@ -127,19 +129,20 @@ def robust_distance(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """stats (lang, source, measures ...) + d2; null where the row's group and language are both too small to judge."""
     text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     keyed = stats.withColumn("_l", text("lang")).withColumn("_g", F.concat_ws("\x1f", text("lang"), text("source")))
-    by_group = keyed.groupBy("_l", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    by_group = written(keyed.groupBy("_l", "_g").agg(F.count(F.lit(1)).alias("_n")), "mcd-groups")
+    few = by_group.count() <= SMALL_GROUPS
     size = by_group.select(F.col("_g").alias("_g2"), F.when(F.col("_n") >= min_group, F.col("_g")).otherwise(F.col("_l")).alias("grp"))
-    rows = written(keyed.join(size, F.col("_g") == F.col("_g2")).drop("_g2", "_g"), "mcd-rows")
+    rows = written(keyed.join(small_side(size, few), F.col("_g") == F.col("_g2")).drop("_g2", "_g"), "mcd-rows")
     # A language's own estimate is over all its rows, so small groups are judged by the whole language.
     small = rows.where(F.col("grp") == F.col("_l")).select("_l").distinct().withColumnRenamed("_l", "_s")
-    pooled = rows.join(small, F.col("_l") == F.col("_s"), "left_semi").withColumn("grp", F.col("_l"))
+    pooled = rows.join(small_side(small, few), F.col("_l") == F.col("_s"), "left_semi").withColumn("grp", F.col("_l"))
     fitted = rows.where(F.col("grp") != F.col("_l")).unionByName(pooled).select("grp", *MEASURES)
     enough = fitted.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_group).select(F.col("grp").alias("_e"))
-    fitted = fitted.join(enough, F.col("grp") == F.col("_e"), "left_semi")
-    fit = written(_start(fitted), "mcd-fit0")
+    fitted = fitted.join(small_side(enough, few), F.col("grp") == F.col("_e"), "left_semi")
+    fit = written(_start(fitted, few), "mcd-fit0")
     for k in range(STEPS):
-        fit = written(_c_step(fitted, fit), f"mcd-fit{k + 1}")
-    return _distance(rows, fit).drop("grp", "_l")
+        fit = written(_c_step(fitted, fit, few), f"mcd-fit{k + 1}")
+    return _distance(rows, fit, few).drop("grp", "_l")
 
 
 def judge(docs: DataFrame, keep: tuple[str, ...] = (), min_group: int = MIN_GROUP) -> DataFrame:
