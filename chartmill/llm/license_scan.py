@@ -93,7 +93,9 @@ def training_notes(spark: SparkSession, corpus: DataFrame | None) -> DataFrame:
     if corpus is None:
         return fixed
     # The corpus holds notices too: passages that cover a template are no example of the unknown class.
-    sample = corpus.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id").limit(NEGATIVE_ROWS)
+    ids = corpus.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id").limit(NEGATIVE_ROWS)
+    # Only ids are ranked in one place; at most NEGATIVE_ROWS of them are broadcast.
+    sample = corpus.where(F.col("text").isNotNull()).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     rows = passages(sample.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.substring("text", 1, 4000).alias("text")))
     parts = F.concat("words", _bigrams(F.col("words")))
     clean = rows.withColumn("all", _template_parts()).where(~F.exists("all", lambda t: F.size(F.array_intersect(t, parts)) >= COVER * F.size(t))).select("words")
