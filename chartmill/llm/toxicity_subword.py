@@ -28,7 +28,7 @@ from .langid_crf import held_out
 from .ngrams import WordTable, batches_of_words, csr, stripped
 
 #: Bound of the training sample: rows of the toxic and the clean class, and words of each.
-ROWS, WORDS = (900, 2700), 600
+ROWS, WORDS = (800, 2000), 400
 BUCKETS, SIZES, DIM = 1 << 18, (3, 4, 5), 4
 #: Words in a window, step between windows, words of a group in memory.
 WINDOW, STEP, GROUP = 6, 3, 300_000
@@ -77,13 +77,14 @@ class Subword:
         place = {w: i for i, w in enumerate(vocabulary)}
         starts, feature = csr(vocabulary, SIZES, BUCKETS)
         grams = np.diff(np.r_[starts, len(feature)])
-        docs = [np.array([place[w] for w in ws]) for ws, _ in texts]
+        docs = [np.array([place[w] for w in ws], dtype=np.int32) for ws, _ in texts]
         label = np.array([y for _, y in texts])
         check = np.zeros(len(label), dtype=bool)  # rows for the calibration: every fourth of a class
         for c in (0, 1):
             check[np.flatnonzero(label == c)[3::4]] = True
         # n-grams of too few rows say nothing about unseen text: they stay at zero
-        of_word = np.repeat(np.arange(len(vocabulary)), grams)
+        feature = feature.astype(np.int32)
+        of_word = np.repeat(np.arange(len(vocabulary), dtype=np.int32), grams)
         seen = np.zeros((2, BUCKETS))
         for d, y, aside in zip(docs, label, check, strict=True):
             if not aside:
