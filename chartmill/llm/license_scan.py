@@ -1,13 +1,19 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions and spark.ml only.
 
-Passages (lines, and overlapping windows of long lines) become sparse hashed word uni- and bigrams. A
+Passages become sparse hashed word uni- and bigrams: lines, overlapping windows of long lines, and, as
+texts are often hard-wrapped, windows that run across the line ends of a paragraph (a run of lines with a
+word) and the words on either side of each of its line ends. A
 multinomial logistic regression, trained here on notices built from licence names and carrier phrases,
 on clauses of the licence texts and on a bounded sample of the corpus as the unknown class, names a
 family. A passage counts if its licence probability passes a bound calibrated on passages of the
 unknown class that the regression was not fitted on, and if its words cover a template of that family.
 
-Training is bounded (NOTES below and NEGATIVE_ROWS rows); every passage of every whole text is scored.
-The only shuffle carries the passages that were confirmed.
+Training is bounded (NOTES below and NEGATIVE_ROWS rows). Every line of every whole text is scored.
+Passages across line ends are scored where their paragraph as a whole covers a template: in any other
+paragraph none of them could be confirmed. The only shuffle carries the passages that were confirmed.
+
+n_passages counts lines with a word. n_licence_passages counts confirmed lines (windows of long ones),
+and 1 for a paragraph that is confirmed across its line ends only.
 
 Defined results: null, empty and wordless texts have no passage and no licence; each distinct (doc_id,
 text) is judged once and repeated rows get equal results; an empty corpus gives no rows; extra columns
@@ -57,11 +63,15 @@ CLAUSES = {
 # Sentences of the unknown class that use licence words.
 NEAR_MISSES = ["The driver renewed her license last week.", "A software license can be expensive.", "Released under pressure from the press.", "The terms of the agreement were not public.", "Copyright is a matter of law.", "Permission was denied to any person.", "The Apache are a people of the Southwest.", "She studied at MIT for four years.", "Version 3 of the plan was distributed.", "The general public was free to enter.", "Public license fees rose.", "This work is new."]
 
-#: Hash buckets, words of a passage and step between passages of a long line.
-BUCKETS, PASSAGE, STEP = 1 << 13, 48, 24
+#: Hash buckets, words of a passage, step between passages of a long line or a paragraph, words taken on either side of a line end.
+BUCKETS, PASSAGE, STEP, EDGE = 1 << 13, 48, 24, 12
+#: Lines without a word end a paragraph. Possessive, so that the matcher keeps no stack.
+BREAK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 #: Bound of the corpus sample for the unknown class, share of it kept for the calibration's quantile, share of a template's bigrams that confirms.
 NEGATIVE_ROWS, QUANTILE, COVER = 400, 0.999, 0.6
 UNKNOWN = "unknown"
+# Words of templates that any English text holds.
+COMMON = frozenset("the of to and in or is a an any this on it be by for with without may not that are can as all has his her from which either work".split())
 
 
 def words_of(text: Column) -> Column:
@@ -72,12 +82,40 @@ def _bigrams(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
+def _windows(w: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - STEP, F.lit(1)), F.lit(STEP)), lambda at: F.slice(w, at, PASSAGE))
+
+
+def _paragraphs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text_key, text) -> doc_id, text_key, para, lines, covers: the words of the paragraph's lines that have any, and whether they cover a template together.
+
+    No filter stands on these columns: it would be pushed below them and make them twice."""
+    paras = docs.select("doc_id", "text_key", F.posexplode(F.split("text", BREAK)).alias("para", "body"))
+    words = paras.select("doc_id", "text_key", "para", F.filter(F.transform(F.split("body", "\n"), words_of), lambda w: F.size(w) > 0).alias("lines"))
+    whole = words.withColumn("whole", F.flatten("lines"))
+    some = F.arrays_overlap("whole", F.array(*[F.lit(w) for w in _anchors()]))
+    known = F.when(some, F.array_distinct(F.filter(F.concat("whole", _bigrams(F.col("whole"))), lambda t: t.isin(_known_parts()))))
+    cover = whole.withColumn("known", known).withColumn("templates", _template_parts())
+    covers = F.when(F.size("known") > 0, F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("known"))) >= COVER * F.size(t))).otherwise(False)
+    return cover.select("doc_id", "text_key", "para", "lines", covers.alias("covers"))
+
+
+def _labelled(words: Column, line: bool) -> Column:
+    return F.transform(words, lambda w: F.struct(F.lit(line).alias("line"), w.alias("words")))
+
+
+def _own(lines: Column) -> Column:
+    return F.flatten(F.transform(lines, _windows))
+
+
 def passages(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text_key, text) -> doc_id, text_key, words: lines with a word, and overlapping windows of long ones."""
-    lines = docs.select("doc_id", "text_key", F.explode(F.split("text", "\n")).alias("line"))
-    w = lines.select("doc_id", "text_key", words_of(F.col("line")).alias("all")).where(F.size("all") > 0)
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("all") - STEP, F.lit(1)), F.lit(STEP)))
-    return w.select("doc_id", "text_key", "all", at.alias("at")).select("doc_id", "text_key", F.slice("all", F.col("at"), PASSAGE).alias("words"))
+    """docs (doc_id, text_key, text) -> doc_id, text_key, para, line (the passage is of one line), words."""
+    n = F.size("lines")
+    ends = F.zip_with(F.slice("lines", 1, n - 1), F.slice("lines", 2, n - 1), lambda a, b: F.concat(F.slice(a, F.greatest(F.size(a) - EDGE + 1, F.lit(1)), EDGE), F.slice(b, 1, EDGE)))
+    own = _labelled(_own(F.col("lines")), True)
+    across = _labelled(F.concat(ends, _windows(F.flatten("lines"))), False)
+    found = F.explode(F.when(F.col("covers") & (n > 1), F.concat(own, across)).otherwise(own))
+    return _paragraphs(docs).select("doc_id", "text_key", "para", found.alias("p")).select("doc_id", "text_key", "para", "p.line", "p.words")
 
 
 def featured(rows: DataFrame) -> DataFrame:
@@ -92,13 +130,12 @@ def training_notes(spark: SparkSession, corpus: DataFrame | None) -> DataFrame:
     fixed = spark.createDataFrame(notes, "family string, note string").select("family", words_of(F.col("note")).alias("words"), F.lit(False).alias("aside"))
     if corpus is None:
         return fixed
-    # The corpus holds notices too: passages that cover a template are no example of the unknown class.
+    # The corpus holds notices too: paragraphs that cover a template, and so the lines of a wrapped one, are no example of the unknown class.
     ids = corpus.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id").limit(NEGATIVE_ROWS)
     # Only ids are ranked in one place; at most NEGATIVE_ROWS of them are broadcast.
     sample = corpus.where(F.col("text").isNotNull()).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    rows = passages(sample.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.substring("text", 1, 4000).alias("text")))
-    parts = F.concat("words", _bigrams(F.col("words")))
-    clean = rows.withColumn("all", _template_parts()).where(~F.exists("all", lambda t: F.size(F.array_intersect(t, parts)) >= COVER * F.size(t))).select("words")
+    paras = _paragraphs(sample.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.substring("text", 1, 4000).alias("text")))
+    clean = paras.where(~F.col("covers")).select(F.explode(_own(F.col("lines"))).alias("words"))
     clean = clean.withColumn("aside", F.pmod(F.xxhash64("words"), F.lit(4)) == 0)
     return fixed.unionByName(clean.select(F.lit(UNKNOWN).alias("family"), "words", "aside"))
 
@@ -110,6 +147,15 @@ def _parts_of(note: str) -> list[str]:
     return sorted(set(pairs or w))
 
 
+def _anchors() -> list[str]:
+    """Words of the templates but COMMON: more than 1 - COVER of each template's parts hold one, so a text without any covers none."""
+    return sorted({w for p in _known_parts() for w in p.split()} - COMMON)
+
+
+def _known_parts() -> list[str]:
+    return sorted({p for n in [n for ns in NAMES.values() for n in ns] + list(CLAUSES.values()) for p in _parts_of(n)})
+
+
 def _template_parts(family: str | None = None) -> Column:
     """Literal array of the templates' bigrams; their number is that of the fixed values above."""
     notes = [n for f, ns in NAMES.items() for n in ns if family in (None, f)] + [c for f, c in CLAUSES.items() if family in (None, f)]
@@ -150,7 +196,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     parts = F.concat("words", _bigrams(F.col("words")))
     own = F.coalesce(*[F.when(F.col("family") == f, _template_parts(f)) for f in NAMES])
     near = near.where(F.exists(own, lambda t: F.size(F.array_intersect(t, parts)) >= COVER * F.size(t)))
-    found = near.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"), F.max("score").alias("score"))
+    found = near.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg((F.count_if("line") + F.size(F.array_except(F.collect_set("para"), F.collect_set(F.when(F.col("line"), F.col("para")))))).alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"), F.max("score").alias("score"))
     everything = d.select("doc_id", "text_key", _passage_count().alias("n_passages"))
     out = everything.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     return out.select("doc_id", "n_passages", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_licence_passages"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("score", F.lit(0.0)).alias("score"))
