@@ -7,6 +7,8 @@ count as evidence: points that aren't finite are left out, and what can't be eva
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,23 +195,36 @@ def coarse_monotone(points: DataFrame, bins: int = 24) -> DataFrame:
     return mids.withColumn("_top", top).groupBy("curve").agg(F.count(F.lit(1)).alias("n_bins"), F.greatest(F.coalesce(F.max(F.col("_top") - F.col("mid")), F.lit(0.0)), F.lit(0.0)).alias("largest_fall"))
 
 
-def three_segments(points: DataFrame, least: int = 2, most_points: int = 64) -> DataFrame:
+def three_segments(points: DataFrame, least: int = 2) -> DataFrame:
     """The split of a curve into three lines with least squared error, over all split pairs; sums of prefixes make each pair O(1).
 
-    Curves over most_points are refused (null split), as the pairs grow with the square of the points."""
-    up = by_x().rowsBetween(Window.unboundedPreceding, 0)
-    s = points.withColumn("i", F.row_number().over(by_x())).withColumn("n", F.count(F.lit(1)).over(by_curve()))
-    p = s.select("curve", "i", "n", *[F.sum(e).over(up).alias(k) for k, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") * F.col("y")))])
-    ok = p.where((F.col("n") <= most_points) & (F.col("n") >= 3 * least))
-    a, b, c = (ok.select([F.col(k).alias(f"{t}_{k}") if k != "curve" else F.col("curve") for k in ok.columns]) for t in "abc")
-    c = c.where("c_i = c_n")
-    both = a.join(b, "curve").where(f"a_i >= {least} and b_i >= a_i + {least} and a_n - b_i >= {least}").join(c, "curve")
-
-    def sse(hi: str, lo: str | None) -> Column:
-        d = {k: F.col(f"{hi}_{k}") - (F.col(f"{lo}_{k}") if lo else 0) for k in ("i", "sx", "sy", "sxx", "sxy", "syy")}
-        xx, xy, yy = d["sxx"] - d["sx"] * d["sx"] / d["i"], d["sxy"] - d["sx"] * d["sy"] / d["i"], d["syy"] - d["sy"] * d["sy"] / d["i"]
-        return F.greatest(yy - F.when(xx > 1e-12, xy * xy / xx).otherwise(0.0), F.lit(0.0))
-
-    total = sse("a", None) + sse("b", "a") + sse("c", "b")
-    best = both.withColumn("sse", total).withColumn("_r", F.row_number().over(by_curve().orderBy(F.round("sse", 6), "a_i", "b_i"))).where("_r = 1")
-    return best.select("curve", F.col("a_n").alias("n_points"), F.col("a_i").alias("first_split"), F.col("b_i").alias("second_split"), "sse")
+    Curves of any length are fitted: a curve's pairs are scanned by the first split, in memory linear in its points
+    and time that grows with their square. Curves of fewer than 3 * least points give no row."""
+    kind = points.schema["curve"].dataType.simpleString()
+
+    def run(pdf):
+        p = pdf.sort_values("x")
+        n = len(p)
+        if n < 3 * least:
+            return pd.DataFrame({"curve": [], "n_points": [], "first_split": [], "second_split": [], "sse": []})
+        x, y = (p[k].to_numpy(float) - p[k].mean() for k in "xy")
+        sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (np.ones(n), x, y, x * x, x * y, y * y)]
+
+        def sse(lo, hi):
+            k, sx, sy, sxx, sxy, syy = (v[hi] - v[lo] for v in sums)
+            xx, xy, yy = sxx - sx * sx / k, sxy - sx * sy / k, syy - sy * sy / k
+            return np.maximum(yy - np.where(xx > 1e-12, xy * xy / np.where(xx > 1e-12, xx, 1.0), 0.0), 0.0)
+
+        best = None
+        last = sse(np.arange(2 * least, n - least + 1), n)
+        for i in range(least, n - 2 * least + 1):
+            j = np.arange(i + least, n - least + 1)
+            total = sse(0, i) + sse(i, j) + last[i - least :]
+            near = np.round(total, 6)
+            at = int(near.argmin())
+            if best is None or near[at] < best[0]:
+                best = (near[at], i, int(j[at]), float(total[at]))
+        return pd.DataFrame({"curve": [p["curve"].iloc[0]], "n_points": [n], "first_split": [best[1]], "second_split": [best[2]], "sse": [best[3]]})
+
+    used = points.where(finite(F.col("x")) & finite(F.col("y"))).select("curve", F.col("x").cast("double"), F.col("y").cast("double"))
+    return used.groupBy("curve").applyInPandas(run, f"curve {kind}, n_points long, first_split int, second_split int, sse double")
