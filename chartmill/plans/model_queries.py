@@ -144,13 +144,13 @@ def _clusters(s, d):
 
 
 def _segments(s, d):
-    li = table(s, d, "lineitem").where("l_orderkey < 2000")
+    li = table(s, d, "lineitem")
     x, y = F.col("l_linenumber") * 10.0, F.col("l_quantity")
     return li.groupBy(F.col("l_orderkey").alias("panel"), F.col("l_linenumber").cast("long").alias("seg")).agg(F.min("l_quantity").alias("q")).select("panel", "seg", (F.col("seg") * 10.0).alias("x0"), (F.col("q") % 3).alias("y0"), (F.col("seg") * 10.0 + 10).alias("x1"), ((F.col("q") * 7) % 3).alias("y1"))
 
 
 def _knots(s, d):
-    return D.adaptive_knots(_clean(s, d).where("curve < 60"))
+    return D.adaptive_knots(_clean(s, d))
 
 
 _ORD = "rk AS (SELECT p, lv, c, yy, row_number() OVER (PARTITION BY p, lv ORDER BY yy, c) AS k FROM (SELECT l_suppkey AS p, l_linenumber AS lv, l_returnflag AS c, sum(l_quantity) AS yy FROM lineitem GROUP BY 1, 2, 3)), od AS (SELECT p, lv, string_agg(c, ',' ORDER BY k) AS o FROM rk GROUP BY 1, 2), cn AS (SELECT p, o, count(*) AS n FROM od GROUP BY 1, 2)"
