@@ -11,11 +11,12 @@ Very frequent shingles would make hot parts. A bounded sample names them (any ch
 shingles out of both sets can only lower their difference); they are left out of the parts, and sets that
 lack parts without them are joined once more with all their shingles.
 
-Equal sets are one node. Members of equal parts aren't paired with each other: in a few rounds each node
-is tested against centres that its sketch allows, links are contracted to components, and groups within one component are done.
-Only members of groups that are still of different components are then compared, by size and by the Hamming
-distance of bit sketches, before their shingles are counted. Every pair is verified exactly, on 64-bit
-shingle hashes; the last comparison leaves no pair of an open group out, so rounds cost no links.
+Equal sets are one node. The nodes that gave out a part are a group; of groups with the same members one is kept.
+Members of a group aren't paired with each other: in two rounds each node is tested against centres that its sketch
+allows, links are contracted to components, and groups within one component are done. Members of groups that are
+still of different components are compared in place, by size and by the Hamming distance of bit sketches; only pairs
+that these allow are given out, each by the first group that holds both, so refused pairs never are rows. Every pair
+is verified exactly, on 64-bit shingle hashes, and none that could link is left out.
 
 Defined results: null, empty and wordless texts have n_shingles 0 and are components of their own;
 null doc_ids get component null unless linked; repeated rows are equal sets; extra columns are ignored.
@@ -41,11 +42,12 @@ SAMPLE_TEXTS, SAMPLE_TIMES, MOST_FREQUENT = 4000, 12, 50_000
 SMALL_IDS = 500_000
 #: Rows of parts in a task, about: sets the number of partitions with the data.
 PART_ROWS = 1_500_000
-#: Most rounds that test one centre a node before all members of still open groups are compared, and the share of
-#: nodes with a plausible centre under which they end (links don't depend on either).
-ROUNDS, WORTH = 4, 0.005
+#: Rounds that test a node against centres before the members of still open groups are compared (links don't depend on it).
+ROUNDS = 2
 #: Centres of a node that a round compares by sketch, and those that it tests.
 CENTRES, TESTED = 6, 2
+#: Members of a group that a task compares with each other; a larger group is cut into pairs of blocks.
+MOST_MEMBERS = 4000
 
 
 def bands(n: int) -> list[tuple[int, int]]:
@@ -231,39 +233,78 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool)
     return both.where(100 * F.col("common") >= 75 * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig, of parts with unlinked members -> pairs of different components that size and sketch allow."""
-
-    def compare(rows: list) -> tuple[list[int], list[int]]:
-        rows = sorted(rows, key=lambda r: r[3])
-        node, label, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
-        left, right = [], []
-        size = min(len(r[4]) for r in rows)
-        bits = np.stack([_folded(np.frombuffer(r[4], dtype=np.uint8), size) for r in rows])
-        for i in range(len(rows) - 1):  # partners are at most a third larger
-            j = np.arange(i + 1, np.searchsorted(n, 4 * n[i] // 3, side="right"))
-            j = j[label[j] != label[i]]
-            if len(j):
-                far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                j = j[far <= (n[i] + n[j]) // 7]
-                left += [node[i]] * len(j)
-                right += node[j].tolist()
-        return left, right
-
-    held: list = []
+def _plausible_in(rows: list[dict]) -> Iterator[tuple[int, int]]:
+    """(i, j) of a group's rows of different components that size and sketch allow. A row is compared with all later ones of its
+    size at once; of a group's block pair, rows of one block meet in the pair of that block with itself."""
+    rows.sort(key=lambda r: r["n"])
+    label, n, block = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("label", "n", "block"))
+    apart = len(rows) > 0 and not rows[0]["own"]
+    size = min(len(r["bits"]) for r in rows)
+    wide = np.stack([_folded(np.frombuffer(r["bits"], dtype=np.uint8), size) for r in rows]).view(np.uint64)
+    upto = np.searchsorted(n, 4 * n // 3, side="right")  # partners are at most a third larger
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, upto[i])
+        j = j[(label[j] != label[i]) & ((block[j] != block[i]) if apart else True)]
+        if len(j):
+            far = np.bitwise_count(wide[j] ^ wide[i]).sum(1, dtype=np.int64)
+            for k in j[far <= (n[i] + n[j]) // 7].tolist():
+                yield i, k
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows sorted by key, group by group."""
+    held: list[dict] = []
     for b in batches:
-        out_a, out_b = [], []
-        for r in zip(*[b.column(k).to_pylist() for k in ("sig", "node", "label", "n", "bits")], strict=True):
-            if held and held[-1][0] != r[0]:
-                x, y = compare(held)
-                out_a += x
-                out_b += y
+        for r in b.to_pylist():
+            if held and held[-1]["key"] != r["key"]:
+                yield held
                 held = []
             held.append(r)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
     if held:
-        x, y = compare(held)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        yield held
+
+
+def _in_batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held, strict=True)], names)
+            held = []
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.int64()) for i in range(len(names))], names)
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """-> sig of groups that hold a plausible pair of different components."""
+    return _in_batches(((g[0]["sig"],) for g in _groups_of(batches) if len(g) > 1 and next(_plausible_in(g), None)), ["sig"])
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """-> a, b: plausible pairs of different components, each from the first group that both are in (sigs: a node's groups)."""
+
+    def pairs() -> Iterator[tuple[int, int]]:
+        for g in _groups_of(batches):
+            if len(g) > 1:
+                found = list(_plausible_in(g))
+                sigs = {i: np.array(g[i]["sigs"], dtype=np.int64) for i in {x for p in found for x in p}}
+                for i, j in found:
+                    if np.intersect1d(sigs[i], sigs[j], assume_unique=True)[0] == g[0]["sig"]:
+                        yield g[i]["node"], g[j]["node"]
+
+    return _in_batches(pairs(), ["a", "b"])
+
+
+def _dealt(rows: DataFrame, most: int) -> DataFrame:
+    """rows (sig, node ...) + key, block, own, sorted by key in a task. A group of over `most` rows is cut into blocks, and each pair of blocks is a key."""
+    large = written(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > most).select(F.col("sig").alias("s"), F.ceil(F.col("m") / most).cast("long").alias("blocks")), "parity-large")
+    if not large.limit(1).count():
+        keyed = rows.withColumns({"key": F.col("sig"), "block": F.lit(0).cast("long"), "own": F.lit(True)})
+    else:
+        cut = rows.join(large, F.col("sig") == F.col("s"), "left").drop("s").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        cut = cut.withColumn("block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        key = F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other"))
+        keyed = cut.withColumns({"key": F.when(F.col("blocks") > 1, key).otherwise(F.col("sig")), "own": F.col("block") == F.col("other")}).drop("blocks", "other")
+    return keyed.repartition("key").sortWithinPartitions("key")
 
 
 def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -273,6 +314,12 @@ def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
 
 
+def _distinct_groups(groups: DataFrame) -> DataFrame:
+    """One of the groups that have the same members: texts that share a passage share many parts. Member sets compare by 64-bit hash and size."""
+    members = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    return groups.join(members.groupBy("m", "x").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
 def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """The groups whose members are still of different components."""
     tagged = _labelled(groups, labels)
@@ -284,10 +331,12 @@ def _round_pairs(groups: DataFrame, labels: DataFrame | None, info: DataFrame, k
     """Pairs (a, b) of a node with centres of its groups that are of another component: CENTRES are compared by sketch, and of
     those that it allows TESTED are kept.
 
-    A round has its own order of nodes, so that groups get new centres."""
+    A group's centre is its member of most groups: the text that others were made from shares parts with all of them."""
     order = lambda c: F.xxhash64(F.lit(k), c)
     tagged = _labelled(groups, labels)
-    centres = tagged.groupBy("sig").agg(F.min(F.struct(order(F.col("node")).alias("o"), F.col("node"), F.col("label"))).alias("c"))
+    wide = groups.groupBy("node").agg(F.count(F.lit(1)).alias("wide"))
+    ranked = tagged.join(wide, "node")
+    centres = ranked.groupBy("sig").agg(F.min(F.struct(-F.col("wide"), order(F.col("node")).alias("o"), F.col("node"), F.col("label"))).alias("c"))
     pairs = tagged.join(centres, "sig").where(F.col("label") != F.col("c.label")).groupBy("node", F.col("c.node").alias("a")).agg(F.count(F.lit(1)).alias("shared"))
     # parts that a pair shares speak for it, so the most come first
     first = Window.partitionBy("node").orderBy(F.desc("shared"), order(F.col("a")))
@@ -296,6 +345,17 @@ def _round_pairs(groups: DataFrame, labels: DataFrame | None, info: DataFrame, k
     return near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(order(F.col("a"))))).where(F.col("r") <= TESTED).select("a", "b")
 
 
+def _last_pairs(groups: DataFrame, labels: DataFrame | None, info: DataFrame) -> DataFrame:
+    """a, b: all pairs of different components that share a group and that size and sketch allow, each once."""
+    columns = ["key", "sig", "node", "label", "n", "bits", "block", "own"]
+    rows = _labelled(groups, labels).join(info, "node")
+    live = written(_dealt(rows, MOST_MEMBERS).select(columns).mapInArrow(_live, "sig long").distinct(), "parity-live")
+    left = written(groups.join(live, "sig", "left_semi"), "parity-left")
+    lists = left.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # at most the parts that a node gives out
+    rows = _labelled(left, labels).join(info.join(lists, "node"), "node")
+    return written(_dealt(rows, MOST_MEMBERS).select(*columns, "sigs").mapInArrow(_rest, "a long, b long"), "parity-rest")
+
+
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (doc_id, node, n by row; node, label of linked nodes)."""
     spark: SparkSession = docs.sparkSession
@@ -306,21 +366,16 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     given = _given_out(d, _frequent(d)).repartition(tasks, "sig").sortWithinPartitions("sig", "node")
     stars = written(given.mapInArrow(_stars, "sig long, center long, node long"), "parity-stars")
     info = written(nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "parity-info")
-    groups = stars.select("sig", "node").unionByName(stars.select("sig", F.col("center").alias("node")).distinct())
-    sizes = info.count()
+    groups = written(_distinct_groups(stars.select("sig", "node").unionByName(stars.select("sig", F.col("center").alias("node")).distinct())), "parity-groups")
     repeated = bool(nodes.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
     labels = None
     for k in range(ROUNDS):
         pairs = written(_round_pairs(groups, labels, info, k), "parity-pairs")
-        found = pairs.count()
-        if found:
+        if pairs.limit(1).count():
             labels = components(_linked(pairs, d, nodes, repeated), labels)
-            groups = written(_open(groups, labels), "parity-open")
-        if found <= WORTH * sizes:
-            break
-    tagged = _labelled(groups, labels)
-    rest = written(tagged.join(info, "node").repartition("sig").sortWithinPartitions("sig").mapInArrow(_rest, "a long, b long").distinct(), "parity-rest")
-    if rest.count():
+        groups = written(_open(groups, labels), "parity-open")
+    rest = _last_pairs(groups, labels, info)
+    if rest.limit(1).count():
         labels = components(_linked(rest, d, nodes, repeated), labels)
     if labels is None:
         labels = spark.createDataFrame([], "node long, label long")
