@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..functions.rules import Holds, first_kind_sql
 from .adapters import CAPTIONS, caption_lines
 from .curve_queries import _clean, _round
 from .adapters import CLEAN
@@ -15,25 +16,6 @@ _N = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[‐‑‒
 _C = "regexp_replace(" + _N + ", '[^a-z0-9]+', '', 'g')"
 
 
-def _has(x, *ns):
-    return "(" + " OR ".join(f"contains({x}, '{n}')" for n in ns) + ")"
-
-
-def _diode(x):
-    return f"(NOT {_has(x, 'recovery', 'test circuit')} AND {_has(x, 'diode', 'source drain', 'drain source')} AND {_has(x, 'forward characteristics', 'diode forward', 'forward voltage', 'body diode characteristics', 'body diode transfer characteristics', 'reverse drain source characteristics', 'reverse source drain characteristics')})"
-
-
-_KIND = f"""WITH {CAPTIONS}, n AS (SELECT id, title, text, {_N.format('title')} AS t, {_C.format('title')} AS tc, {_N.format('text')} AS p, {_C.format('text')} AS pc, {_N.format("concat(title, ' ', text)")} AS h, {_C.format("concat(title, ' ', text)")} AS c FROM caps)
- SELECT id, CASE WHEN {_has('t', 'test circuit', 'measurement circuit', 'gate charge waveform definitions')} THEN 'chart'
- WHEN regexp_full_match(tc, 'i(d|ds)vgs') THEN 'transfer' WHEN regexp_full_match(tc, 'rds(on)?(i(d|ds)|t[ajc])') THEN 'rds_on' WHEN regexp_full_match(tc, 'i(dr|s)v(ds|sd)') THEN 'body_diode' WHEN regexp_full_match(tc, '(normalized)?vbrdsst[ajc]') THEN 'breakdown_voltage'
- WHEN {_diode('t')} THEN 'body_diode' WHEN {_has('t', 'coss', 'output capacitance')} AND contains(t, 'energy') THEN 'coss_energy'
- WHEN NOT ({_has('pc', 'ciss', 'coss', 'crss', 'inputcapacitanceiss', 'outputcapacitanceoss', 'reversetransfercapacitancerss')} OR regexp_matches(p, 'capacitances?.{{0,16}}\\b[pnum]?f\\b|\\b[pnum]?f\\b.{{0,16}}capacitances?')) AND {_has('p', 'safe operation area', 'safe operating area')} THEN 'safe_operating_area'
- WHEN NOT ({_has('pc', 'ciss', 'coss', 'crss')}) AND ({_diode('p')} OR (contains(p, 'reverse') AND contains(p, 'drain') AND contains(p, 'current') AND contains(p, 'voltage'))) THEN 'body_diode'
- WHEN {_has('h', 'ciss', 'coss', 'crss', 'capacitance')} THEN 'capacitances' WHEN {_has('h', 'gate charge', 'dynamic input output')} THEN 'gate_charge' WHEN contains(h, 'safe operating') THEN 'safe_operating_area' WHEN {_has('h', 'thermal impedance', 'zth')} THEN 'thermal_impedance' WHEN {_diode('h')} THEN 'body_diode'
- WHEN contains(h, 'breakdown voltage') OR (contains(h, 'temperature') AND (contains(h, 'drain source breakdown') OR contains(c, 'vbrdss'))) THEN 'breakdown_voltage' WHEN contains(h, 'transfer characteristics') THEN 'transfer' WHEN contains(h, 'output characteristics') THEN 'output'
- WHEN {_has('c', 'drainsourceonresistance', 'drainsourceonstateresistance', 'onstateresistance', 'onresistance')} OR regexp_matches(h, '\\br ?d ?s ?(\\( ?on ?\\)|on)(\\W|$)') THEN 'rds_on' ELSE 'chart' END AS kind FROM n"""
-
-
 def _bare(s, d):
     """Every fourth caption without its figure and part, so that whole-title formulas occur."""
     c = caption_lines(s, d)
@@ -42,9 +24,15 @@ def _bare(s, d):
 
 _BARE = CAPTIONS + ", bare AS (SELECT id, CASE WHEN id % 4 = 0 THEN regexp_extract(title, '^Figure \\d+\\. (.*) \\w+ \\w+$', 1) ELSE title END AS title, text FROM caps)"
 
+_VIEWS = f"""WITH {_BARE}, n AS (SELECT id, title, {_N.format('title')} AS t, {_C.format('title')} AS tc, {_N.format('text')} AS p, {_C.format('text')} AS pc, {_N.format("concat(title, ' ', text)")} AS h, {_C.format("concat(title, ' ', text)")} AS hc FROM bare)"""
+_ALONE = f"""WITH {_BARE}, n AS (SELECT id, title, {_N.format('title')} AS t, {_C.format('title')} AS tc, {_N.format('text')} AS p, {_C.format('text')} AS pc, {_N.format('title')} AS h, {_C.format('title')} AS hc FROM bare)"""
+_TITLE_KIND = f""", k AS (SELECT *, {first_kind_sql([x for x in T.KINDS if x not in T.OWNERS], 'chart')} AS kind, {first_kind_sql(T.OWNERS, 'none')} AS owner, id % 1200 AS number FROM n)
+ SELECT id, CASE WHEN kind = 'capacitances' AND owner <> 'none' THEN owner WHEN kind <> 'chart' AND (number < 900 OR contains(t, 'characteristics')) THEN kind END AS kind, CASE WHEN {Holds('tc', T.RESISTANCE_BY_CURRENT).sql()} THEN 'current' WHEN {Holds('tc', T.RESISTANCE_BY_TEMPERATURE).sql()} THEN 'temperature' END AS direction FROM k"""
+
 QUERIES = {
-    "text_chart_kind": (lambda s, d: _bare(s, d).select("id", T.chart_kind(F.col("title"), F.col("text")).alias("kind")), _KIND.replace(CAPTIONS, _BARE).replace("FROM caps)\n SELECT id, CASE", "FROM bare)\n SELECT id, CASE")),
-    "text_title_gates": (lambda s, d: _bare(s, d).select("id", T.is_spec_header(F.col("title")).alias("spec_header"), T.is_marketing(F.col("title")).alias("marketing"), T.is_resistance_title(F.col("title")).alias("resistance"), T.figure_number(F.col("title")).alias("figure")), f"WITH {_BARE}, n AS (SELECT id, title, {_N.format('title')} AS t, {_C.format('title')} AS c FROM bare) SELECT id, (regexp_matches(t, '\\bsymbol\\b')::INT + regexp_matches(t, '\\btest conditions?\\b')::INT + regexp_matches(t, '\\bmin(imum)?\\b')::INT + regexp_matches(t, '\\btyp(ical)?\\b')::INT + regexp_matches(t, '\\bmax(imum)?\\b')::INT + regexp_matches(t, '\\bunits?\\b')::INT) >= 3 AS spec_header, len(string_split(t, ' ')) >= 5 AND regexp_matches(t, '\\b(to|for)\\b') AND regexp_matches(t, '\\b(loss(es)?|efficien\\w*|faster)\\b') AS marketing, {_has('c', 'drainsourceonresistance', 'drainsourceonstateresistance', 'onstateresistance', 'onresistance')} OR regexp_matches(t, '\\br ?d ?s ?(\\( ?on ?\\)|on)(\\W|$)') AS resistance, TRY_CAST(nullif(regexp_extract(title, '(?i)^\\s*(?:fig(?:ure)?|diagram|chart)\\.?\\s*(\\d+)', 1), '') AS INT) AS figure FROM n"),
+    "text_chart_kind": (lambda s, d: _bare(s, d).select("id", T.chart_kind(F.col("title"), F.col("text")).alias("kind")), f"{_VIEWS} SELECT id, {first_kind_sql(T.KINDS, 'chart')} AS kind FROM n"),
+    "text_title_kind": (lambda s, d: _bare(s, d).select("id", T.title_kind(F.col("title"), F.col("id") % 1200, F.col("text")).alias("kind"), T.resistance_direction(F.col("title")).alias("direction")), _ALONE + _TITLE_KIND),
+    "text_title_gates": (lambda s, d: _bare(s, d).select("id", T.is_spec_header(F.col("title")).alias("spec_header"), T.is_marketing(F.col("title")).alias("marketing"), T.is_resistance_title(F.col("title")).alias("resistance"), T.figure_number(F.col("title")).alias("figure")), f"{_VIEWS} SELECT id, {T.SPEC_HEADER.sql()} AS spec_header, len(string_split(t, ' ')) >= 5 AND {(Holds('t', T.PURPOSE) & Holds('t', T.PROMISE)).sql()} AS marketing, {T.RESISTANCE['t'].sql()} AS resistance, TRY_CAST(nullif(regexp_extract(title, '(?i)^\\s*(?:fig(?:ure)?|diagram|chart)\\.?\\s*(\\d+)', 1), '') AS INT) AS figure FROM n"),
     "text_number_tokens": (lambda s, d: caption_lines(s, d).select("id", F.explode(T.number_tokens(F.concat_ws(" ", "text", F.concat(F.lit("10^"), (F.col("id") % 5 - 2).cast("string")), F.concat((F.col("id") % 90).cast("string"), F.lit("k"))))).alias("value")).groupBy("id").agg(F.round(F.sum("value"), 4).alias("total"), F.count(F.lit(1)).alias("n")), f"WITH {CAPTIONS}, x AS (SELECT id, unnest(regexp_extract_all(concat(text, ' 10^', id % 5 - 2, ' ', id % 90, 'k'), '(10\\^[-+]?[0-9]+|[-+]?[0-9]+(?:\\.[0-9]+)?[umkKMG]?)', 1)) AS k FROM caps) SELECT id, round(sum(CASE WHEN k LIKE '10^%' THEN pow(10.0, CAST(substr(k, 4) AS DOUBLE)) WHEN k LIKE '%k' THEN 1000 * CAST(rtrim(k, 'k') AS DOUBLE) WHEN k LIKE '%m' THEN 0.001 * CAST(rtrim(k, 'm') AS DOUBLE) ELSE CAST(k AS DOUBLE) END), 4) AS total, count(*) AS n FROM x GROUP BY 1"),
     "text_conditions": (lambda s, d: caption_lines(s, d).select("id", T.condition_voltage(F.when(F.col("id") % 3 == 0, F.concat(F.lit("VDS = 0 to "), (F.col("id") % 80).cast("string"), F.lit(" V"))).when(F.col("id") % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("@ "), (F.col("id") % 60).cast("string"), F.lit(".5 V")))).alias("volts"), T.typical_pick(F.concat_ws(" ", F.when(F.col("id") % 4 > 0, F.col("id") % 7), F.when(F.col("id") % 4 > 1, F.col("id") % 11), F.when(F.col("id") % 4 > 2, F.col("id") % 13))).alias("typ"), T.one_unit(F.when(F.col("id") % 2 == 0, F.col("text")).otherwise(F.lit("pF or nF")), ["pF", "nF", "uF"]).alias("unit")), f"WITH {CAPTIONS} SELECT id, CASE WHEN id % 3 = 0 THEN CAST(id % 80 AS DOUBLE) WHEN id % 3 = 1 THEN CAST(regexp_extract(text, 'VDS = ([0-9]+) V', 1) AS DOUBLE) ELSE id % 60 + 0.5 END AS volts, CAST(CASE id % 4 WHEN 1 THEN id % 7 WHEN 2 THEN id % 7 WHEN 3 THEN CASE WHEN id % 7 <= id % 11 AND id % 11 <= id % 13 THEN id % 11 END END AS DOUBLE) AS typ, CASE WHEN id % 2 = 0 THEN 'pF' END AS unit FROM caps"),
     "text_temperatures": (lambda s, d: caption_lines(s, d).select("id", F.array_join(F.transform(T.temperatures(F.when(F.col("id") % 3 == 0, F.concat_ws(" ", "text", F.lit("TJ = -55 °C TJ=175°C"))).when(F.col("id") % 3 == 1, F.lit("25 °C")).otherwise(F.col("text"))), lambda x: x.cast("int").cast("string")), ",").alias("temps"), F.size(T.affected_traces(F.when(F.col("id") % 2 == 0, F.lit("coss_short_x_span")).otherwise(F.col("text")))).alias("n_traces"), T.safe_name(F.col("title")).alias("name")), f"WITH {CAPTIONS} SELECT id, CASE id % 3 WHEN 0 THEN '-55,175' WHEN 2 THEN '25,125' END AS temps, CASE WHEN id % 2 = 0 THEN 1 ELSE 3 END AS n_traces, trim(regexp_replace(title, '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') AS name FROM caps"),
