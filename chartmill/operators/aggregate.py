@@ -37,35 +37,36 @@ def square_law(points: DataFrame) -> DataFrame:
     return g.select("curve", (F.col("_s") * F.col("_s")).alias("k"), (-F.col("_b") / F.nullif("_s", F.lit(0.0))).alias("vth"), "n")
 
 
-def golden_vth(points: DataFrame, p: float = 2.0, steps: int = 80) -> DataFrame:
-    """Vth that minimises the squared error of I = K (V - Vth)^p with the best K, by golden-section search in each curve."""
+def pivot_vth(points: DataFrame, pivots: DataFrame, p: float = 2.0, samples: int = 160, steps: int = 80) -> DataFrame:
+    """points (curve, v, i), pivots (curve, vpl, id_pl) -> curve, status, vth, k, rms, i_lo, i_hi: I = K (V - Vth)^p held exactly at the pivot.
+
+    The error is of gate voltage, at `samples` matched currents of a window; a golden section finds Vth. Curves of fewer than 8
+    positive currents, and windows too short to tell, are refused by status."""
+    from .interpolate import interp_clamped
+
+    good = points.where("i > 0").groupBy("curve", F.col("i").alias("x")).agg(F.max("v").alias("y"))
+    size = good.groupBy("curve").agg(F.count(F.lit(1)).alias("_n"))
+    top = points.groupBy("curve").agg(F.max("i").alias("_top")).join(size, "curve", "left")
+    # Bounds of the window in shares of the pivot's and of the greatest current
+    w = pivots.join(top, "curve").withColumn("i_lo", F.greatest(0.05 * F.col("id_pl"), 0.02 * F.col("_top"))).withColumn("i_hi", F.least(2.0 * F.col("id_pl"), 0.85 * F.col("_top")))
+    w = w.withColumn("status", F.when(F.coalesce(F.col("i_hi") <= 1.5 * F.col("i_lo"), F.lit(True)), "short_current_span").when(F.coalesce("_n", F.lit(0)) < 8, "too_few_points").otherwise("ok"))
+    grid = w.where("status = 'ok'").select("curve", "vpl", "id_pl", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_k"), "i_lo", "i_hi")
+    probes = grid.select("curve", "vpl", "id_pl", (F.col("i_lo") + (F.col("i_hi") - F.col("i_lo")) * F.col("_k") / (samples - 1)).alias("px"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, i = pdf["v"].to_numpy(float), pdf["i"].to_numpy(float)
-        ok = np.isfinite(v) & np.isfinite(i) & (i > 0)
-        v, i = v[ok], i[ok]
-        if len(v) < 3 or np.ptp(v) <= 0:
-            return pd.DataFrame({"curve": [pdf["curve"].iloc[0]], "vth": [None], "k": [None], "rms": [None]})
-
-        def cost(t: float) -> tuple[float, float]:
-            f = np.maximum(v - t, 0) ** p
-            k = float(f @ i / max(f @ f, 1e-300))
-            return float(np.mean((k * f - i) ** 2)), k
-
-        a, b, g = float(v.min() - np.ptp(v)), float(v.max()), (5**0.5 - 1) / 2
-        c, d = b - g * (b - a), a + g * (b - a)
+        i, v = pdf["px"].to_numpy(float), pdf["value"].to_numpy(float)
+        vpl, pivot = float(pdf["vpl"].iloc[0]), float(pdf["id_pl"].iloc[0])
+        scale = lambda t: pivot / (vpl - t) ** p
+        rms = lambda t: float(np.sqrt(np.mean((t + (i / scale(t)) ** (1 / p) - v) ** 2)))
+        a, b, g = 0.05 * vpl, 0.95 * vpl, (5**0.5 - 1) / 2
         for _ in range(steps):
-            if cost(c)[0] <= cost(d)[0]:
-                b, d = d, c
-                c = b - g * (b - a)
-            else:
-                a, c = c, d
-                d = a + g * (b - a)
+            c, d = b - g * (b - a), a + g * (b - a)
+            a, b = (a, d) if rms(c) < rms(d) else (c, b)
         t = (a + b) / 2
-        e, k = cost(t)
-        return pd.DataFrame({"curve": [pdf["curve"].iloc[0]], "vth": [t], "k": [k], "rms": [e**0.5]})
+        return pd.DataFrame({"curve": [pdf["curve"].iloc[0]], "vth": [t], "k": [scale(t)], "rms": [rms(t)]})
 
-    return points.groupBy("curve").applyInPandas(run, "curve long, vth double, k double, rms double")
+    fit = interp_clamped(good, probes).groupBy("curve").applyInPandas(run, "curve long, vth double, k double, rms double")
+    return w.join(fit, "curve", "left").select("curve", "status", "vth", "k", "rms", "i_lo", "i_hi")
 
 
 def fit_depletion(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:

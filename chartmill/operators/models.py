@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -194,23 +195,83 @@ def chain_segments(segments: DataFrame, grid: float = 0.8) -> DataFrame:
     return segments.groupBy("panel").applyInPandas(run, "panel long, seg long, component long")
 
 
-def plateau(points: DataFrame) -> DataFrame:
-    """The flattest window of max(8, 7 %) points of each curve: of windows at 70 % of the best score or more, the leftmost."""
+def _running_percentile(y: np.ndarray, q: float) -> np.ndarray:
+    """Percentile of the first k values, k = 1..n, interpolated linearly."""
+    held: list[float] = []
+    out = np.empty(len(y))
+    for k, v in enumerate(y.tolist()):
+        insort(held, v)
+        at = q * k
+        low = int(at)
+        out[k] = held[low] + (held[min(low + 1, k)] - held[low]) * (at - low)
+    return out
+
+
+def _middle_level(x: np.ndarray, y: np.ndarray, left: float, width: float) -> float | None:
+    """Mean of the middle one of three lines of least squared error; every line has n / 12 points and 8 at least."""
+    n, least = len(x), max(8, len(x) // 12)
+    if n < 30:
+        return None
+    rel = (x - left) / width
+    u, v = x - x.mean(), y - y.mean()
+    sums = [np.r_[0.0, np.cumsum(t)] for t in (np.ones(n), u, v, u * u, u * v, v * v)]
+
+    def off(a, b):
+        k, su, sv, suu, suv, svv = (t[b] - t[a] for t in sums)
+        uu, uv = suu - su * su / k, suv - su * sv / k
+        return np.maximum(svv - sv * sv / k - np.where(uu > 1e-9, uv * uv / np.where(uu > 1e-9, uu, 1.0), 0.0), 0.0)
+
+    best = None
+    for i in range(least, n - 2 * least):
+        if 0.05 <= rel[i] <= 0.60:
+            j = np.arange(i + least, n - least)
+            j = j[(rel[j] >= 0.18) & (rel[j] <= 0.88)]
+            if len(j):
+                cost = np.round(off(0, i) + off(i, j) + off(j, n), 6)
+                k = int(cost.argmin())
+                if best is None or cost[k] < best[0]:
+                    best = cost[k], i, int(j[k])
+    return None if best is None else float(y[best[1] : best[2]].mean())
+
+
+def plateau(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """points (curve, x, y) in pixels, y downwards, boxes (curve, x0, y0, x1, y1) -> curve, y_px, source: the level of a curve's flat stretch.
+
+    Windows of 7 % of the points (8 at least) are scored by width over flatness, the lesser rise on either side, and how far left
+    they are; of windows at 70 % of the best score the leftmost counts (source window). A loose one yields to the middle of three
+    fitted lines, which also stands in where there is no window (source middle). Fewer than 20 points give nothing."""
+
+    # Gates and weights
+    first, last, rise, slack, lean, share, loose, apart = 0.04, 0.78, 0.05, 0.01, 8.0, 0.70, 0.010, 0.035
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
+        pdf = pdf.sort_values(["x", "y"])
         x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        w = max(8, round(0.07 * len(x)))
-        if len(x) < 3 * w:
-            return pd.DataFrame({"curve": [pdf["curve"].iloc[0]], "x_from": [None], "level": [None]})
-        scores = []
-        for i in range(w, len(x) - 2 * w + 1):
-            inside = y[i : i + w]
-            flat = np.percentile(inside, 90) - np.percentile(inside, 10)
-            rise = np.median(y[i + w :]) - np.median(y[:i])
-            scores.append((rise / (flat + 1e-9), i))
-        best = max(s for s, _ in scores)
-        i = next(i for s, i in scores if s >= 0.7 * best) if best > 0 else max(scores)[1]
-        return pd.DataFrame({"curve": [pdf["curve"].iloc[0]], "x_from": [x[i]], "level": [float(np.median(y[i : i + w]))]})
-
-    return points.groupBy("curve").applyInPandas(run, "curve long, x_from double, level double")
+        x0, y0, x1, y1 = (float(pdf[c].iloc[0]) for c in ("x0", "y0", "x1", "y1"))
+        n, width, height = len(x), max(1.0, x1 - x0), y1 - y0
+        level = source = None
+        if n >= 20:
+            w = max(8, int(0.07 * n))
+            i = np.arange(n - w)
+            j = i + w
+            inside = np.lib.stride_tricks.sliding_window_view(y, w)[: n - w]
+            high, low, mid = np.percentile(inside, 90, axis=1), np.percentile(inside, 10, axis=1), np.median(inside, axis=1)
+            rel = (0.5 * (x[i] + x[j - 1]) - x0) / width
+            before = np.r_[np.nan, _running_percentile(y, 0.9)][i]
+            after = np.r_[_running_percentile(y[::-1], 0.1)[::-1], np.nan][j]
+            pre, post = before - mid, mid - after
+            ok = (rel >= first) & (rel <= last) & (i >= 4) & (n - j >= 4) & (pre >= rise * height) & (post >= rise * height)
+            score = 3.0 * (x[j - 1] - x[i]) / width / ((high - low) / max(1.0, height) + slack) + np.minimum(pre, post) / max(1.0, height) - lean * rel
+            middle = _middle_level(x, y, x0, width)
+            if ok.any():
+                good = ok & (score >= share * score[ok].max())
+                good = good if good.any() else ok
+                k = np.flatnonzero(good)[rel[good].argmin()]
+                level, source = float(mid[k]), "window"
+                if middle is not None and high[k] - low[k] > loose * max(1.0, height) and abs(middle - level) > apart * max(1.0, height):
+                    level, source = middle, "middle"
+            elif middle is not None:
+                level, source = middle, "middle"
+        return pd.DataFrame({"curve": [pdf["curve"].iloc[0]], "y_px": [level], "source": [source]})
+
+    return points.join(boxes, "curve").groupBy("curve").applyInPandas(run, "curve long, y_px double, source string")

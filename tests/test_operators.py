@@ -88,9 +88,22 @@ def test_greedy_match_uses_each_side_once(spark):
 
 def test_law_recovers_its_parameters(spark):
     df = spark.createDataFrame([(1, 4 + k / 10, 2.5 * (k / 10) ** 2) for k in range(1, 60)], "curve long, v double, i double")
-    a, b = aggregate.square_law(df).first(), aggregate.golden_vth(df).first()
+    a = aggregate.square_law(df).first()
     assert a["vth"] == pytest.approx(4) and a["k"] == pytest.approx(2.5)
-    assert b["vth"] == pytest.approx(4, abs=0.02) and b["rms"] < 0.01
+
+
+@pytest.mark.parametrize("pivot,to,agrees", [(50.0, 10.0, True), (5.0, 6.0, False)])
+def test_a_pivot_that_the_curve_contradicts_shows(spark, pivot, to, agrees):
+    k = 50.0 / 1.5**2
+    rows = [(1, 4 + (to - 4) * n / 200, k * ((to - 4) * n / 200) ** 2) for n in range(201)]
+    got = aggregate.pivot_vth(spark.createDataFrame(rows, "curve long, v double, i double"), spark.createDataFrame([(1, 5.5, pivot)], "curve long, vpl double, id_pl double")).first()
+    assert got["status"] == "ok" and (got["rms"] < 0.01 and got["vth"] == pytest.approx(4, abs=0.02) if agrees else got["rms"] > 0.3)
+
+
+def test_pivots_without_a_window_are_refused(spark):
+    rows = [(1, 4.0 + n, float(n)) for n in range(5)] + [(2, 4.0 + n / 10, n / 10) for n in range(40)]
+    piv = spark.createDataFrame([(1, 6.0, 3.0), (2, 6.0, 500.0)], "curve long, vpl double, id_pl double")
+    assert {r["curve"]: r["status"] for r in aggregate.pivot_vth(spark.createDataFrame(rows, "curve long, v double, i double"), piv).collect()} == {1: "too_few_points", 2: "short_current_span"}
 
 
 def test_missing_evidence_never_passes(spark):
@@ -125,5 +138,7 @@ def test_layout_keys_are_hard_boundaries(spark):
 def test_chains_and_plateaus(spark):
     s = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0, 5.0), (1, 2, 5.1, 5.1, 9.0, 9.0), (1, 3, 50.0, 50.0, 60.0, 60.0)], "panel long, seg long, x0 double, y0 double, x1 double, y1 double")
     assert {r["seg"]: r["component"] for r in models.chain_segments(s).collect()} == {1: 1, 2: 1, 3: 3}
-    p = curve(spark, lambda v: v if v < 30 else 30 if v < 50 else v - 20)
-    assert models.plateau(p.select("curve", "x", "y")).first()["level"] == pytest.approx(30, abs=0.5)
+    rows = [(1, float(x), 400.0 - (4 * x if x < 30 else 120 if x < 60 else 120 + 5 * (x - 60))) for x in range(100)] + [(2, float(x), 5.0) for x in range(10)] + [(3, float(x), 400.0 - 3 * x) for x in range(100)]
+    boxes = spark.createDataFrame([(k, 0.0, 0.0, 99.0, 400.0) for k in (1, 2, 3)], "curve long, x0 double, y0 double, x1 double, y1 double")
+    got = {r["curve"]: (r["y_px"], r["source"]) for r in models.plateau(spark.createDataFrame(rows, "curve long, x double, y double"), boxes).collect()}
+    assert got[1] == (pytest.approx(280, abs=1), "window") and got[2] == (None, None) and got[3][0] is not None
