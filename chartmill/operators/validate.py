@@ -155,15 +155,31 @@ def breakdown_status(value: Column, least: Column, normalised: Column, tolerance
     return F.when(rel.isNull(), "anchor_unavailable").when(yes(normalised) & (F.abs(rel) > tolerance), "anchor_mismatch").when(rel < -tolerance, "below_minimum").otherwise("ok")
 
 
-def resistance_reasons() -> Column:
-    """Columns: x_residual, y_residual, x_span, y_range, norm25, largest_fall, temperature (boolean)."""
-    return reasons(
-        (F.coalesce(F.greatest("x_residual", "y_residual"), F.lit(99.0)) > 1.5, "axis_residual"),
-        (F.coalesce("x_span", F.lit(0.0)) < 0.70, "short_x_span"),
-        (F.coalesce("y_range", F.lit(0.0)) < F.when(yes(F.col("temperature")), 0.20).otherwise(0.15), "flat"),
-        (yes(F.col("temperature")) & ~yes(F.abs(known(F.col("norm25")) - 1) <= 0.06), "norm25_off"),
-        (F.coalesce("largest_fall", F.lit(0.0)) > 0.05, "falls"),
-    )
+def resistance_reasons(kind: str) -> Column:
+    """What speaks against a panel of on-state resistance curves; kind: normalized or absolute over temperature, or current.
+
+    Columns, spans as shares of the axis: n_curves, identity (boolean), x_residual, y_residual, x_span, y_range, at_25 (null where 25 °C
+    isn't inside), largest_fall (of the value; over current as a share of the axis), typ_25 and max_25 (absolute panels)."""
+    # Bounds and names of reasons
+    span = {"current": "drain_current_span_below_threshold"}.get(kind, "temperature_span_below_threshold")
+    flat, least = {"normalized": ("normalized_rds_span_below_threshold", 0.15), "absolute": ("absolute_rds_span_below_threshold", 0.15), "current": ("rdson_span_below_threshold", 0.20)}[kind]
+    falls, most = {"current": ("rdson_not_nondecreasing_with_drain_current", 0.035)}.get(kind, ("normalized_rds_not_nondecreasing_with_temperature", 0.03))
+    identity = {"current": "rdson_current_axis_identity_unverified"}.get(kind, "temperature_axis_identity_unverified")
+    c = F.col
+    rules = [
+        (~yes(c("identity")), identity),
+        (F.coalesce(F.greatest("x_residual", "y_residual"), F.lit(99.0)) > 1.5, "axis_residual_exceeds_threshold"),
+        (F.coalesce("x_span", F.lit(0.0)) < 0.70, span),
+        (F.coalesce("y_range", F.lit(0.0)) < least, flat),
+    ]
+    if kind != "current":
+        rules.append((c("at_25").isNull(), "reference_temperature_not_bracketed"))
+    if kind == "normalized":
+        rules.append((yes(F.abs(known(c("at_25")) - 1) > 0.06), "normalized_rds_at_reference_outside_tolerance"))
+    rules.append((F.coalesce("largest_fall", F.lit(0.0)) > most, falls))
+    if kind == "absolute":
+        rules.append((yes(c("max_25") <= c("typ_25")), "absolute_rds_typ_max_curve_order_unverified"))
+    return F.when(F.coalesce("n_curves", F.lit(0)) == 0, F.array(F.lit("no_full_span_vector_curve"))).otherwise(reasons(*rules))
 
 
 def gate_charge_status(axis_resolved: Column, unit: Column, assumed: Column, inferred: Column, confidence: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import axis_queries, curve_queries, geometry_queries, match_queries, model_queries, text_queries
+from .plans import axis_queries, curve_queries, geometry_queries, match_queries, model_queries, panel_queries, text_queries
 
-MODULES = [curve_queries, axis_queries, text_queries, match_queries, model_queries, geometry_queries]
+MODULES = [curve_queries, axis_queries, text_queries, match_queries, model_queries, geometry_queries, panel_queries]
 
 
 def registered() -> dict[str, tuple]:
