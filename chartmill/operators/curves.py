@@ -172,7 +172,7 @@ def resample_gaps(points: DataFrame, flat: float) -> DataFrame:
     cadence = s.groupBy("curve").agg(F.median(F.col("nx") - F.col("x")).alias("cadence"))
     s = s.join(cadence, "curve")
     gap = F.col("nx") - F.col("x")
-    n = F.when((F.col("cadence") > 0) & (gap > 1.5 * F.col("cadence")) & (F.abs(F.col("ny") - F.col("y")) <= flat), F.least(F.floor(gap / F.col("cadence")), F.lit(64))).otherwise(1).cast("int")
+    n = F.when((F.col("cadence") > 0) & (gap > 1.5 * F.col("cadence")) & (F.abs(F.col("ny") - F.col("y")) <= flat), F.floor(gap / F.col("cadence"))).otherwise(1).cast("int")
     s = s.withColumn("_k", F.explode(F.sequence(F.lit(0), n - 1)))
     x = F.col("x") + F.when(F.col("_k") > 0, gap * F.col("_k") / n).otherwise(0.0)
     y = F.col("y") + F.when(F.col("_k") > 0, (F.col("ny") - F.col("y")) * F.col("_k") / n).otherwise(0.0)

@@ -38,15 +38,17 @@ def box_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     x0, y0 = (k * 37) % 500, (k * 53) % 700
-    return p.select((k % 40).alias("page"), k.alias("id"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 40 + F.col("p_size")).cast("double").alias("x1"), (y0 + 30 + 2 * F.col("p_size")).cast("double").alias("y1"))
+    return p.select(F.floor(k / 50).alias("page"), k.alias("id"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 40 + F.col("p_size")).cast("double").alias("x1"), (y0 + 30 + 2 * F.col("p_size")).cast("double").alias("y1"))
 
 
-BOXES = "boxes AS (SELECT p_partkey % 40 AS page, p_partkey AS id, CAST((p_partkey * 37) % 500 AS DOUBLE) AS x0, CAST((p_partkey * 53) % 700 AS DOUBLE) AS y0, CAST((p_partkey * 37) % 500 + 40 + p_size AS DOUBLE) AS x1, CAST((p_partkey * 53) % 700 + 30 + 2 * p_size AS DOUBLE) AS y1 FROM part)"
+BOXES = "boxes AS (SELECT p_partkey // 50 AS page, p_partkey AS id, CAST((p_partkey * 37) % 500 AS DOUBLE) AS x0, CAST((p_partkey * 53) % 700 AS DOUBLE) AS y0, CAST((p_partkey * 37) % 500 + 40 + p_size AS DOUBLE) AS x1, CAST((p_partkey * 53) % 700 + 30 + 2 * p_size AS DOUBLE) AS y1 FROM part)"
 
 
 def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions built of parts and orders: id, title, text."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "part"), F.col("o_orderkey") % 200 == F.col("p_partkey"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    parts = part.agg(F.count(F.lit(1)).alias("parts"))  # one row
+    o = table(spark, sf_dir, "orders").crossJoin(F.broadcast(parts)).join(part, F.col("o_orderkey") % F.col("parts") + 1 == F.col("p_partkey"))
     kinds = F.array(*[F.lit(t) for t in TITLES])
     title = F.concat(F.lit("Figure "), (F.col("o_orderkey") % 30).cast("string"), F.lit(". "), F.element_at(kinds, (F.col("o_orderkey") % len(TITLES) + 1).cast("int")), F.lit(" "), "p_name")
     text = F.concat(F.lit("VDS = "), F.col("p_size").cast("string"), F.lit(" V, typ "), F.col("p_retailprice").cast("int").cast("string"), F.lit(" pF at 25 °C and 125 °C, "), F.col("o_orderpriority"))
@@ -55,4 +57,4 @@ def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TITLES = ["Typical Transfer Characteristics", "Drain-Source On-State Resistance", "Body Diode Forward Voltage", "Capacitances Ciss/Coss", "Gate Charge Waveform", "Safe Operating Area", "Output Characteristics", "Max. Transient Thermal Impedance", "Coss stored energy", "Drain-source breakdown voltage vs temperature", "Switching test circuit", "ID-VGS", "Symbol Test Conditions Min Typ Max Unit", "RDS(on) - Tj", "Lower losses for faster and more efficient switching"]
 _LIST = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in TITLES) + "]"
-CAPTIONS = f"caps AS (SELECT o_orderkey AS id, concat('Figure ', o_orderkey % 30, '. ', {_LIST}[CAST(o_orderkey % {len(TITLES)} + 1 AS INT)], ' ', p_name) AS title, concat('VDS = ', p_size, ' V, typ ', CAST(trunc(p_retailprice) AS BIGINT), ' pF at 25 °C and 125 °C, ', o_orderpriority) AS text FROM orders JOIN part ON o_orderkey % 200 = p_partkey)"
+CAPTIONS = f"caps AS (SELECT o_orderkey AS id, concat('Figure ', o_orderkey % 30, '. ', {_LIST}[CAST(o_orderkey % {len(TITLES)} + 1 AS INT)], ' ', p_name) AS title, concat('VDS = ', p_size, ' V, typ ', CAST(trunc(p_retailprice) AS BIGINT), ' pF at 25 °C and 125 °C, ', o_orderpriority) AS text FROM orders JOIN part ON o_orderkey % (SELECT count(*) FROM part) + 1 = p_partkey)"

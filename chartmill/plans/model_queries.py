@@ -11,6 +11,7 @@ from ..operators import aggregate as G
 from ..operators import models as D
 from ..operators import validate as V
 from ..session import table
+from . import stepwise_sql
 from .curve_queries import CLEAN, _clean, _round
 from .match_queries import _TOK, _tokens
 
@@ -99,7 +100,7 @@ _ASSIGN = f"""WITH nm AS (SELECT * FROM (VALUES (0, 'Ciss'), (1, 'Coss'), (2, 'C
 
 def _transfer(s, d):
     """Square-law transfer curves of a part at 25 and 125 degrees, and their anchors."""
-    p = table(s, d, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("part"), (2 + F.col("p_size") / 25).alias("vth"))
+    p = table(s, d, "part").select(F.col("p_partkey").alias("part"), (2 + F.col("p_size") / 25).alias("vth"))
     grid = p.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(60))))
     hot = F.explode(F.array(F.lit(25.0), F.lit(125.0)))
     c = grid.select("part", "vth", "n", hot.alias("temp")).withColumn("i", F.col("n") * 2.0)
@@ -110,7 +111,7 @@ def _transfer(s, d):
     return D.temperature_law(curves, a)
 
 
-_LAW = """WITH pt AS (SELECT p_partkey AS part, 2 + p_size / 25.0::DOUBLE AS vth FROM part WHERE p_partkey < 400),
+_LAW = """WITH pt AS (SELECT p_partkey AS part, 2 + p_size / 25.0::DOUBLE AS vth FROM part),
  cu AS (SELECT part, temp, 2.0::DOUBLE * n AS i, vth - CASE WHEN temp > 25 THEN 0.3 ELSE 0 END + sqrt(2.0 * n / CASE WHEN temp > 25 THEN 3.2 ELSE 4.0 END) AS v FROM pt CROSS JOIN (SELECT unnest(range(1, 61)) AS n) CROSS JOIN (SELECT unnest([25, 125]) AS temp) WHERE part % 9 <> 0 OR temp = 25),
  st AS (SELECT part, vth, CASE WHEN part % 9 = 0 THEN 'no_hotter_curve' WHEN part % 7 = 0 THEN 'anchor_off_pivot' ELSE 'ok' END AS status FROM pt),
  g AS (SELECT part, vth, j, 5 + (least(100, 0.85 * 120) - 5) * j / 119.0::DOUBLE AS i FROM st CROSS JOIN (SELECT unnest(range(0, 120)) AS j) WHERE status = 'ok'),
@@ -149,6 +150,18 @@ def _segments(s, d):
     return li.groupBy(F.col("l_orderkey").alias("panel"), F.col("l_linenumber").cast("long").alias("seg")).agg(F.min("l_quantity").alias("q")).select("panel", "seg", (F.col("seg") * 10.0).alias("x0"), (F.col("q") % 3).alias("y0"), (F.col("seg") * 10.0 + 10).alias("x1"), ((F.col("q") * 7) % 3).alias("y1"))
 
 
+def _gate_charge(s, d):
+    """Drawn gate-charge curves of parts, 60 pixel columns each: steep, flat, steep, with a ripple; and their boxes."""
+    p = table(s, d, "part").select(F.col("p_partkey").alias("curve"), (8 + F.col("p_size") % 15).alias("a"), (10 + F.col("p_partkey") % 17).alias("w"), (F.col("p_partkey") % 5 * 0.6).alias("s"))
+    k = F.col("k")
+    v = F.when(k < F.col("a"), 7.0 * k).when(k < F.col("a") + F.col("w"), 7.0 * F.col("a") + F.col("s") * (k - F.col("a"))).otherwise(7.0 * F.col("a") + F.col("s") * F.col("w") + 5.0 * (k - F.col("a") - F.col("w")))
+    pts = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(59)))).select("curve", k.cast("double").alias("x"), (400.0 - v + (k * 7 + F.col("curve") * 13) % 11 / 8).alias("y"))
+    return pts, p.select("curve", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 59.0), ("y1", 400.0))])
+
+
+_GATE_CHARGE = "pp AS (SELECT p_partkey AS curve, 8 + p_size % 15 AS a, 10 + p_partkey % 17 AS w, p_partkey % 5 * 0.6::DOUBLE AS s FROM part), pt AS (SELECT curve, k::DOUBLE AS x, 400.0::DOUBLE - CASE WHEN k < a THEN 7.0 * k WHEN k < a + w THEN 7.0 * a + s * (k - a) ELSE 7.0 * a + s * w + 5.0 * (k - a - w) END + (k * 7 + curve * 13) % 11 / 8.0 AS y FROM pp CROSS JOIN (SELECT unnest(range(0, 60)) AS k))"
+
+
 def _knots(s, d):
     return D.adaptive_knots(_clean(s, d))
 
@@ -172,11 +185,11 @@ QUERIES = {
     "valid_stable_order": (lambda s, d: V.stable_order(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("panel"), F.col("l_linenumber").alias("level"), F.col("l_returnflag").alias("curve")).agg(F.sum("l_quantity").alias("y")), 4), f"WITH {_ORD} SELECT p AS panel, CASE WHEN n >= 4 THEN o END AS \"order\", n FROM cn QUALIFY row_number() OVER (PARTITION BY p ORDER BY n DESC, o) = 1"),
     "model_trace_assignment": (lambda s, d: _round(D.assign_traces(_residuals(s, d), s.createDataFrame([], "panel long, assignment string, prior double")), score=6, base_score=6), _ASSIGN),
     "model_temperature_law": (lambda s, d: _round(_transfer(s, d), d_vth_per_k=6, d_log_k_per_k=6, rms=3, cold_rms=3, ztc_a=3), _LAW),
-    "model_adaptive_knots": (lambda s, d: _round(_knots(s, d)), None),
-    "model_charge_table": (lambda s, d: _round(D.charge_table(_knots(s, d), 400.0, 64)), None),
-    "model_spice_text": (lambda s, d: D.spice_text(D.charge_table(_knots(s, d), 400.0, 16)), None),
-    "model_plateau": (lambda s, d: _round(D.plateau(_clean(s, d))), None),
-    "model_chain_segments": (lambda s, d: D.chain_segments(_segments(s, d)), None),
+    "model_adaptive_knots": (lambda s, d: _round(_knots(s, d)), stepwise_sql.KNOTS),
+    "model_charge_table": (lambda s, d: _round(D.charge_table(_knots(s, d), 400.0, 64)), stepwise_sql.CHARGE_TABLE),
+    "model_spice_text": (lambda s, d: D.spice_text(D.charge_table(_knots(s, d), 400.0, 16)), stepwise_sql.SPICE),
+    "model_plateau": (lambda s, d: _round(D.plateau(*_gate_charge(s, d))), stepwise_sql.PLATEAU.format(points=_GATE_CHARGE)),
+    "model_chain_segments": (lambda s, d: D.chain_segments(_segments(s, d)), stepwise_sql.CHAINS),
     "layout_pages": (lambda s, d: _pages(s, d).select("id", "doc", "page", "role", "mode", F.array_join("tokens", " ").alias("tokens"), G.fingerprint(F.col("tokens")).alias("fingerprint")), f"WITH {_PG} SELECT id, doc, page, role, mode, array_to_string(tokens, ' ') AS tokens, substr(sha256(array_to_string(list_sort(list_distinct(tokens)), chr(10))), 1, 20) AS fingerprint FROM pp"),
     "layout_clusters": (_clusters, None),
     "layout_documents": (lambda s, d: D.document_signatures(_pages(s, d).withColumn("layout", F.concat_ws("-", "role", "mode"))), f"""WITH {_PG}, z AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY doc) AS n FROM pp),
