@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
+import re
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Where tables go if spark.checkpoint.dir is unset and the master is local.
+LOCAL_SCRATCH = "/tmp/chartmill-scratch"
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests, local runs)."""
+    """The shared folder named by spark.checkpoint.dir. Only a local master, whose executor is the driver, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = getattr(scratch_dir, "_local", None) or tempfile.mkdtemp(prefix="chartmill-")
-        scratch_dir._local = found
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = LOCAL_SCRATCH
     return f"{found}/{spark.sparkContext.applicationId}"
 
 
@@ -40,7 +47,8 @@ def made_so_far() -> list[str]:
 
 
 def release(spark: SparkSession, paths: list[str], reader: DataFrame | None) -> None:
-    """Removes those tables of written() that `reader` doesn't read. The caller vouches that nothing else does."""
+    """Removes those tables of written() that `reader` doesn't read, and lets Spark remove the shuffle files of finished
+    steps, which it does as the driver collects its garbage. The caller vouches that nothing else reads the tables."""
     read = " ".join(reader.inputFiles()) if reader is not None and paths else ""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
@@ -48,6 +56,10 @@ def release(spark: SparkSession, paths: list[str], reader: DataFrame | None) ->
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
             _made.remove(path)
+    for _ in range(2 if paths else 0):  # the first lets go of plans, the second of the shuffles that these held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def delete_written(spark: SparkSession) -> None:

@@ -13,6 +13,9 @@ maximal row of windows with one anchor.
    Windows inside the bounds are then compared.
 3. Spans are merged by row.
 
+Passages can be counted in words as well: a text is then the row of its words' 32-bit hashes, four bytes a word, and the
+same steps run over these bytes. A span of whole words comes out; white space between words doesn't count.
+
 Anchors with more than HOT_RUNS distinct runs are compared by an aggregate over window hashes instead, so
 no task holds such a group. Windows are compared by 64-bit hashes. Texts over SEGMENT bytes are cut into
 overlapping segments for hashing, never for matching.
@@ -25,6 +28,7 @@ gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import made_so_far, release, written
 from .shingles import substring_hashes
 
 GRAM = 32
 #: Bytes hashed at once, most bytes of a segment, distinct runs of an anchor that one bucket may hold.
-GROUP_BYTES, SEGMENT, HOT_RUNS = 2_000_000, 8_000_000, 20_000
+GROUP_BYTES, SEGMENT, HOT_RUNS = 500_000, 8_000_000, 20_000
 _PLACE = np.uint64((1 << 24) - 1)
+#: Bytes of a word's hash where passages are counted in words; the contract's word in bytes.
+WORD_BYTES, _WORD = 4, re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:
@@ -71,8 +77,49 @@ def _runs(parts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     return part[first], first - begin, stop - first + 1, place - begin, gram[place], substring_hashes(data, first, stop + window)
 
 
-def _all_runs(docs: DataFrame, window: int) -> DataFrame:
-    """docs (doc_id, k, text) -> doc_id, k, p, n, anchor_at, anchor, run."""
+def _word_codes(texts: list[bytes | None]) -> list[bytes]:
+    """Texts as their words' hashes, WORD_BYTES a word."""
+    out: list[bytes] = []
+    group: list[list[bytes]] = []
+    size = 0
+
+    def flush():
+        flat = [w for g in group for w in g]
+        data = np.frombuffer(b" ".join(flat), dtype=np.uint8)
+        end = np.cumsum(np.array([len(w) + 1 for w in flat], dtype=np.int64)) - 1
+        start = np.r_[0, end[:-1] + 1] if len(flat) else end
+        codes = (substring_hashes(data, start, end) >> np.uint64(32)).astype(np.uint32).tobytes()
+        at = 0
+        for g in group:
+            out.append(codes[at : at + WORD_BYTES * len(g)])
+            at += WORD_BYTES * len(g)
+        group.clear()
+
+    for t in texts:
+        words = (t or b"").split()
+        length = sum(map(len, words)) + len(words)
+        if group and size + length > GROUP_BYTES:
+            flush()
+            size = 0
+        group.append(words)
+        size += length
+    if group:
+        flush()
+    return out
+
+
+def _word_rows(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, k, text) with the text as its words' hashes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), pa.array(_word_codes(b.column("text").cast(pa.large_binary()).to_pylist()), pa.binary())], ["doc_id", "k", "text"])
+
+    return docs.select("doc_id", "k", "text").mapInArrow(rows, "doc_id long, k long, text binary")
+
+
+def _all_runs(docs: DataFrame, window: int, words: bool) -> DataFrame:
+    """docs (doc_id, k, text) -> doc_id, k, p, n, anchor_at, anchor, run; of the texts' words if asked."""
     names = ["doc_id", "k", "p", "n", "anchor_at", "anchor", "run"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +132,9 @@ def _all_runs(docs: DataFrame, window: int) -> DataFrame:
 
         for b in batches:
             parts, where, size = [], [], 0
-            texts = b.column("text").cast(pa.large_binary())
-            for doc, k, value in zip(b.column("doc_id").to_pylist(), b.column("k").to_pylist(), texts, strict=True):
-                t = value.as_py() or b""
+            texts = b.column("text").cast(pa.large_binary()).to_pylist()
+            for doc, k, t in zip(b.column("doc_id").to_pylist(), b.column("k").to_pylist(), _word_codes(texts) if words else texts, strict=True):
+                t = t or b""
                 for a in range(0, max(1, len(t) - window + 1), SEGMENT):
                     piece = t[a : a + SEGMENT + window - 1]
                     if len(piece) >= window:
@@ -177,15 +224,20 @@ def neighbour_prefix(tokens: np.ndarray, lengths: np.ndarray, group: np.ndarray)
 
 
 def _window_hashes(rows: list[tuple], low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset in the run, hash) of the windows low..high (inclusive) of each row's bytes."""
-    data = np.frombuffer(b"".join([r[-1] for r in rows]), dtype=np.uint8)
+    """(row, offset in the run, hash) of the windows low..high (inclusive) of each row's bytes, hashed GROUP_BYTES at a time."""
     size = np.array([len(r[-1]) for r in rows], dtype=np.int64)
-    begin = np.cumsum(size) - size
-    n = np.maximum(high - low + 1, 0)
-    row = np.repeat(np.arange(len(rows)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    start = begin[row] + offset
-    return row, offset, substring_hashes(data, start, start + window)
+    part = (np.cumsum(size) - size) // GROUP_BYTES
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(rows)]
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        data = np.frombuffer(b"".join([r[-1] for r in rows[a:b]]), dtype=np.uint8)
+        begin = np.cumsum(size[a:b]) - size[a:b]
+        n = np.maximum(high[a:b] - low[a:b] + 1, 0)
+        row = np.repeat(np.arange(b - a), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
+        start = begin[row] + offset
+        out.append(((row + a).astype(np.int32), offset.astype(np.int32), substring_hashes(data, start, start + window)))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
 
 
 def _compare(rows: list[tuple], window: int) -> Iterator[tuple]:
@@ -261,7 +313,7 @@ def _hot(rows: DataFrame, window: int) -> DataFrame:
                 row, offset, h = _window_hashes(rs, np.zeros(len(rs), dtype=np.int64), n - 1, window)
                 take = pa.array(row)
                 cols = [pa.array([r[i] for r in rs], pa.int64()).take(take) for i in (0, 1, 2, 4, 5)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(offset), pa.array(h.view(np.int64))], ["doc_id", "k", "anchor", "c", "p", "o", "h"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(offset, pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "k", "anchor", "c", "p", "o", "h"])
 
     w = rows.mapInArrow(hashes, "doc_id long, k long, anchor long, c long, p long, o long, h long")
     often = w.groupBy(F.col("anchor").alias("a"), F.col("h").alias("h2")).agg(F.sum("c").alias("times")).where("times > 1")
@@ -269,9 +321,14 @@ def _hot(rows: DataFrame, window: int) -> DataFrame:
     return hit.select("doc_id", "k", (F.col("p") + F.col("o")).alias("start"), (F.col("p") + F.col("o") + window).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
-    """docs (doc_id, k, text) -> doc_id, k, spans (array of start, end; unmerged) of rows that have any."""
-    runs = written(_all_runs(docs, window), "suffix-runs")
+def repeated_spans(docs: DataFrame, window: int = 400, words: bool = False) -> DataFrame:
+    """docs (doc_id, k, text) -> doc_id, k, spans (array of start, end in bytes; unmerged) of rows that have any, as a written table.
+
+    words: bytes are those of the words' hashes."""
+    spark = docs.sparkSession
+    before = set(made_so_far())
+    runs = written(_all_runs(docs, window, words), "suffix-runs")
+    docs = _word_rows(docs) if words else docs
     kinds = written(runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "k", "p", "n", "anchor_at")).alias("r")), "suffix-kinds")
     whole = kinds.where("c > 1").select(F.col("anchor").alias("a"), F.col("run").alias("r2"))
     full = runs.join(whole, (F.col("anchor") == F.col("a")) & (F.col("run") == F.col("r2")), "left_semi").select("doc_id", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") - 1 + window).alias("end"))
@@ -279,12 +336,26 @@ def repeated_spans(docs: DataFrame, window: int = 400) -> DataFrame:
     mixed_runs = kinds.join(groups, F.col("anchor") == F.col("a")).select("r.*", "anchor", "run", "c", "m")
     wanted = written(mixed_runs, "suffix-wanted")
     cut = _cut(docs, wanted.where(F.col("m") <= HOT_RUNS).select("doc_id", "k", "anchor", "run", "c", "p", "n", "anchor_at"), window)
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted.count() // 20_000 + 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted.count() // 20_000 + 1)
     sorted_ = cut.repartitionByRange(tasks, "lead", "anchor").sortWithinPartitions("lead", "anchor")
     found = sorted_.mapInArrow(_buckets(window), "doc_id long, k long, start long, end long").unionByName(full)
     if wanted.where(F.col("m") > HOT_RUNS).limit(1).count():
         found = found.unionByName(_hot(_cut(docs, wanted.where(F.col("m") > HOT_RUNS).drop("m"), window), window))
-    return found.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    steps = [p for p in made_so_far() if p not in before]
+    del runs, kinds, whole, groups, mixed_runs, cut, sorted_
+    spans = written(found.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suffix-spans")
+    del found, full, wanted
+    release(spark, steps, None)
+    return spans
+
+
+def repeated_words(docs: DataFrame, words: int) -> DataFrame:
+    """As repeated_spans, in words: spans that rows of `words` words cover which start anywhere else too."""
+    spans = repeated_spans(docs, words * WORD_BYTES, True)
+    whole = F.transform("spans", lambda s: F.struct(F.ceil(s["start"] / WORD_BYTES).alias("start"), F.floor(s["end"] / WORD_BYTES).alias("end")))
+    return spans.select("doc_id", "k", F.filter(whole, lambda s: s["end"] - s["start"] >= words).alias("spans"))
+
+
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -305,34 +376,55 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _with_spans(docs: DataFrame, window: int) -> DataFrame:
-    """docs + k, spans."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs + _k, and their (doc_id, k, text)."""
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    spans = written(repeated_spans(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("k"), "text"), window), "suffix-spans").toDF("_id", "_k2", "_spans")
-    return keyed.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k2")), "left").drop("_k", "_id", "_k2")
+    return keyed, keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_k").alias("k"), "text")
+
 
+def _with(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """keyed docs + the columns of spans (doc_id, k, ...)."""
+    other = spans.withColumnsRenamed({"doc_id": "_id", "k": "_k2"})
+    return keyed.join(other, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_k2")), "left").drop("_k", "_id", "_k2")
 
-def digest(docs: DataFrame, window: int = 400) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _with_spans(docs.select("doc_id", "text"), window)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+def digest(docs: DataFrame, window: int = 400, words: int | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `words` also n_passage_words: the words in
+    passages of that many words or more that occur elsewhere too. Nothing is removed for these."""
+    keyed, rows = _keyed(docs.select("doc_id", "text"))
+    spans = repeated_spans(rows, window).withColumnRenamed("spans", "_spans")
+    if words:
+        said = repeated_words(rows, words).toDF("c", "d", "_passages")
+        both = spans.toDF("a", "b", "_spans").join(said, F.col("a").eqNullSafe(F.col("c")) & (F.col("b") == F.col("d")), "full")
+        spans = both.select(F.coalesce("a", "c").alias("doc_id"), F.coalesce("b", "d").alias("k"), "_spans", "_passages")
+    else:
+        spans = spans.withColumn("_passages", F.lit(None).cast("array<struct<start:long,end:long>>"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[], [], [], []]
-            for value, spans in zip(b.column("text").cast(pa.large_binary()), b.column("_spans").to_pylist(), strict=True):
+            out = [[] for _ in names[1:]]
+            for value, spans, passages in zip(b.column("text").cast(pa.large_binary()), b.column("_spans").to_pylist(), b.column("_passages").to_pylist(), strict=True):
                 t = value.as_py() or b""
-                gone = merged([(s["start"], s["end"]) for s in spans or []])
-                for x, v in zip(out, (len(t), sum(e - a for a, e in gone), len(gone), hashlib.sha256(_kept(t, gone)).hexdigest()), strict=True):
+                gone, said = (merged([(s["start"], s["end"]) for s in x or []]) for x in (spans, passages))
+                for x, v in zip(out, (len(t), sum(e - a for a, e in gone), len(gone), hashlib.sha256(_kept(t, gone)).hexdigest(), sum(e - a for a, e in said)), strict=True):
                     x.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.string() if n == "kept_sha256" else pa.int64()) for n, x in zip(names[1:], out, strict=True)]], names)
+
+    found = _with(keyed, spans).select("doc_id", "text", "_spans", "_passages").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
+    return found if words else found.drop("n_passage_words")
+
 
-    return rows.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def _in_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, from a first word's start to a last word's end."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """docs with repeated passages cut out of text (bytes of characters cut in two go too); rows that lose everything go."""
-    rows = _with_spans(docs, window)
+def without_repeats(docs: DataFrame, window: int = 400, unit: str = "bytes") -> DataFrame:
+    """docs with repeated passages of `window` bytes or words cut out of text (bytes of characters cut in two go too); rows that lose everything go."""
+    keyed, plain = _keyed(docs)
+    rows = _with(keyed, (repeated_words if unit == "words" else repeated_spans)(plain, window).withColumnRenamed("spans", "_spans"))
     columns = list(docs.columns)
     at = columns.index("text")
 
@@ -342,7 +434,8 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
             for value, spans in zip(b.column("text").cast(pa.large_binary()), b.column("_spans").to_pylist(), strict=True):
                 t = value.as_py()
                 if spans:
-                    t = _kept(t, merged([(s["start"], s["end"]) for s in spans]))
+                    gone = merged([(s["start"], s["end"]) for s in spans])
+                    t = _kept(t, _in_bytes(t, gone) if unit == "words" else gone)
                     kept.append(bool(t.strip()))
                     texts.append(t.decode("utf-8", "ignore"))
                 else:
@@ -354,4 +447,4 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
     return rows.select(*columns, "_spans").mapInArrow(run, docs.schema)
 
 
-__all__ = ["GRAM", "digest", "merged", "multikey_quicksort", "neighbour_prefix", "repeated_spans", "without_repeats"]
+__all__ = ["GRAM", "digest", "merged", "multikey_quicksort", "neighbour_prefix", "repeated_spans", "repeated_words", "without_repeats"]
