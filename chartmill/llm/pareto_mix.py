@@ -64,9 +64,10 @@ def _fit(free: DataFrame, gaps: DataFrame, small: bool) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, source, text, keep ...) -> doc_id, keep ..., size, source, source_size, target, copies, taken."""
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), *keep)
-    twins = Window.partitionBy("doc_id", "digest").orderBy("size")
-    base = base.withColumn("row", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", F.row_number().over(twins).cast("string")))
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    twins = Window.partitionBy("doc_id", "digest").orderBy("source")
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("digest")).withColumn("twin", F.row_number().over(twins))
+    base = base.withColumn("row", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", F.col("twin").cast("string")))
     base = written(base, "mix-base")
     targets = written(source_targets(base.select("source", "size"), weights), "mix-targets")
     small = targets.count() <= SMALL_SOURCES
@@ -85,4 +86,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, ke
         used = got.groupBy(F.col("source").alias("u_source")).agg(F.sum("size").alias("used"))
         gaps = gaps.join(used, F.col("gap_source").eqNullSafe(F.col("u_source")), "left").select("gap_source", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
     out = rows.join(chosen.select("row", F.lit(1).alias("drawn")), "row", "left").withColumn("copies", F.col("certain") + F.coalesce("drawn", F.lit(0)))
-    return out.select("doc_id", *keep, "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = out.withColumn("taken", F.col("copies") * F.col("size"))
+    if keep:  # rows are drawn by their digests; the texts are joined once, in the end
+        out = written(out.select("doc_id", "digest", "twin", "size", "source", "source_size", "target", "copies", "taken"), "mix-drawn")
+        own = docs.select(F.col("doc_id").alias("_id"), digest.alias("_digest"), F.col("source").alias("_source"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+        same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("digest") == F.col("_digest"))
+        if out.where("twin > 1").limit(1).count():
+            own = own.withColumn("_twin", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_source", F.xxhash64(*[f"_keep_{c}" for c in keep]))))
+            same = same & (F.col("twin") == F.col("_twin"))
+        out = own.join(out, same).select("doc_id", *[F.col(f"_keep_{c}").alias(c) for c in keep], "size", "source", "source_size", "target", "copies", "taken")
+    return out.select("doc_id", *keep, "size", "source", "source_size", "target", "copies", "taken")

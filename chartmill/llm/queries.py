@@ -59,7 +59,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digest
 
-    return digest(_documents(spark, sf_dir), window=400)
+    return digest(_documents(spark, sf_dir), window=400, words=51)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pareto_mix import mix
 
-    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    from pyspark.sql import functions as F
+
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,4 +81,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .sql import SQL
+
+    return dict(SQL)
