@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
 Inner product becomes Euclidean distance by one more coordinate, sqrt(M^2 - |x|^2) with M the largest
-norm (0 for queries). The tree is fitted in numpy on a bounded sample (SAMPLE vectors by hash) and then
-indexes every row. A query walks it with a priority queue of nodes by distance to their centroid and
+norm (0 for queries). The tree is fitted in numpy on a sample (SAMPLE vectors by hash, or SAMPLE_LEAF for each leaf) and
+then indexes every row. Leaves aim at LEAF_ROWS rows; beyond MOST_LEAVES their number grows with the square root of the
+table, so both the tree, which is broadcast, and a leaf stay small beside it. A query walks it with a priority queue of nodes by distance to their centroid and
 visits leaves in the order they come off. How many leaves to visit is calibrated: CALIBRATE queries are
 answered by brute force over all rows, and visits widen until their recall reaches TARGET.
 
 Equal vectors are one class with its smallest k + 1 ids (ties go to smaller ids, so no other member can
 be in an answer of k): a vector that a third of all rows share is searched once and is one candidate.
 Neighbouring leaves form groves of about BLOCK_ROWS classes, to which a query goes once; larger leaves are
-split into blocks, each compared with the leaf's queries on its own.
+split into blocks, each compared with the leaf's queries on its own, QUERY_ROWS of these at a time.
 
-Defined results: null, zero, non-finite vectors and those holding nulls take no part, nor do vectors
-whose length isn't the table's most frequent one (ties: the greater), nor null ids; of rows with the
-same id the least vector counts; k or fewer candidates give all of them; an empty table gives no rows.
+Defined results: null, empty, zero, non-finite vectors and those holding nulls take no part, nor do null ids;
+vectors shorter than the longest have zeros beyond their end; rows of one id with different vectors are candidates
+each, and that id asks with the least of them; identical rows count once; k or fewer candidates give all of them;
+an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,20 +30,27 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Bound of the sample that the tree is fitted on; children of a node; rows aimed at in a leaf; most leaves of a tree.
-SAMPLE, BRANCH, LEAF_ROWS, MOST_LEAVES = 20_000, 12, 150, 4096
-#: Queries that recall is measured on, recall aimed at there, classes in a block of a leaf.
-CALIBRATE, TARGET, BLOCK_ROWS = 160, 0.97, 4000
+#: Vectors that the tree is fitted on at least, and for each leaf; children of a node; rows aimed at in a leaf; leaves of a tree before
+#: their number follows the table's square root, and that many times this root then.
+SAMPLE, SAMPLE_LEAF, BRANCH, LEAF_ROWS, MOST_LEAVES, ROOT = 20_000, 5, 12, 150, 4096, 4
+#: Queries that recall is measured on, recall aimed at there, classes in a block of a leaf, queries of a block in one task.
+CALIBRATE, TARGET, BLOCK_ROWS, QUERY_ROWS = 160, 0.97, 4000, 20_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: rows that take part, one an id."""
+    """vec_id, v: rows that take part, each row once, all of one length."""
     d = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     d = d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    d = d.groupBy("vec_id").agg(F.min("v").alias("v"))
-    size = d.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1)
-    return d.join(F.broadcast(size.select("n")), F.size("v") == F.col("n")).drop("n")  # one row
+    length, shortest = d.agg(F.max(F.size("v")), F.min(F.size("v"))).first()
+    if length != shortest:
+        kind = dict(d.dtypes)["v"]
+        d = d.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast(kind[6:-1]), F.lit(length) - F.size("v"))).cast(kind))
+    return d
+
+
+def leaves_for(n: int, leaf_rows: int = LEAF_ROWS) -> int:
+    return int(min(max(1, n // leaf_rows), max(MOST_LEAVES, ROOT * n**0.5)))
 
 
 class Tree:
@@ -156,9 +165,10 @@ def _best(q: np.ndarray, v: np.ndarray, first: np.ndarray, k: int, allowed: np.n
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
 
 
-def _expanded(q_ids, v_rows, scores, ids: list, k: int) -> pd.DataFrame:
+def _expanded(q: np.ndarray, v_rows: np.ndarray, scores: np.ndarray, ids: list, classes: np.ndarray) -> pd.DataFrame:
+    """Candidate classes as their rows; own: the class is the query's."""
     n = [len(ids[r]) for r in v_rows]
-    return pd.DataFrame({"q": np.repeat(np.asarray(q_ids), n), "vec_id": np.array([i for r in v_rows for i in ids[r]], dtype=np.int64), "score": np.repeat(scores, n)})
+    return pd.DataFrame({"q": np.repeat(q, n), "vec_id": np.array([i for r in v_rows for i in ids[r]], dtype=np.int64), "score": np.repeat(scores, n), "own": np.repeat(q == classes[v_rows], n)})
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -169,18 +179,19 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, every: int = 20, k: int = 20, leaf_rows: int = LEAF_ROWS, target: float = TARGET) -> DataFrame:
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score for ids divisible by `every`."""
     spark = vectors.sparkSession
-    d = written(usable(vectors).withColumn("h1", F.xxhash64(F.lit(1), "v")).withColumn("h2", F.xxhash64(F.lit(2), "v")), "ann-rows")
+    d = written(usable(vectors).withColumn("h1", F.xxhash64(F.lit(1), "v")).withColumn("h2", F.xxhash64(F.lit(2), "v")).dropDuplicates(["vec_id", "h1", "h2"]), "ann-rows")
     by_id = Window.partitionBy("h1", "h2").orderBy("vec_id")
     least = d.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
     classes = least.groupBy("h1", "h2").agg(F.min("vec_id").alias("c"), F.min_by("v", "vec_id").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    asked = d.where(F.col("vec_id") % every == 0).select("h1", "h2", F.col("vec_id").alias("query_id"))
+    asked = d.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min_by(F.struct("h1", "h2"), "v").alias("h")).select("h.h1", "h.h2", "query_id")
     asks = asked.select("h1", "h2").distinct().withColumn("asks", F.lit(True))
     classes = written(classes.join(asks, ["h1", "h2"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))), "ann-classes")
     n, most = classes.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
-    share = min(1.0, SAMPLE / max(1, n))
-    sampled = classes.where(F.pmod(F.xxhash64("c", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).select("v")
-    sample = np.array([r[0] for r in sampled.limit(SAMPLE + SAMPLE // 10).collect()], dtype=float)
-    tree = Tree.fit(sample, int(min(MOST_LEAVES, max(1, n // leaf_rows))), float(most or 0.0))
+    leaves = leaves_for(n, leaf_rows)
+    wanted = max(SAMPLE, SAMPLE_LEAF * leaves)
+    sampled = classes.where(F.pmod(F.xxhash64("h1", "h2", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, wanted / max(1, n)) * (1 << 30))).select("v")
+    sample = np.array(sampled.limit(wanted + wanted // 10).toPandas()["v"].tolist(), dtype=float)
+    tree = Tree.fit(sample, leaves, float(most or 0.0))
     shared = spark.sparkContext.broadcast(tree)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,9 +200,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, leaf_rows: int = LE
                 pdf["leaf"] = shared.value.assign(np.array(pdf["v"].tolist(), dtype=float))
                 yield pdf
 
-    rows = written(classes.select("c", "v", "ids", "asks").mapInPandas(index, f"c long, v {dict(classes.dtypes)['v']}, ids array<long>, asks boolean, leaf long"), "ann-index")
+    rows = written(classes.select(F.col("h1").alias("h"), "c", "v", "ids", "asks").mapInPandas(index, f"h long, c long, v {dict(classes.dtypes)['v']}, ids array<long>, asks boolean, leaf long"), "ann-index")
     sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids"))
-    size = {r["leaf"]: (r["n"], r["ids"]) for r in sizes.collect()}  # at most MOST_LEAVES rows
+    size = {r["leaf"]: (r["n"], r["ids"]) for r in sizes.collect()}  # one row a leaf of the tree that the driver holds
     visits = _calibrated(rows, tree, size, k, target)
     place = spark.sparkContext.broadcast(_groves({leaf: n for leaf, (n, _) in size.items()}))
     held = spark.sparkContext.broadcast({leaf: ids for leaf, (_, ids) in size.items()})
@@ -210,33 +221,44 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, leaf_rows: int = LE
                     if got >= visits and seen > k:
                         break
                 cells.append([{"grove": g, "block": b, "leaves": x} for (g, b), x in mine.items()])
-            yield pd.DataFrame({"q": pdf["c"], "v": pdf["v"], "cells": cells})
+            yield pd.DataFrame({"q": pdf["h"], "v": pdf["v"], "cells": cells})
 
     kind = dict(rows.dtypes)["v"]
-    routed = rows.where("asks").select("c", "v").repartition("c").mapInPandas(route, f"q long, v {kind}, cells array<struct<grove: long, block: long, leaves: array<long>>>")
-    routed = routed.select("q", "v", F.explode("cells").alias("x")).select("q", "v", "x.grove", "x.block", "x.leaves")
+    queries = rows.where("asks").count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), queries // 2000 + 1)
+    routed = rows.where("asks").select("h", "v").repartition(tasks, "h").mapInPandas(route, f"q long, v {kind}, cells array<struct<grove: long, block: long, leaves: array<long>>>")
+    routed = written(routed.select("q", "v", F.explode("cells").alias("x")).select("q", "v", "x.grove", "x.block", "x.leaves"), "ann-routed")
+    many = routed.groupBy("grove", "block").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("parts")).where("parts > 1")
+    parts = spark.sparkContext.broadcast({(r["grove"], r["block"]): r["parts"] for r in many.collect()})  # at most one row a leaf
 
     def stow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             at = [place.value[leaf] for leaf in pdf["leaf"]]
-            yield pdf.assign(grove=[g for g, _ in at], block=[int(c) % b for c, (_, b) in zip(pdf["c"], at, strict=True)])
+            pdf = pdf.assign(grove=[g for g, _ in at], block=[int(c) % b for c, (_, b) in zip(pdf["c"], at, strict=True)])
+            yield pdf.assign(parts=[parts.value.get(x, 1) for x in zip(pdf["grove"], pdf["block"], strict=True)])
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(part=[int(q) % parts.value.get((g, b), 1) for q, g, b in zip(pdf["q"], pdf["grove"], pdf["block"], strict=True)])
 
-    stored = rows.select("c", "v", "ids", "leaf").mapInPandas(stow, f"c long, v {kind}, ids array<long>, leaf long, grove long, block long")
+    stored = rows.select("h", "c", "v", "ids", "leaf").mapInPandas(stow, f"h long, c long, v {kind}, ids array<long>, leaf long, grove long, block long, parts int")
+    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    routed = routed.mapInPandas(deal, f"q long, v {kind}, grove long, block long, leaves array<long>, part int")
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"q": [], "vec_id": [], "score": [], "own": []}).astype({"q": "int64", "vec_id": "int64", "score": "float64", "own": "bool"})
         leaves, of = np.unique(x["leaf"].to_numpy(), return_inverse=True)
         number = {leaf: i for i, leaf in enumerate(leaves.tolist())}
         asked_here = np.zeros((len(q), len(leaves)), dtype=bool)
         for i, mine in enumerate(q["leaves"]):
             asked_here[i, [number[leaf] for leaf in mine if leaf in number]] = True
         a, b, s = _best(np.array(q["v"].tolist(), dtype=float), np.array(x["v"].tolist(), dtype=float), x["c"].to_numpy(), k + 1, asked_here[:, of])
-        return _expanded(q["q"].to_numpy()[a], b, s, x["ids"].tolist(), k + 1)
+        return _expanded(q["q"].to_numpy()[a], b, s, x["ids"].tolist(), x["h"].to_numpy())
 
-    found = routed.groupBy("grove", "block").cogroup(stored.groupBy("grove", "block")).applyInPandas(compare, "q long, vec_id long, score double")
-    answers = _top(found, k + 1).join(classes.select("h1", "h2", F.col("c").alias("q")), "q")
-    out = asked.join(answers.select("h1", "h2", "vec_id", "score"), ["h1", "h2"]).where(F.col("vec_id") != F.col("query_id"))
+    found = routed.groupBy("grove", "block", "part").cogroup(stored.groupBy("grove", "block", "part")).applyInPandas(compare, "q long, vec_id long, score double, own boolean")
+    answers = _top(found, k + 1).select(F.col("q").alias("h1"), "vec_id", "score", "own")
+    out = asked.join(answers, "h1").where(~F.col("own") | (F.col("vec_id") != F.col("query_id")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
