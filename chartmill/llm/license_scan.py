@@ -5,15 +5,17 @@ texts are often hard-wrapped, windows that run across the line ends of a paragra
 word) and the words on either side of each of its line ends. A
 multinomial logistic regression, trained here on notices built from licence names and carrier phrases,
 on clauses of the licence texts and on a bounded sample of the corpus as the unknown class, names a
-family. A passage counts if its licence probability passes a bound calibrated on passages of the
-unknown class that the regression was not fitted on, and if its words cover a template of that family.
+family. A passage counts if its licence probability passes a bound calibrated on passages that the
+regression was not fitted on, and if its words cover a template of that family. The bound lies over the unknown class (lines of
+the corpus, and carrier phrases with names that are no licence's, which are what it may take for one) but for 1 - QUANTILE
+of it, as far as the share KEPT of notices set aside stays over it.
 
 Training is bounded (NOTES below and NEGATIVE_ROWS rows). Every line of every whole text is scored.
 Passages across line ends are scored where their paragraph as a whole covers a template: in any other
 paragraph none of them could be confirmed. The only shuffle carries the passages that were confirmed.
 
-n_passages counts lines with a word. n_licence_passages counts confirmed lines (windows of long ones),
-and 1 for a paragraph that is confirmed across its line ends only.
+n_passages counts lines with a word. n_licence_passages counts confirmed lines, and 1 for a paragraph that is
+confirmed across its line ends only.
 
 Defined results: null, empty and wordless texts have no passage and no licence; each distinct (doc_id,
 text) is judged once and repeated rows get equal results; an empty corpus gives no rows; extra columns
@@ -63,12 +65,17 @@ CLAUSES = {
 # Sentences of the unknown class that use licence words.
 NEAR_MISSES = ["The driver renewed her license last week.", "A software license can be expensive.", "Released under pressure from the press.", "The terms of the agreement were not public.", "Copyright is a matter of law.", "Permission was denied to any person.", "The Apache are a people of the Southwest.", "She studied at MIT for four years.", "Version 3 of the plan was distributed.", "The general public was free to enter.", "Public license fees rose.", "This work is new."]
 
+# Names that stand in carrier phrases without being a licence's; every second is kept for the calibration.
+OTHER_NAMES = ["Terms of Service", "terms of the sale", "Press Agreement", "Music Rights Act", "Open Mind Foundation", "company rules, version 2", "General Public Health Plan", "state of New York", "Creative Writing Programme", "Apache Tribe Council", "Public Library Rules 2.0", "university regulations"]
+# What notices stand behind.
+OPENINGS = ["", "Copyright (c) 2019 the authors. All rights reserved. ", "See the file LICENSE for details. ", "This project and its documentation: "]
+
 #: Hash buckets, words of a passage, step between passages of a long line or a paragraph, words taken on either side of a line end.
 BUCKETS, PASSAGE, STEP, EDGE = 1 << 13, 48, 24, 12
 #: Lines without a word end a paragraph. Possessive, so that the matcher keeps no stack.
 BREAK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
-#: Bound of the corpus sample for the unknown class, share of it kept for the calibration's quantile, share of a template's bigrams that confirms.
-NEGATIVE_ROWS, QUANTILE, COVER = 400, 0.999, 0.6
+#: Bound of the corpus sample for the unknown class, quantiles of the unknown class and of notices that the bound lies between, share of a template's bigrams that confirms.
+NEGATIVE_ROWS, QUANTILE, KEPT, COVER = 400, 0.999, 0.02, 0.6
 UNKNOWN = "unknown"
 # Words of templates that any English text holds.
 COMMON = frozenset("the of to and in or is a an any this on it be by for with without may not that are can as all has his her from which either work".split())
@@ -100,20 +107,17 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     return cover.select("doc_id", "text_key", "para", "lines", covers.alias("covers"))
 
 
-def _labelled(words: Column, line: bool) -> Column:
-    return F.transform(words, lambda w: F.struct(F.lit(line).alias("line"), w.alias("words")))
-
-
 def _own(lines: Column) -> Column:
-    return F.flatten(F.transform(lines, _windows))
+    """Windows of each line on its own: structs of line (its number) and words."""
+    return F.flatten(F.transform(lines, lambda line, i: F.transform(_windows(line), lambda w: F.struct(i.alias("line"), w.alias("words")))))
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text_key, text) -> doc_id, text_key, para, line (the passage is of one line), words."""
+    """docs (doc_id, text_key, text) -> doc_id, text_key, para, line (-1: the passage is of more than one), words."""
     n = F.size("lines")
     ends = F.zip_with(F.slice("lines", 1, n - 1), F.slice("lines", 2, n - 1), lambda a, b: F.concat(F.slice(a, F.greatest(F.size(a) - EDGE + 1, F.lit(1)), EDGE), F.slice(b, 1, EDGE)))
-    own = _labelled(_own(F.col("lines")), True)
-    across = _labelled(F.concat(ends, _windows(F.flatten("lines"))), False)
+    own = _own(F.col("lines"))
+    across = F.transform(F.concat(ends, _windows(F.flatten("lines"))), lambda w: F.struct(F.lit(-1).alias("line"), w.alias("words")))
     found = F.explode(F.when(F.col("covers") & (n > 1), F.concat(own, across)).otherwise(own))
     return _paragraphs(docs).select("doc_id", "text_key", "para", found.alias("p")).select("doc_id", "text_key", "para", "p.line", "p.words")
 
@@ -125,17 +129,18 @@ def featured(rows: DataFrame) -> DataFrame:
 
 def training_notes(spark: SparkSession, corpus: DataFrame | None) -> DataFrame:
     """family, words, aside (for the calibration)."""
-    notes = [(f, c.format(n)) for f, ns in NAMES.items() for n in ns for c in CARRIERS] + [(f, c) for f, c in CLAUSES.items() for _ in range(4)]
-    notes += [(UNKNOWN, x) for x in NEAR_MISSES for _ in range(3)]
-    fixed = spark.createDataFrame(notes, "family string, note string").select("family", words_of(F.col("note")).alias("words"), F.lit(False).alias("aside"))
+    notes = [(f, OPENINGS[(i + k) % len(OPENINGS)] + c.format(n), (i + 2 * k) % 5 == 4) for f, ns in NAMES.items() for k, n in enumerate(ns) for i, c in enumerate(CARRIERS)] + [(f, c, False) for f, c in CLAUSES.items() for _ in range(4)]
+    notes += [(UNKNOWN, x, False) for x in NEAR_MISSES for _ in range(3)]
+    notes += [(UNKNOWN, OPENINGS[(i + k) % len(OPENINGS)] + c.format(n), k % 2 == 1) for k, n in enumerate(OTHER_NAMES) for i, c in enumerate(CARRIERS)]
+    fixed = spark.createDataFrame(notes, "family string, note string, aside boolean").select("family", words_of(F.col("note")).alias("words"), "aside")
     if corpus is None:
         return fixed
     # The corpus holds notices too: paragraphs that cover a template, and so the lines of a wrapped one, are no example of the unknown class.
     ids = corpus.where(F.col("text").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id").limit(NEGATIVE_ROWS)
     # Only ids are ranked in one place; at most NEGATIVE_ROWS of them are broadcast.
     sample = corpus.where(F.col("text").isNotNull()).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    paras = _paragraphs(sample.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.substring("text", 1, 4000).alias("text")))
-    clean = paras.where(~F.col("covers")).select(F.explode(_own(F.col("lines"))).alias("words"))
+    paras = _paragraphs(sample.select("doc_id", F.lit(0).cast("long").alias("text_key"), "text"))
+    clean = paras.where(~F.col("covers")).select(F.explode(_own(F.col("lines"))).alias("w")).select("w.words")
     clean = clean.withColumn("aside", F.pmod(F.xxhash64("words"), F.lit(4)) == 0)
     return fixed.unionByName(clean.select(F.lit(UNKNOWN).alias("family"), "words", "aside"))
 
@@ -182,8 +187,10 @@ def train(spark: SparkSession, corpus: DataFrame | None) -> Scanner:
     fitted = featured(notes.where(~F.col("aside"))).withColumn("label", index).coalesce(1)
     model = LogisticRegression(family="multinomial", maxIter=25, regParam=2e-4, elasticNetParam=0.0, tol=1e-5, labelCol="label").fit(fitted)
     scanner = Scanner(families, model, 0.5)
-    edge = scanner.scored(notes.where("aside").select("words")).agg(F.percentile_approx("licensed", QUANTILE, 10_000)).first()[0]
-    scanner.bound = max(0.5, min(0.9, float(edge or 0.0)))
+    unknown = F.col("truth") == UNKNOWN
+    scored = scanner.scored(notes.where("aside").select("words", F.col("family").alias("truth")))
+    out, into = scored.agg(F.percentile_approx(F.when(unknown, F.col("licensed")), QUANTILE, 10_000), F.percentile_approx(F.when(~unknown, F.col("licensed")), KEPT, 10_000)).first()
+    scanner.bound = min(float(out or 0.0), float(into or 0.0))
     return scanner
 
 
@@ -196,7 +203,9 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     parts = F.concat("words", _bigrams(F.col("words")))
     own = F.coalesce(*[F.when(F.col("family") == f, _template_parts(f)) for f in NAMES])
     near = near.where(F.exists(own, lambda t: F.size(F.array_intersect(t, parts)) >= COVER * F.size(t)))
-    found = near.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg((F.count_if("line") + F.size(F.array_except(F.collect_set("para"), F.collect_set(F.when(F.col("line"), F.col("para")))))).alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"), F.max("score").alias("score"))
+    # sets of places, so that repeated rows count once and a line with several windows too
+    lines, only = F.collect_set(F.when(F.col("line") >= 0, F.struct("para", "line"))), F.array_except(F.collect_set("para"), F.collect_set(F.when(F.col("line") >= 0, F.col("para"))))
+    found = near.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg((F.size(lines) + F.size(only)).alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"), F.max("score").alias("score"))
     everything = d.select("doc_id", "text_key", _passage_count().alias("n_passages"))
     out = everything.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
     return out.select("doc_id", "n_passages", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_licence_passages"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("score", F.lit(0.0)).alias("score"))
