@@ -255,7 +255,13 @@ def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows sorted by key, group by group."""
     held: list[dict] = []
     for b in batches:
-        for r in b.to_pylist():
+        names = [c for c in b.schema.names if c != "sigs"]
+        lists = b.column("sigs") if "sigs" in b.schema.names else None
+        flat, at = (lists.values.to_numpy(), lists.offsets.to_pylist()) if lists is not None else (None, None)
+        for i, values in enumerate(zip(*[b.column(c).to_pylist() for c in names], strict=True)):
+            r = dict(zip(names, values, strict=True))
+            if lists is not None:
+                r["sigs"] = flat[at[i] : at[i + 1]]
             if held and held[-1]["key"] != r["key"]:
                 yield held
                 held = []
@@ -286,9 +292,10 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups_of(batches):
             if len(g) > 1:
                 found = list(_plausible_in(g))
-                sigs = {i: np.array(g[i]["sigs"], dtype=np.int64) for i in {x for p in found for x in p}}
                 for i, j in found:
-                    if np.intersect1d(sigs[i], sigs[j], assume_unique=True)[0] == g[0]["sig"]:
+                    x, y = g[i]["sigs"], g[j]["sigs"]  # both sorted
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    if x[(y[at] == x).argmax()] == g[0]["sig"]:
                         yield g[i]["node"], g[j]["node"]
 
     return _in_batches(pairs(), ["a", "b"])
