@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), docs having the columns of ``documents``, and works on all that
 its predecessor kept; all but the last return these columns again. Between stages the rows are written as
-Parquet in the shared folder and read again.
+Parquet in the shared folder and read again. Extra columns, whatever their names, are dropped by every stage.
+An empty table gives an empty table; other cases are stated by stage.
 """
 
 from __future__ import annotations
@@ -41,31 +42,50 @@ def _stage(f):
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the robust distance reject go."""
+    """Documents that the base rules or the robust distance reject go.
+
+    Null, empty and wordless texts have fewer than 20 words and go; a null lang or source is a group of its own, a null doc_id is
+    kept like any other; very long texts are counted whole; rows with equal text, lang and source (repeated rows too) share a verdict.
+    """
     return judge(docs, keep=("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
 
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: of those linked, the least doc_id, nulls before all.
+
+    Rows without a word are linked with nothing and stay, one of identical ones; repeated rows are one document; texts of fewer than
+    five words are compared whole; very long texts by all their shingles; null lang, source and n_chars don't matter.
+    """
     return one_of_each(docs.select(*COLUMNS))
 
 
 @_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that occur elsewhere are cut out; n_chars follows the text."""
-    return without_repeats(docs.select(*COLUMNS), window=400).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Passages of over 50 words that occur elsewhere too, in whatever document, are cut out everywhere; n_chars follows the text.
+
+    Null texts stay null (n_chars null), texts of 50 words or fewer stay as they are; a document that loses every word goes, so do
+    repeated rows of over 50 words; null ids, lang and source are kept; passages are found in whole texts of any length.
+    """
+    return without_repeats(docs.select(*COLUMNS), window=51, unit="words").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document stays as often as the mix takes it."""
+    """Sources at their target weights: a document stays as often as the mix takes it, three times at most.
+
+    Null, empty and wordless texts have size 0 and aren't taken; a null source is a source of its own; repeated rows are documents of
+    their own; ties in the ranking are settled by doc_id and size; a very long document is passed over where it doesn't fit.
+    """
     mixed = mix(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def packing_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens, one row a piece."""
+    """Sequences of 2048 tokens, one row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one token; copies and repeated rows are packed each; null doc_ids are kept; longer texts are cut.
+    """
     return pack(docs, capacity=2048)
 
 
