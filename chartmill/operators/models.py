@@ -113,45 +113,41 @@ def temperature_law(curves: DataFrame, anchors: DataFrame, samples: int = 120) -
 def cluster_layouts(pages: DataFrame, threshold: float = 0.72) -> DataFrame:
     """pages (coarse, id, fingerprint, tokens) -> id, coarse, cluster, medoid: greedy clustering behind the coarse key.
 
-    Candidates never leave their coarse key, so keys are clustered apart; equal fingerprints are one group, and a
-    medoid is found over distinct token sets with their counts, not over members."""
+    Candidates never leave their coarse key. Pages of one fingerprint are one row with their number and their least and
+    greatest id before a key is clustered, so a task holds distinct layouts, not pages; a medoid is found over these."""
 
     def similarity(a: frozenset, b: frozenset) -> float:
         return len(a & b) / len(a | b) if a or b else 1.0
 
-    def centre(groups: list[tuple[frozenset, list[str]]]) -> tuple[frozenset, str]:
-        n = sum(len(ids) for _, ids in groups)
-        if n <= 2:
-            ids = [(i, t) for t, g in groups for i in g]
-            first = min(ids)
-            return first[1], first[0]
-        scored = [(sum(len(g) * similarity(t, u) for u, g in groups), -len(t), max(ids), t) for t, ids in groups]
-        top = max(scored, key=lambda x: x[:3])
+    def centre(groups: list[tuple]) -> tuple[frozenset, str]:
+        if sum(n for _, n, _, _ in groups) <= 2:
+            low, tokens = min((low, tokens) for tokens, _, low, _ in groups)
+            return tokens, low
+        top = max(((sum(n * similarity(t, u) for u, n, _, _ in groups), -len(t), high, t) for t, _, _, high in groups), key=lambda x: x[:3])
         return top[3], top[2]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        groups: dict[str, tuple[frozenset, list[str]]] = {}
-        for i, f, t in zip(pdf["id"], pdf["fingerprint"], pdf["tokens"], strict=True):
-            groups.setdefault(f, (frozenset(t), []))[1].append(i)
+        groups = {f: (frozenset(t), int(n), low, high) for f, t, n, low, high in zip(pdf["fingerprint"], pdf["tokens"], pdf["n"], pdf["low"], pdf["high"], strict=True)}
         made: list[list] = []
-        for t, ids in sorted(groups.values(), key=lambda g: (-len(g[1]), g[1][0])):
+        for f, g in sorted(groups.items(), key=lambda x: (-x[1][1], x[1][2])):
             place, score = None, threshold
             for k, c in enumerate(made):
-                s = similarity(t, c[1])
+                s = similarity(g[0], c[1])
                 if s >= score:
                     place, score = k, s
             if place is None:
-                made.append([[(t, ids)], t, ids[0]])
-            else:
-                made[place][0].append((t, ids))
+                made.append([[], g[0], g[2], []])
             c = made[-1 if place is None else place]
+            c[0].append(g)
+            c[3].append(f)
             c[1], c[2] = centre(c[0])
-        made.sort(key=lambda c: (-sum(len(ids) for _, ids in c[0]), c[2]))
-        out = [(i, pdf["coarse"].iloc[0], k + 1, c[2]) for k, c in enumerate(made) for _, ids in c[0] for i in ids]
-        return pd.DataFrame(out, columns=["id", "coarse", "cluster", "medoid"])
+        made.sort(key=lambda c: (-sum(n for _, n, _, _ in c[0]), c[2]))
+        out = [(pdf["coarse"].iloc[0], f, k + 1, c[2]) for k, c in enumerate(made) for f in c[3]]
+        return pd.DataFrame(out, columns=["coarse", "fingerprint", "cluster", "medoid"])
 
-    return pages.groupBy("coarse").applyInPandas(run, "id string, coarse string, cluster long, medoid string")
+    layouts = pages.groupBy("coarse", "fingerprint").agg(F.min_by("tokens", "id").alias("tokens"), F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    found = layouts.groupBy("coarse").applyInPandas(run, "coarse string, fingerprint string, cluster long, medoid string")
+    return pages.select("id", "coarse", "fingerprint").join(found, ["coarse", "fingerprint"]).select("id", "coarse", "cluster", "medoid")
 
 
 def document_signatures(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import anchors as A
 from ..operators import panels as P
 from ..operators import validate as V
 from ..session import table
@@ -179,7 +180,29 @@ def _paint(s, d):
     return table(s, d, "orders").select(k.alias("id"), allowed.alias("allowed"), why.alias("reason"))
 
 
+def _spec_rows(s, d):
+    """Six renders of a part's capacitance rows: complete, one condition a block, two voltages, another unit, three numbers, no voltage."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    kind, text = k % 6, lambda n: (z * n + k % 9 + 1).cast("string")
+    c, o, r = text(90), text(20), text(3)
+    row = lambda *cells: F.array(*[F.lit(x) if isinstance(x, str) else x for x in cells])
+    full = lambda name, v, at: row("7", "capacitance", name, "-", F.concat(v, F.lit(" 9999")), "pF", f"VGS=0 V,VDS={at} V,f=1 MHz", "")
+    first = F.when(kind == 0, full("Ciss", c, 40)).when(kind == 5, row("7", "Input", "Ciss", "-", c, "pF")).otherwise(full("Ciss", c, 50))
+    second = F.when(kind == 0, full("Coss", o, 40)).when(kind == 2, row("8", "Output", "Coss", o, "9999", "", "VDS=25 V")).when(kind == 3, row("8", "Output", "Coss", "1.2", "nF", "")).when(kind == 4, row("8", "Output", "Coss", (z * 20).cast("string"), o, "9999")).otherwise(row("8", "Output", "Coss", o, "9999", "", ""))
+    third = F.when(kind == 0, full("Crss", r, 40)).when(kind == 4, row("9", "Reverse", "Crss", "9", "5", "7")).otherwise(row("9", "Reverse", "Crss", r, "9999", "", ""))
+    p = table(s, d, "part")
+    far = F.when((kind == 1) & (k % 5 == 0), 20).otherwise(12)
+    lines = p.select(k.alias("part"), F.explode(F.array(*[F.struct(n.alias("line"), x.alias("cells")) for n, x in ((F.lit(9), row("1", "Parameter", "Symbol")), (F.lit(10), first), (F.lit(11), second), (far, third))])).alias("x"))
+    return lines.select("part", "x.line", "x.cells"), p.where(k % 2 == 1).select(k.alias("part"), (k % 80 + 1).cast("double").alias("vds"))
+
+
+_ANCHORS = """WITH p AS (SELECT p_partkey AS part, p_partkey % 6 AS kind, (p_size * 90 + p_partkey % 9 + 1)::DOUBLE AS c, (p_size * 20 + p_partkey % 9 + 1)::DOUBLE AS o, (p_size * 3 + p_partkey % 9 + 1)::DOUBLE AS r, CASE WHEN p_partkey % 2 = 1 THEN (p_partkey % 80 + 1)::DOUBLE END AS fb FROM part),
+ a AS (SELECT part, 'Ciss' AS name, c AS value_pf, CASE kind WHEN 0 THEN 40.0 WHEN 5 THEN fb ELSE 50.0 END::DOUBLE AS vds_v, CASE WHEN kind = 5 THEN 'block' ELSE 'row' END AS source FROM p
+ UNION ALL SELECT part, 'Coss', CASE WHEN kind <> 3 THEN o END, CASE kind WHEN 0 THEN 40.0 WHEN 2 THEN 25.0 WHEN 5 THEN fb ELSE 50.0 END, CASE WHEN kind IN (0, 2) THEN 'row' ELSE 'block' END FROM p
+ UNION ALL SELECT part, 'Crss', CASE WHEN kind IN (2, 4) OR (kind = 1 AND part % 5 = 0) THEN NULL ELSE r END, CASE kind WHEN 0 THEN 40.0 WHEN 5 THEN fb ELSE 50.0 END, CASE WHEN kind = 0 THEN 'row' ELSE 'block' END FROM p) SELECT * FROM a WHERE value_pf IS NOT NULL AND vds_v IS NOT NULL"""
+
 QUERIES = {
+    "anchor_capacitances": (lambda s, d: A.capacitance_anchors(*_spec_rows(s, d)), _ANCHORS),
     "panel_exported": (_exported, f"WITH {CLEAN} SELECT curve, round(x, 4) AS x, round((floor(x) - 20) / 719.0, 6) AS x_norm, round((510 - round(y)) / 499.0, 6) AS y_norm FROM cl"),
     "panel_cubics": (_cubics, _CUBICS),
     "panel_strokes": (_strokes, _STROKES),
