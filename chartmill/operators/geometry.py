@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import per_key
 from .validate import yes
 
 
@@ -48,10 +49,10 @@ def stroke_joins(strokes: DataFrame, most: float) -> DataFrame:
 def connected_strokes(strokes: DataFrame, most: float = 1.5) -> DataFrame:
     """strokes (panel, id, x0, y0, x1, y1) -> panel, id, component: ends within the true distance `most`, followed through."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ends = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float).reshape(-1, 2, 2)
-        root = list(range(len(pdf)))
+    def run(panel, c: dict[str, np.ndarray]) -> list[tuple]:
+        ids = c["id"].tolist()
+        ends = np.stack([np.stack([c["x0"], c["y0"]], 1), np.stack([c["x1"], c["y1"]], 1)], 1).astype(float)
+        root = list(range(len(ids)))
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -59,15 +60,14 @@ def connected_strokes(strokes: DataFrame, most: float = 1.5) -> DataFrame:
                 i = root[i]
             return i
 
-        for i in range(len(pdf)):
-            far = np.sqrt(((ends[i][:, None, None, :] - ends[None, i + 1 :]) ** 2).sum(-1)).min((0, 2)) if i + 1 < len(pdf) else np.zeros(0)
-            for j in np.flatnonzero(far <= most) + i + 1:
-                a, b = find(i), find(int(j))
+        for i in range(len(ids) - 1):
+            near = np.sqrt(((ends[i][:, None, None, :] - ends[None, i + 1 :]) ** 2).sum(-1)).min((0, 2)) <= most
+            for j in np.flatnonzero(near).tolist():
+                a, b = find(i), find(j + i + 1)
                 root[max(a, b)] = min(a, b)
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"panel": pdf["panel"].to_numpy(), "id": ids, "component": [ids[find(i)] for i in range(len(pdf))]})
+        return [(panel, ids[i], ids[find(i)]) for i in range(len(ids))]
 
-    return strokes.groupBy("panel").applyInPandas(run, "panel long, id long, component long")
+    return per_key(strokes, "panel", ["id", "x0", "y0", "x1", "y1"], run, "panel long, id long, component long", ("id",))
 
 
 def side_by_side(words: DataFrame, low: float = -0.75, high: float = 5.0, rise: float = 2.0) -> DataFrame:
@@ -106,25 +106,28 @@ def trusted_subset(ticks: DataFrame, residual: float = 1.0, least: int = 4, most
 
     Subsets grow as 2^n: axes of more than `most` ticks have a status of their own."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, v = pdf["pixel"].to_numpy(float), pdf["value"].to_numpy(float)
-        out = (pdf["axis"].iloc[0], 0, None, None, "too_many_ticks" if len(p) > most else "no_subset")
-        for size in range(len(p), least - 1, -1) if len(p) <= most else ():
-            models = set()
-            for c in itertools.combinations(range(len(p)), size):
-                x, y = p[list(c)], v[list(c)]
-                if len(set(x)) < 2:
-                    continue
-                m, b = np.polyfit(x, y, 1)
-                if abs(m) > 1e-12 and np.sqrt(np.mean(((y - b) / m - x) ** 2)) <= residual:
-                    models.add((round(float(m), 6), round(float(b), 4)))
+    def run(axis, cols: dict[str, np.ndarray]) -> list[tuple]:
+        p, v = cols["pixel"].astype(float), cols["value"].astype(float)
+        if len(p) > most:
+            return [(axis, 0, None, None, "too_many_ticks")]
+        for size in range(len(p), least - 1, -1):
+            sets = np.array(list(itertools.combinations(range(len(p)), size)))
+            x, y = p[sets], v[sets]
+            mx, my = x.mean(1, keepdims=True), y.mean(1, keepdims=True)
+            xx = ((x - mx) ** 2).sum(1)
+            some = xx > 0
+            m = np.where(some, ((x - mx) * (y - my)).sum(1) / np.where(some, xx, 1), 0.0)
+            b = my[:, 0] - m * mx[:, 0]
+            slope = np.where(np.abs(m) > 1e-12, m, 1.0)
+            off = np.sqrt(np.mean(((y - b[:, None]) / slope[:, None] - x) ** 2, axis=1))
+            good = some & (np.abs(m) > 1e-12) & (off <= residual)
+            models = sorted({(round(float(i), 6) + 0.0, round(float(j), 4) + 0.0) for i, j in zip(m[good], b[good], strict=True)})
             if models:
-                (m, b), one = sorted(models)[0], len(models) == 1
-                out = (pdf["axis"].iloc[0], size, m if one else None, b if one else None, "ok" if one else "ambiguous")
-                break
-        return pd.DataFrame([out], columns=["axis", "n", "m", "b", "status"])
+                one = len(models) == 1
+                return [(axis, size, models[0][0] if one else None, models[0][1] if one else None, "ok" if one else "ambiguous")]
+        return [(axis, 0, None, None, "no_subset")]
 
-    return ticks.groupBy("axis").applyInPandas(run, "axis long, n long, m double, b double, status string")
+    return per_key(ticks, "axis", ["pixel", "value"], run, "axis long, n long, m double, b double, status string", ("pixel", "value"))
 
 
 def same_curve(points: DataFrame, pairs: DataFrame, common: float = 0.90, mean: float = 1.0, tail: float = 2.0) -> DataFrame:

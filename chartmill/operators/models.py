@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from .grouped import per_key
 from .interpolate import interp_clamped
 from .validate import TRACES, yes
 
@@ -168,7 +169,8 @@ def document_signatures(pages: DataFrame) -> DataFrame:
 def chain_segments(segments: DataFrame, grid: float = 0.8) -> DataFrame:
     """segments (panel, seg, x0, y0, x1, y1) -> panel, seg, component: segments whose ends meet on a grid of `grid` points (panel-sized graphs)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(panel, c: dict[str, np.ndarray]) -> list[tuple]:
+        ends = np.rint(np.stack([c["x0"], c["y0"], c["x1"], c["y1"]], 1).astype(float) / grid).astype(np.int64).tolist()
         parent: dict = {}
 
         def root(x):
@@ -177,18 +179,17 @@ def chain_segments(segments: DataFrame, grid: float = 0.8) -> DataFrame:
                 x = parent[x]
             return x
 
-        at = lambda x, y: (round(x / grid), round(y / grid))
-        for r in pdf.itertuples():
-            a, b = root(at(r.x0, r.y0)), root(at(r.x1, r.y1))
+        for e in ends:
+            a, b = root((e[0], e[1])), root((e[2], e[3]))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        roots = [root(at(r.x0, r.y0)) for r in pdf.itertuples()]
         first: dict = {}
-        for r, s in sorted(zip(roots, pdf["seg"], strict=True), key=lambda x: x[1]):
+        roots = [root((e[0], e[1])) for e in ends]
+        for r, s in zip(roots, c["seg"].tolist(), strict=True):  # segments come in order
             first.setdefault(r, s)
-        return pd.DataFrame({"panel": pdf["panel"], "seg": pdf["seg"], "component": [first[r] for r in roots]})
+        return [(panel, s, first[r]) for r, s in zip(roots, c["seg"].tolist(), strict=True)]
 
-    return segments.groupBy("panel").applyInPandas(run, "panel long, seg long, component long")
+    return per_key(segments, "panel", ["seg", "x0", "y0", "x1", "y1"], run, "panel long, seg long, component long", ("seg",))
 
 
 def _running_percentile(y: np.ndarray, q: float) -> np.ndarray:
@@ -240,10 +241,9 @@ def plateau(points: DataFrame, boxes: DataFrame) -> DataFrame:
     # Gates and weights
     first, last, rise, slack, lean, share, loose, apart = 0.04, 0.78, 0.05, 0.01, 8.0, 0.70, 0.010, 0.035
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y"])
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        x0, y0, x1, y1 = (float(pdf[c].iloc[0]) for c in ("x0", "y0", "x1", "y1"))
+    def run(curve, c: dict[str, np.ndarray]) -> list[tuple]:
+        x, y = c["x"].astype(float), c["y"].astype(float)
+        x0, y0, x1, y1 = (float(c[k][0]) for k in ("x0", "y0", "x1", "y1"))
         n, width, height = len(x), max(1.0, x1 - x0), y1 - y0
         level = source = None
         if n >= 20:
@@ -268,6 +268,6 @@ def plateau(points: DataFrame, boxes: DataFrame) -> DataFrame:
                     level, source = middle, "middle"
             elif middle is not None:
                 level, source = middle, "middle"
-        return pd.DataFrame({"curve": [pdf["curve"].iloc[0]], "y_px": [level], "source": [source]})
+        return [(curve, level, source)]
 
-    return points.join(boxes, "curve").groupBy("curve").applyInPandas(run, "curve long, y_px double, source string")
+    return per_key(points.join(boxes, "curve"), "curve", ["x", "y", "x0", "y0", "x1", "y1"], run, "curve long, y_px double, source string", ("x", "y"))
