@@ -213,3 +213,27 @@ def strict_json(text: Column, schema: str) -> Column:
     """A struct of a JSON text; null where it isn't valid or holds NaN or an infinity outside quotes."""
     bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', '""')
     return F.when(~bare.rlike(r"NaN|Infinity"), F.from_json(text, schema, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}))
+
+
+def caption_direction(captions: DataFrame, plots: DataFrame, axes: DataFrame) -> DataFrame:
+    """Where a caption's plot lies. captions (page, caption, family, x0, y0, x1, y1, page_width), plots (page, px0, py0, px1, py1), axes (page,
+    family, wx0, wy0, wx1, wy1: a word that names an axis of the family) -> page, caption, by_axis, leads_nearer, by_gap.
+
+    by_axis: above or below, by the nearest such word in the column that the caption itself doesn't hold; leads_nearer: one grid
+    follows at 28 points or less, nearer by 8 than any before; by_gap: the materially nearer plot within 36 points, above if in doubt."""
+    # Shares of the page, distances by family, gaps and margins
+    column, far, wide, lead, near, margin = 0.22, 260.0, 340.0, 28.0, 36.0, 8.0
+    c = captions.withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
+    w = c.join(axes, ["page", "family"]).where(~((F.col("wx0") < F.col("x1")) & (F.col("x0") < F.col("wx1")) & (F.col("wy0") < F.col("y1")) & (F.col("y0") < F.col("wy1"))))
+    wy, dx = (F.col("wy0") + F.col("wy1")) / 2, F.abs((F.col("wx0") + F.col("wx1")) / 2 - F.col("cx"))
+    most = F.when(F.col("family").isin("breakdown_voltage", "capacitances"), wide).otherwise(far)
+    w = w.withColumn("wy", wy).withColumn("gap", F.abs(wy - F.col("cy"))).where((dx <= column * F.col("page_width")) & (F.col("gap") <= most))
+    word = best_row(w.select("page", "caption", "y0", "y1", "wy", "gap"), ["page", "caption"], F.asc("gap"), F.asc("wy")).select("page", "caption", F.when(F.col("wy") > F.col("y1"), "below").when(F.col("wy") < F.col("y0"), "above").alias("by_axis"))
+    p = c.join(plots, "page").where((F.col("px0") < F.col("x1")) & (F.col("x0") < F.col("px1")))
+    below, above = F.when(F.col("py0") >= F.col("y1"), F.col("py0") - F.col("y1")), F.when(F.col("py1") <= F.col("y0"), F.col("y0") - F.col("py1"))
+    g = p.groupBy("page", "caption").agg(F.min(below).alias("b"), F.min(above).alias("a"), F.count(below).alias("nb"))
+    beats = F.col("a").isNull() | (F.col("b") + margin < F.col("a"))
+    leads = yes((F.col("nb") == 1) & (F.col("b") <= lead) & beats)
+    gap = F.when(yes((F.col("b") <= near) & beats), "below").when(yes(F.col("a") <= near), "above").when(yes(F.col("b") <= near), "below")
+    out = captions.select("page", "caption").join(word, ["page", "caption"], "left").join(g, ["page", "caption"], "left")
+    return out.select("page", "caption", "by_axis", leads.alias("leads_nearer"), gap.alias("by_gap"))

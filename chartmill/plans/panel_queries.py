@@ -201,7 +201,25 @@ _ANCHORS = """WITH p AS (SELECT p_partkey AS part, p_partkey % 6 AS kind, (p_siz
  UNION ALL SELECT part, 'Coss', CASE WHEN kind <> 3 THEN o END, CASE kind WHEN 0 THEN 40.0 WHEN 2 THEN 25.0 WHEN 5 THEN fb ELSE 50.0 END, CASE WHEN kind IN (0, 2) THEN 'row' ELSE 'block' END FROM p
  UNION ALL SELECT part, 'Crss', CASE WHEN kind IN (2, 4) OR (kind = 1 AND part % 5 = 0) THEN NULL ELSE r END, CASE kind WHEN 0 THEN 40.0 WHEN 5 THEN fb ELSE 50.0 END, CASE WHEN kind = 0 THEN 'row' ELSE 'block' END FROM p) SELECT * FROM a WHERE value_pf IS NOT NULL AND vds_v IS NOT NULL"""
 
+def _captions(s, d):
+    """Pages of six captions with a plot of their own above or below, by parts."""
+    k = F.col("p_partkey")
+    p = table(s, d, "part").select(F.floor(k / 6).alias("page"), k.alias("caption"), F.element_at(F.array(F.lit("transfer"), F.lit("body_diode"), F.lit("capacitances")), (k % 3 + 1).cast("int")).alias("family"), (k % 2 * 250.0 + 30).alias("x0"), (k % 6 * 130.0 + 100).alias("y0"), "p_size", k.alias("k"))
+    captions = p.select("page", "caption", "family", "x0", "y0", (F.col("x0") + 120).alias("x1"), (F.col("y0") + 12).alias("y1"), F.lit(595.0).alias("page_width"))
+    plots = p.select("page", F.col("x0").alias("px0"), (F.col("y0") + 12 + F.col("p_size") % 45).alias("py0"), (F.col("x0") + 200).alias("px1"), (F.col("y0") + 90 + F.col("p_size") % 45).alias("py1"))
+    axes = p.where("k % 4 <> 0").select("page", "family", (F.col("x0") + F.col("k") % 150).alias("wx0"), (F.col("y0") + F.when(F.col("k") % 5 == 0, -90).otherwise(100)).alias("wy0"), (F.col("x0") + F.col("k") % 150 + 20).alias("wx1"), (F.col("y0") + F.when(F.col("k") % 5 == 0, -80).otherwise(110)).alias("wy1"))
+    return P.caption_direction(captions, plots, axes)
+
+
+_CAPTIONS = """WITH p AS (SELECT p_partkey AS k, p_partkey // 6 AS page, ['transfer', 'body_diode', 'capacitances'][CAST(p_partkey % 3 + 1 AS INT)] AS family, p_partkey % 2 * 250.0::DOUBLE + 30 AS x0, p_partkey % 6 * 130.0::DOUBLE + 100 AS y0, p_size % 45 AS z FROM part),
+ c AS (SELECT *, x0 + 120 AS x1, y0 + 12 AS y1, x0 + 60 AS cx, y0 + 6 AS cy FROM p), w AS (SELECT page, family, x0 + k % 150 + 10 AS wx, x0 + k % 150 AS a, x0 + k % 150 + 20 AS b, y0 + CASE WHEN k % 5 = 0 THEN -90 ELSE 100 END AS t FROM p WHERE k % 4 <> 0),
+ n AS (SELECT c.page, c.k, c.y0, c.y1, w.t + 5 AS wy, abs(w.t + 5 - cy) AS gap FROM c JOIN w ON w.page = c.page AND w.family = c.family WHERE NOT (w.a < c.x1 AND c.x0 < w.b AND w.t < c.y1 AND c.y0 < w.t + 10) AND abs(wx - cx) <= 0.22 * 595 AND abs(w.t + 5 - cy) <= CASE WHEN c.family = 'capacitances' THEN 340 ELSE 260 END),
+ b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page, k ORDER BY gap, wy) = 1),
+ g AS (SELECT c.k, min(CASE WHEN q.y0 + 12 + q.z >= c.y1 THEN q.y0 + 12 + q.z - c.y1 END) AS b, min(CASE WHEN q.y0 + 90 + q.z <= c.y0 THEN c.y0 - (q.y0 + 90 + q.z) END) AS a, count(CASE WHEN q.y0 + 12 + q.z >= c.y1 THEN 1 END) AS nb FROM c JOIN p q ON q.page = c.page AND q.x0 < c.x1 AND c.x0 < q.x0 + 200 GROUP BY 1)
+ SELECT c.page, c.k AS caption, CASE WHEN b.wy > c.y1 THEN 'below' WHEN b.wy < c.y0 THEN 'above' END AS by_axis, coalesce(nb = 1 AND g.b <= 28 AND (g.a IS NULL OR g.b + 8 < g.a), false) AS leads_nearer, CASE WHEN g.b <= 36 AND (g.a IS NULL OR g.b + 8 < g.a) THEN 'below' WHEN g.a <= 36 THEN 'above' WHEN g.b <= 36 THEN 'below' END AS by_gap FROM c LEFT JOIN b ON b.k = c.k LEFT JOIN g ON g.k = c.k"""
+
 QUERIES = {
+    "panel_caption_direction": (_captions, _CAPTIONS),
     "anchor_capacitances": (lambda s, d: A.capacitance_anchors(*_spec_rows(s, d)), _ANCHORS),
     "panel_exported": (_exported, f"WITH {CLEAN} SELECT curve, round(x, 4) AS x, round((floor(x) - 20) / 719.0, 6) AS x_norm, round((510 - round(y)) / 499.0, 6) AS y_norm FROM cl"),
     "panel_cubics": (_cubics, _CUBICS),

@@ -35,3 +35,8 @@ def closure_markdown(verdicts: DataFrame) -> DataFrame:
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
+
+
+def write_charge_csv(table: DataFrame, path: str) -> None:
+    """curve, v, q, e of tabulated charges as csv, in order within a curve."""
+    table.select("curve", "i", "v", "q", "e").repartitionByRange("curve").sortWithinPartitions("curve", "i").drop("i").write.mode("overwrite").option("header", "true").csv(path)
