@@ -81,7 +81,7 @@ class Crf:
         order = rng.permutation(len(runs)).tolist()
         half = run // 2
         made = []
-        for a, b in zip(order, order[1:] + order[:1], strict=True):  # the first half of one row, then the first half of another
+        for a, b in zip(order, order[1:] + order[:1], strict=True):  # the first half of one row, then the second half of another
             (x, p), (y, q) = runs[a], runs[b]
             made.append((p[:half] + q[half : 2 * half], [x] * len(p[:half]) + [y] * len(q[half : 2 * half])))
         made = [m for m in made if m[0]]
