@@ -237,3 +237,45 @@ def caption_direction(captions: DataFrame, plots: DataFrame, axes: DataFrame) ->
     gap = F.when(yes((F.col("b") <= near) & beats), "below").when(yes(F.col("a") <= near), "above").when(yes(F.col("b") <= near), "below")
     out = captions.select("page", "caption").join(word, ["page", "caption"], "left").join(g, ["page", "caption"], "left")
     return out.select("page", "caption", "by_axis", leads.alias("leads_nearer"), gap.alias("by_gap"))
+
+
+def axis_tiers(attempts: DataFrame) -> DataFrame:
+    """attempts (panel, tier, ok, error) of position, grid, text_order and ocr -> panel, tier, trusted, errors.
+
+    Position comes first, then grid lines; the order of texts stands in where both fail but is never trusted, so recognised labels
+    go before it. Missing tiers count as failed; errors are those of the tiers that were tried and failed, in this order."""
+    order = ("position", "grid", "text_order", "ocr")
+    ok = {t: F.coalesce(F.max(F.when(F.col("tier") == t, F.col("ok"))), F.lit(False)).alias(f"ok_{t}") for t in order}
+    said = [F.max(F.when((F.col("tier") == t) & ~F.coalesce("ok", F.lit(False)), F.concat(F.lit(f"{t}: "), F.coalesce("error", F.lit("failed"))))).alias(f"why_{t}") for t in order]
+    g = attempts.groupBy("panel").agg(*ok.values(), *said)
+    tried = {"position": F.lit(True), "grid": ~F.col("ok_position"), "text_order": F.lit(True), "ocr": ~F.col("ok_position") & ~F.col("ok_grid")}
+    tier = F.when(F.col("ok_position"), "position").when(F.col("ok_grid"), "grid").when(F.col("ok_ocr"), "ocr").when(F.col("ok_text_order"), "text_order")
+    errors = F.array_join(F.array_compact(F.array(*[F.when(tried[t], F.col(f"why_{t}")) for t in order])), "; ")
+    return g.select("panel", tier.alias("tier"), yes(tier.isin("position", "grid", "ocr")).alias("trusted"), errors.alias("errors"))
+
+
+def log_axis_evidence(labels: DataFrame) -> DataFrame:
+    """labels (axis, value, pixel) of an upright axis -> axis, n_decades, ladder, contradicted, corroborated.
+
+    ladder: four labels or more, no two alike, none negative, with even steps (5 %), rising upwards and on a line (3 % of a step).
+    contradicted: a log reading of two decades or more that such a ladder explains better, as it holds labels beyond the decades.
+    corroborated: every other positive label lies where the decades' line puts it, or there is none."""
+    # Bounds of the ladder; pixels and share of the span that a label may miss the decades' line by
+    even, tight, miss, share = 0.05, 0.03, 1.5, 0.02
+    w = Window.partitionBy("axis").orderBy("value", F.desc("pixel"))
+    t = labels.withColumn("_dv", F.col("value") - F.lag("value").over(w)).withColumn("_dp", F.col("pixel") - F.lag("pixel").over(w))
+    power = F.round(F.log10(F.when(F.col("value") > 0, F.col("value"))))
+    t = t.withColumn("_k", F.when(yes(F.abs(F.pow(F.lit(10.0), power) / F.col("value") - 1) < 1e-9), power))
+    g = t.groupBy("axis").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("d"), F.min("value").alias("least"), F.median("_dv").alias("step"), F.max("_dv").alias("widest"), F.min("_dv").alias("narrowest"), F.max("_dp").alias("rise"),
+        F.sqrt(F.greatest(F.regr_syy("value", "pixel") - F.regr_sxy("value", "pixel") * F.regr_sxy("value", "pixel") / F.nullif(F.regr_sxx("value", "pixel"), F.lit(0.0)), F.lit(0.0)) / F.count(F.lit(1))).alias("off"),
+        F.count("_k").alias("decades"), F.regr_slope("_k", "pixel").alias("m"), F.regr_intercept("_k", "pixel").alias("b"), (F.max(F.when(F.col("_k").isNotNull(), F.col("pixel"))) - F.min(F.when(F.col("_k").isNotNull(), F.col("pixel")))).alias("span"),
+    )
+    ladder = (F.col("n") >= 4) & (F.col("d") == F.col("n")) & (F.col("least") >= 0) & (F.col("step") > 0) & (F.greatest(F.col("widest") - F.col("step"), F.col("step") - F.col("narrowest")) <= F.greatest(F.lit(1e-9), even * F.col("step"))) & (F.col("rise") < 0) & (F.col("off") <= F.greatest(F.lit(1e-6), tight * F.col("step")))
+    taken = t.where("_k IS NOT NULL").select("axis", "pixel").distinct()
+    peers = t.where("_k IS NULL AND value > 0").join(taken, ["axis", "pixel"], "left_anti").join(g.select("axis", "m", "b", "span"), "axis")
+    far = F.abs((F.log10("value") - F.col("b")) / F.nullif("m", F.lit(0.0)) - F.col("pixel")) > F.greatest(F.lit(miss), share * F.col("span"))
+    p = peers.groupBy("axis").agg(F.count(F.lit(1)).alias("peers"), F.count_if(F.coalesce(far, F.lit(True))).alias("off_line"))
+    out = g.join(p, "axis", "left")
+    corroborated = F.when(F.col("decades") < 2, F.lit(True)).when(~yes(F.col("span") > 0), F.lit(False)).when(F.col("peers").isNull(), F.lit(True)).otherwise(F.col("off_line") == 0)
+    return out.select("axis", F.col("decades").alias("n_decades"), yes(ladder).alias("ladder"), yes((F.col("decades") >= 2) & ladder & (F.col("n") > F.col("decades"))).alias("contradicted"), corroborated.alias("corroborated"))

@@ -218,7 +218,39 @@ _CAPTIONS = """WITH p AS (SELECT p_partkey AS k, p_partkey // 6 AS page, ['trans
  g AS (SELECT c.k, min(CASE WHEN q.y0 + 12 + q.z >= c.y1 THEN q.y0 + 12 + q.z - c.y1 END) AS b, min(CASE WHEN q.y0 + 90 + q.z <= c.y0 THEN c.y0 - (q.y0 + 90 + q.z) END) AS a, count(CASE WHEN q.y0 + 12 + q.z >= c.y1 THEN 1 END) AS nb FROM c JOIN p q ON q.page = c.page AND q.x0 < c.x1 AND c.x0 < q.x0 + 200 GROUP BY 1)
  SELECT c.page, c.k AS caption, CASE WHEN b.wy > c.y1 THEN 'below' WHEN b.wy < c.y0 THEN 'above' END AS by_axis, coalesce(nb = 1 AND g.b <= 28 AND (g.a IS NULL OR g.b + 8 < g.a), false) AS leads_nearer, CASE WHEN g.b <= 36 AND (g.a IS NULL OR g.b + 8 < g.a) THEN 'below' WHEN g.a <= 36 THEN 'above' WHEN g.b <= 36 THEN 'below' END AS by_gap FROM c LEFT JOIN b ON b.k = c.k LEFT JOIN g ON g.k = c.k"""
 
+def _tiers(s, d):
+    """lineitem as attempts at an order's axis: the line number is the tier, every third part succeeds."""
+    tier = F.element_at(F.array(F.lit("position"), F.lit("grid"), F.lit("text_order"), F.lit("ocr")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    return P.axis_tiers(table(s, d, "lineitem").select(F.col("l_orderkey").alias("panel"), tier.alias("tier"), (F.col("l_partkey") % 3 == 0).alias("ok"), F.concat(F.lit("e"), (F.col("l_suppkey") % 4).cast("string")).alias("error")))
+
+
+_TIERS = """WITH t AS (SELECT l_orderkey AS panel, ['position', 'grid', 'text_order', 'ocr'][CAST(l_linenumber % 4 + 1 AS INT)] AS tier, l_partkey % 3 = 0 AS ok, concat('e', l_suppkey % 4) AS error FROM lineitem),
+ g AS (SELECT panel, coalesce(bool_or(ok) FILTER (tier = 'position'), false) AS p, coalesce(bool_or(ok) FILTER (tier = 'grid'), false) AS g, coalesce(bool_or(ok) FILTER (tier = 'text_order'), false) AS t, coalesce(bool_or(ok) FILTER (tier = 'ocr'), false) AS o,
+ max(error) FILTER (tier = 'position' AND NOT ok) AS wp, max(error) FILTER (tier = 'grid' AND NOT ok) AS wg, max(error) FILTER (tier = 'text_order' AND NOT ok) AS wt, max(error) FILTER (tier = 'ocr' AND NOT ok) AS wo FROM t GROUP BY 1)
+ SELECT panel, CASE WHEN p THEN 'position' WHEN g THEN 'grid' WHEN o THEN 'ocr' WHEN t THEN 'text_order' END AS tier, p OR g OR o AS trusted, concat_ws('; ', 'position: ' || wp, CASE WHEN NOT p THEN 'grid: ' || wg END, 'text_order: ' || wt, CASE WHEN NOT p AND NOT g THEN 'ocr: ' || wo END) AS errors FROM g"""
+
+
+def _log_labels(s, d):
+    """Order lines as labels of upright axes: even steps through two decades, whole decades, a log axis with peers, and peers off the line."""
+    n, kind = F.col("line"), F.col("axis") % 4
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("axis"), F.col("l_linenumber").alias("line")).distinct()
+    logs = F.element_at(F.array(*[F.lit(v) for v in (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)]), n.cast("int"))
+    odd = F.element_at(F.array(*[F.lit(v) for v in (1.0, 3.0, 4.0, 10.0, 13.0, 29.0, 37.0)]), n.cast("int"))
+    value = F.when(kind == 0, 10 + 90.0 * (n - 1)).when(kind == 1, F.pow(F.lit(10.0), n - 1)).when(kind == 2, logs).otherwise(odd)
+    pixel = F.when(kind == 2, F.round(400 - 100 * F.log10(logs))).otherwise(400 - 30.0 * n)
+    return P.log_axis_evidence(li.select("axis", value.alias("value"), pixel.alias("pixel")))
+
+
+_LOGS = """WITH li AS (SELECT DISTINCT l_orderkey AS axis, l_linenumber AS n FROM lineitem), l AS (SELECT axis, CASE axis % 4 WHEN 0 THEN 10 + 90.0 * (n - 1) WHEN 1 THEN pow(10.0, n - 1) WHEN 2 THEN [1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0][CAST(n AS INT)] ELSE [1.0, 3.0, 4.0, 10.0, 13.0, 29.0, 37.0][CAST(n AS INT)] END::DOUBLE AS value, CASE WHEN axis % 4 = 2 THEN round(400 - 100 * log10([1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0][CAST(n AS INT)]::DOUBLE)) ELSE 400 - 30.0 * n END::DOUBLE AS pixel FROM li),
+ t AS (SELECT *, value - lag(value) OVER w AS dv, pixel - lag(pixel) OVER w AS dp, CASE WHEN abs(pow(10.0, round(log10(value))) / value - 1) < 1e-9 THEN round(log10(value)) END AS k FROM l WINDOW w AS (PARTITION BY axis ORDER BY value, pixel DESC)),
+ g AS (SELECT axis, count(*) AS n, count(DISTINCT value) AS d, min(value) AS lo, median(dv) AS st, max(dv) AS wd, min(dv) AS nr, max(dp) AS up, sqrt(greatest(regr_syy(value, pixel) - regr_sxy(value, pixel) * regr_sxy(value, pixel) / nullif(regr_sxx(value, pixel), 0), 0) / count(*)) AS off, count(k) AS dec, regr_slope(k, pixel) AS m, regr_intercept(k, pixel) AS b, max(pixel) FILTER (k IS NOT NULL) - min(pixel) FILTER (k IS NOT NULL) AS sp FROM t GROUP BY 1),
+ q AS (SELECT t.axis, bool_and(coalesce(abs((log10(value) - b) / nullif(m, 0) - pixel) <= greatest(1.5, 0.02 * sp), false)) AS ok FROM t JOIN g USING (axis) WHERE k IS NULL AND value > 0 AND NOT EXISTS (SELECT 1 FROM t u WHERE u.axis = t.axis AND u.k IS NOT NULL AND u.pixel = t.pixel) GROUP BY 1),
+ r AS (SELECT *, coalesce(n >= 4 AND d = n AND lo >= 0 AND st > 0 AND greatest(wd - st, st - nr) <= greatest(1e-9, 0.05 * st) AND up < 0 AND off <= greatest(1e-6, 0.03 * st), false) AS ladder FROM g)
+ SELECT r.axis, dec AS n_decades, ladder, dec >= 2 AND ladder AND n > dec AS contradicted, CASE WHEN dec < 2 THEN true WHEN NOT coalesce(sp > 0, false) THEN false ELSE coalesce(q.ok, true) END AS corroborated FROM r LEFT JOIN q USING (axis)"""
+
 QUERIES = {
+    "axis_tiers": (_tiers, _TIERS),
+    "axis_log_evidence": (_log_labels, _LOGS),
     "panel_caption_direction": (_captions, _CAPTIONS),
     "anchor_capacitances": (lambda s, d: A.capacitance_anchors(*_spec_rows(s, d)), _ANCHORS),
     "panel_exported": (_exported, f"WITH {CLEAN} SELECT curve, round(x, 4) AS x, round((floor(x) - 20) / 719.0, 6) AS x_norm, round((510 - round(y)) / 499.0, 6) AS y_norm FROM cl"),
