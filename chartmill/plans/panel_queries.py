@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as G
 from ..operators import anchors as A
+from ..operators import closure as K
 from ..operators import panels as P
 from ..operators import validate as V
 from ..session import table
@@ -248,7 +250,33 @@ _LOGS = """WITH li AS (SELECT DISTINCT l_orderkey AS axis, l_linenumber AS n FRO
  r AS (SELECT *, coalesce(n >= 4 AND d = n AND lo >= 0 AND st > 0 AND greatest(wd - st, st - nr) <= greatest(1e-9, 0.05 * st) AND up < 0 AND off <= greatest(1e-6, 0.03 * st), false) AS ladder FROM g)
  SELECT r.axis, dec AS n_decades, ladder, dec >= 2 AND ladder AND n > dec AS contradicted, CASE WHEN dec < 2 THEN true WHEN NOT coalesce(sp > 0, false) THEN false ELSE coalesce(q.ok, true) END AS corroborated FROM r LEFT JOIN q USING (axis)"""
 
+def _closure(s, d):
+    """Records of two curves by parts, each with the faults that its number's remainders say."""
+    k = F.col("p_partkey")
+    bad = lambda m: k % m == 1
+    p = table(s, d, "part").select(k.alias("entity"), "p_partkey")
+    one = lambda v, fault, m: F.when(bad(m), F.lit(fault)).otherwise(F.lit(v))
+    rec = p.select("entity", F.lit(2).alias("expected_curves"), (~bad(5)).alias("artifacts"), F.lit(800).alias("source_w"), F.lit(600).alias("source_h"), F.lit(800).alias("overlay_w"), one(660, 640, 7).alias("overlay_h"), one("x  axis y axis digitized Vgs Id", "x axis", 11).alias("overlay_text"), F.lit("Vgs").alias("x_quantity"), F.lit("V").alias("x_unit"), F.lit("linear").alias("x_scale"), F.lit(0.0).alias("x_min"), F.lit(10.0).alias("x_max"), F.lit("Id").alias("y_quantity"), one("A", "mA", 13).alias("y_unit"), F.lit("linear").alias("y_scale"), F.lit(0.0).alias("y_min"), F.lit(100.0).alias("y_max"), F.lit(50.0).alias("px0"), F.lit(40.0).alias("py0"), one(750.0, 850.0, 17).alias("px1"), F.lit(560.0).alias("py1"), F.array(F.lit(25.0), F.lit(125.0)).alias("labels"), F.lit(0.05).alias("allowed_gap"), (~bad(19)).alias("provenance"), F.lit(False).alias("vector"), one(0.02, 0.3, 23).alias("collapse"))
+    pts = p.withColumn("curve", F.explode(F.when(bad(29), F.array(F.lit(1).cast("long"))).otherwise(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    shift = F.when(bad(31), 0.0).otherwise((F.col("curve") - 1) * 0.5)
+    vgs = 2 + F.col("i") * 0.2 + shift - F.when(bad(37) & (F.col("i") == 10), 1.0).otherwise(0.0)
+    pts = pts.select("entity", "curve", "i", F.when(bad(41), 25.0).otherwise((F.col("curve") - 1) * 100.0 + 25).alias("temperature"), vgs.alias("vgs"), (F.col("i") * 4.0).alias("id"))
+    both = p.withColumn("curve", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
+    ident = both.select("entity", "curve", ((F.col("curve") - 1) * 100.0 + 25).alias("temperature"))
+    diag = both.select("entity", "curve", F.lit(25).alias("points"), F.lit(0.9).alias("y_span"), one(0.02, 0.2, 43).alias("max_gap"), F.lit(0.0).alias("violation"))
+    return G.verdicts(K.closure_gates(rec, pts, ident, diag))
+
+
+def _closure_sql() -> str:
+    bad = lambda m: f"p_partkey % {m} = 1"
+    faults = [bad(5), bad(7), bad(11), bad(13), bad(17), bad(29), f"({bad(29)} OR {bad(41)})", f"({bad(13)} OR {bad(17)})", f"({bad(13)} OR {bad(17)} OR {bad(37)})", f"({bad(29)} OR {bad(43)})", bad(19), f"({bad(23)} OR ({bad(31)} AND NOT {bad(29)}))"]
+    names = ", ".join(f"CASE WHEN {f} THEN '{g}' END" for g, f in zip(K.GATES, faults, strict=True))
+    count = " + ".join(f"({f})::INT" for f in faults)
+    return f"WITH t AS (SELECT p_partkey AS entity, {count} AS bad, concat_ws(',', {names}) AS reasons FROM part) SELECT entity, CAST(12 AS BIGINT) AS n_gates, CAST(12 - bad AS BIGINT) AS n_passed, CASE WHEN bad = 0 THEN 'accepted' ELSE 'rejected' END AS status, reasons FROM t"
+
+
 QUERIES = {
+    "closure_audit": (_closure, _closure_sql()),
     "axis_tiers": (_tiers, _TIERS),
     "axis_log_evidence": (_log_labels, _LOGS),
     "panel_caption_direction": (_captions, _CAPTIONS),
