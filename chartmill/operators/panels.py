@@ -279,3 +279,31 @@ def log_axis_evidence(labels: DataFrame) -> DataFrame:
     out = g.join(p, "axis", "left")
     corroborated = F.when(F.col("decades") < 2, F.lit(True)).when(~yes(F.col("span") > 0), F.lit(False)).when(F.col("peers").isNull(), F.lit(True)).otherwise(F.col("off_line") == 0)
     return out.select("axis", F.col("decades").alias("n_decades"), yes(ladder).alias("ladder"), yes((F.col("decades") >= 2) & ladder & (F.col("n") > F.col("decades"))).alias("contradicted"), corroborated.alias("corroborated"))
+
+
+def merged_ticks(labels: DataFrame, gap: float = 3.0) -> DataFrame:
+    """labels (axis, value, pixel) -> axis, value, pixel, n: labels printed on one row (steps of `gap` pixels at most) as one tick, by medians."""
+    w = Window.partitionBy("axis").orderBy("pixel", "value")
+    new = F.coalesce((F.col("pixel") - F.lag("pixel").over(w) > gap).cast("int"), F.lit(0))
+    g = labels.withColumn("_new", new).withColumn("_row", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy("axis", "_row").agg(F.median("value").alias("value"), F.median("pixel").alias("pixel"), F.count(F.lit(1)).alias("n")).drop("_row")
+
+
+def waveform_definitions(captions: DataFrame, pages: DataFrame) -> DataFrame:
+    """captions (page, number, title, text), pages (page, text) -> page, number, definition: gate-charge waveforms that define terms.
+
+    Their panel holds fewer than two plain numbers, and the figure next to them in the same ten, or the page's text under the
+    figure number before, is a gate-charge test or measurement circuit."""
+    from ..functions.text import compact, normalised
+
+    t = captions.withColumn("_t", normalised(F.col("title")))
+    words = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: F.btrim(x, F.lit("(),;:"))), lambda x: x.rlike(r"^[+-]?\d+(?:\.\d+)?$"))
+    mine = t.withColumn("_w", F.col("_t").contains("gate charge") & F.col("_t").contains("waveform") & (F.size(words) < 2)).withColumn("_ten", F.floor(F.col("number") / 10))
+    circuit = t.where(F.col("_t").rlike(r"\bgate charge (?:test|measurement) circuit\b")).select("page", F.floor(F.col("number") / 10).alias("_ten"), F.explode(F.array(F.col("number") - 1, F.col("number") + 1)).alias("number")).where(F.floor(F.col("number") / 10) == F.col("_ten")).select("page", "number").distinct().withColumn("_beside", F.lit(True))
+    whole = pages.select("page", compact(F.col("text")).alias("_page"))
+    j = mine.join(circuit, ["page", "number"], "left").join(whole, "page", "left")
+    said = F.lit(False)
+    for prefix in ("fig", "figure", "diagram"):
+        for kind in ("test", "measurement"):
+            said = said | F.contains(F.col("_page"), F.concat(F.lit(prefix), (F.col("number") - 1).cast("string"), F.lit(f"gatecharge{kind}circuit")))
+    return j.select("page", "number", yes(F.col("_w") & (yes(F.col("_beside")) | yes(said))).alias("definition"))

@@ -275,7 +275,20 @@ def _closure_sql() -> str:
     return f"WITH t AS (SELECT p_partkey AS entity, {count} AS bad, concat_ws(',', {names}) AS reasons FROM part) SELECT entity, CAST(12 AS BIGINT) AS n_gates, CAST(12 - bad AS BIGINT) AS n_passed, CASE WHEN bad = 0 THEN 'accepted' ELSE 'rejected' END AS status, reasons FROM t"
 
 
+def _waveforms(s, d):
+    """Parts as captions of pages of five: waveforms, circuits and others, some with numbers in their panel or a page that names the circuit."""
+    k = F.col("p_partkey")
+    titles = F.array(*[F.lit(t) for t in ("Gate-charge waveform", "Gate charge test circuit", "Output characteristics", "Gate charge waveforms", "Transfer")])
+    p = table(s, d, "part").select(F.floor(k / 5).alias("page"), (k % 25 + 8).alias("number"), F.element_at(titles, (k % 5 + 1).cast("int")).alias("title"), F.when(k % 7 == 0, "(10); 2.5 V 3").otherwise("VGS Qg 5").alias("text"), k.alias("k"))
+    pages = p.where("k % 5 = 3 AND k % 3 = 0").select("page", F.concat(F.lit("Figure "), (F.col("number") - 1).cast("string"), F.lit(". Gate-charge measurement circuit")).alias("text"))
+    return P.waveform_definitions(p.drop("k"), pages)
+
+
+_WAVEFORMS = """WITH p AS (SELECT p_partkey AS k, p_partkey // 5 AS page, p_partkey % 25 + 8 AS number FROM part) SELECT page, number, CASE k % 5 WHEN 0 THEN k % 7 <> 0 AND (number + 1) // 10 = number // 10 WHEN 3 THEN k % 7 <> 0 AND k % 3 = 0 ELSE false END AS definition FROM p"""
+
 QUERIES = {
+    "text_waveform_definitions": (_waveforms, _WAVEFORMS),
+    "axis_merged_ticks": (lambda s, d: P.merged_ticks(table(s, d, "lineitem").select(F.col("l_orderkey").alias("axis"), F.col("l_quantity").alias("value"), (F.col("l_partkey") % 40 * 1.0).alias("pixel"))), "WITH l AS (SELECT l_orderkey AS axis, l_quantity AS value, (l_partkey % 40)::DOUBLE AS pixel FROM lineitem), n AS (SELECT *, CASE WHEN pixel - lag(pixel) OVER w > 3 THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY axis ORDER BY pixel, value)), g AS (SELECT *, sum(new) OVER (PARTITION BY axis ORDER BY pixel, value ROWS UNBOUNDED PRECEDING) AS r FROM n) SELECT axis, median(value) AS value, median(pixel) AS pixel, count(*) AS n FROM g GROUP BY axis, r"),
     "closure_audit": (_closure, _closure_sql()),
     "axis_tiers": (_tiers, _TIERS),
     "axis_log_evidence": (_log_labels, _LOGS),
