@@ -114,6 +114,7 @@ def coss_metrics(points: DataFrame, vint: float, samples: int = 4000, ceiling: f
             clear = int(np.argmin(over)) if over[0] and not over.all() else 0
             clear = clear if 0 < clear < len(y) - 2 else 0
         fx, fy = x[clear:], y[clear:]
+        # The fit takes points up to ten times the first voltage or the seventh point, six of them if that leaves too few
         edge = max(fx[0] * 10, fx[min(len(fx) - 1, 6)]) if fx[0] > 0 else fx[min(len(fx) - 1, 6)]
         low = fx <= edge
         if low.sum() < 3:

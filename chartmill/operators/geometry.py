@@ -1,7 +1,8 @@
 """Strokes, frames, words side by side, tracked lines and exhaustive tick subsets.
 
-Joins carry the page or panel as an equality, so pairs are formed within one page only. Grouped pandas
-functions hold one panel: their steps depend on the ones before them.
+Joins carry the page or panel as an equality, so pairs are formed within one page only. Grouped
+functions hold one panel: their steps depend on the ones before them. Default arguments (distances, counts and
+shares) are fixed values that results depend on.
 """
 
 from __future__ import annotations

@@ -41,6 +41,7 @@ def test_knots_reach_the_tolerance_with_few_points(spark):
     assert models.spice_text(models.charge_table(k, 40.0, 4)).first()["netlist"].startswith(".func qoss_c1(v) {table(max(v,0), 0,")
 
 
+# Axes and what the contract says of them
 AXES = [
     ([0, 10, 20, 30], [10, 20, 30, 40], "auto", "ok", "linear"),
     ([100, 101, 102, 103], [0, 100, 200, 300], "auto", "ambiguous", None),
