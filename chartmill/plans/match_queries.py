@@ -76,7 +76,7 @@ QUERIES = {
     "agg_inherit_blocks": (lambda s, d: G.inherit_in_blocks(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("part"), F.col("l_linenumber").alias("line")).agg(F.min("l_returnflag").alias("rf"), F.min("l_quantity").alias("q")).where("q > 12").select("part", "line", F.when(F.col("rf") != "N", F.col("rf")).alias("unit"), F.when(F.col("q") > 30, F.col("q") % 2).alias("condition")), 1), "WITH u AS (SELECT l_orderkey AS part, l_linenumber AS line, min(l_returnflag) AS rf, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2 HAVING min(l_quantity) > 12), r AS (SELECT part, line, CASE WHEN rf <> 'N' THEN rf END AS unit, CASE WHEN q > 30 THEN q % 2 END AS condition FROM u), s AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY part ORDER BY line) > 1 THEN 1 ELSE 0 END AS new FROM r), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY part ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM s), g AS (SELECT part, block, min(line) AS first_line, count(*) AS n_rows, count(DISTINCT unit) AS u, min(unit) AS unit, count(DISTINCT condition) AS c, min(condition) AS condition FROM b GROUP BY 1, 2), st AS (SELECT *, CASE WHEN c > 1 THEN 'conflicting_condition' WHEN u > 1 THEN 'mixed_units' WHEN c = 0 OR u = 0 THEN 'incomplete' ELSE 'ok' END AS status FROM g) SELECT part, block, first_line, n_rows, CASE WHEN status = 'ok' THEN unit END AS unit, CASE WHEN status = 'ok' THEN condition END AS condition, status FROM st"),
     "agg_square_law": (lambda s, d: _round(G.square_law(_law(s, d)), k=5, vth=4), "WITH p AS (SELECT l_suppkey AS curve, l_quantity / 5 + 3.2 AS v, l_discount AS dc FROM lineitem), q AS (SELECT curve, v, 0.8 * (v - 3) * (v - 3) * (1 + (dc - 0.05) / 10) AS i FROM p), g AS (SELECT curve, regr_slope(sqrt(i), v) AS s, regr_intercept(sqrt(i), v) AS b, count(*) AS n FROM q WHERE i > 0 GROUP BY 1) SELECT curve, round(s * s, 5) AS k, round(-b / nullif(s, 0), 4) AS vth, n FROM g"),
     "agg_pivot_vth": (lambda s, d: _round(G.pivot_vth(_law(s, d), _pivots(s, d)), k=3, vth=3, rms=3), stepwise_sql.PIVOT.format(law=_LAW_SQL, pivots=_PIVOTS_SQL)),
-    "agg_coss_metrics": (lambda s, d: _round(G.coss_metrics(_clean(s, d), 400.0, ceiling=300.0), phi=3, m=3), None),
+    "agg_coss_metrics": (lambda s, d: _round(G.coss_metrics(_clean(s, d), 400.0, ceiling=300.0), phi=3, m=3), stepwise_sql.COSS),
     "agg_fingerprints": (lambda s, d: _tokens(s, d).select("id", G.fingerprint(F.col("tokens")).alias("fingerprint"), F.size("tokens").alias("n_tokens")), f"WITH {_TOK} SELECT id, substr(sha256(array_to_string(list_sort(tokens), chr(10))), 1, 20) AS fingerprint, len(tokens) AS n_tokens FROM tok"),
     "agg_medoids": (lambda s, d: G.medoids(_tokens(s, d).withColumn("key", F.concat_ws("/", "key", (F.col("id") % 30).cast("string"))), "key"), f"WITH {_TOK}, k AS (SELECT concat(key, '/', id % 30) AS key, id, tokens FROM tok), n AS (SELECT key, count(*) AS n, min(id) AS least FROM k GROUP BY 1), s AS (SELECT a.key, a.id AS a, round(sum({_SIM}), 9) AS total, max(len(a.tokens)) AS size FROM k a JOIN k b ON a.key = b.key GROUP BY 1, 2), b AS (SELECT key, a FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY total DESC, size, a DESC) = 1) SELECT key, n, CASE WHEN n <= 2 THEN least ELSE a END AS medoid FROM n JOIN b USING (key)"),
     "agg_verdicts": (lambda s, d: G.verdicts(_gates(s, d)), "WITH g AS (SELECT o_orderkey AS entity, seq, CASE seq WHEN 1 THEN o_totalprice > 50000 WHEN 2 THEN CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus <> 'P' END ELSE true END AS passed FROM orders CROSS JOIN (SELECT unnest([1, 2, 3]) AS seq)), r AS (SELECT *, CASE WHEN passed IS NULL THEN concat('gate', seq, '_unevaluated') WHEN NOT passed THEN concat('failed_', seq) END AS reason FROM g) SELECT entity, count(*) AS n_gates, count(*) FILTER (coalesce(passed, false)) AS n_passed, CASE WHEN bool_and(coalesce(passed, false)) THEN 'accepted' ELSE 'rejected' END AS status, coalesce(string_agg(reason, ',' ORDER BY seq), '') AS reasons FROM r GROUP BY 1"),

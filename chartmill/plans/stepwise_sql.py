@@ -103,3 +103,33 @@ PLATEAU = """WITH {points}, li AS (SELECT curve, list(y ORDER BY x) AS ys FROM p
  tr AS (SELECT f.curve, f.b AS i, m.b AS j, round(f.off + m.off + l.off, 6) AS cost FROM se f JOIN se m ON m.curve = f.curve AND f.a = 0 AND m.a = f.b JOIN se l ON l.curve = f.curve AND l.a = m.b AND l.b = 60 WHERE f.b < 44 AND m.b < 52 AND f.b / 59.0 BETWEEN 0.05 AND 0.60 AND m.b / 59.0 BETWEEN 0.18 AND 0.88),
  ml AS (SELECT t.curve, list_avg(ys[i + 1 : j]) AS mid FROM (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY curve ORDER BY cost, i, j) = 1) t JOIN li USING (curve))
  SELECT li.curve, round(CASE WHEN md IS NULL OR (mid IS NOT NULL AND hi - lo > 4 AND abs(mid - md) > 14) THEN mid ELSE md END, 4) AS y_px, CASE WHEN md IS NULL AND mid IS NULL THEN NULL WHEN md IS NULL OR (mid IS NOT NULL AND hi - lo > 4 AND abs(mid - md) > 14) THEN 'middle' ELSE 'window' END AS source FROM li LEFT JOIN pk USING (curve) LEFT JOIN ml USING (curve)"""
+
+_FIT = "(s.y0 * pow((1 + s.x0 / {p}) / (1 + s.xs[n] / {p}), {m}))"
+_D_M = "(" + _FIT.format(p="s.phi", m="s.m") + " * ln((1 + s.x0 / s.phi) / (1 + s.xs[n] / s.phi)))"
+_D_PHI = "(" + _FIT.format(p="s.phi", m="s.m") + " * s.m * (s.xs[n] / (s.phi * s.phi) / (1 + s.xs[n] / s.phi) - s.x0 / (s.phi * s.phi) / (1 + s.x0 / s.phi)))"
+
+
+def _total(expr: str) -> str:
+    return f"list_sum(list_transform(range(1, len(s.xs) + 1), lambda n: {expr}))"
+
+
+#: Charge and energy to 400 V with the depletion law fitted by damped Gauss-Newton steps, ceiling 300.
+COSS = f"""WITH RECURSIVE {CLEAN}, o AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY curve) AS n, y >= 300 * 0.98 AS over_, min(x) OVER (PARTITION BY curve) AS first_x, max(x) OVER (PARTITION BY curve) AS last_x FROM cl WINDOW w AS (PARTITION BY curve ORDER BY x)),
+ c1 AS (SELECT curve, max(n) AS n, min(i) FILTER (NOT over_) AS k FROM o GROUP BY 1), c2 AS (SELECT curve, CASE WHEN k > 0 AND k < n - 2 THEN k ELSE 0 END AS clear FROM c1),
+ f AS (SELECT o.curve, x, y, i - clear AS i, n - clear AS n, clear FROM o JOIN c2 USING (curve) WHERE i >= clear), e1 AS (SELECT curve, max(x) FILTER (i = 0) AS x0, max(y) FILTER (i = 0) AS y0, max(x) FILTER (i = least(n - 1, 6)) AS x6 FROM f GROUP BY 1),
+ e2 AS (SELECT f.*, x0, y0, x <= CASE WHEN x0 > 0 THEN greatest(x0 * 10, x6) ELSE x6 END AS low FROM f JOIN e1 USING (curve)), e3 AS (SELECT *, count(*) FILTER (low) OVER (PARTITION BY curve) AS nl FROM e2),
+ l AS (SELECT curve, x0, y0, list(x ORDER BY x) AS xs, list(y ORDER BY x) AS ys FROM e3 WHERE low OR (nl < 3 AND i < 6) GROUP BY 1, 2, 3),
+ gn(curve, x0, y0, xs, ys, k, phi, m, lam, best, done) AS (SELECT curve, x0, y0, xs, ys, 0, 1.0::DOUBLE, 0.5::DOUBLE, 1e-3::DOUBLE, list_sum(list_transform(range(1, len(xs) + 1), lambda n: pow(y0 * pow((1 + x0) / (1 + xs[n]), 0.5) - ys[n], 2))), len(xs) < 3 FROM l
+  UNION ALL SELECT curve, x0, y0, xs, ys, k + 1, CASE WHEN e < best THEN p2 ELSE phi END, CASE WHEN e < best THEN m2 ELSE m END, CASE WHEN e < best THEN lam / 3 ELSE lam * 4 END, CASE WHEN e < best THEN e ELSE best END, CASE WHEN e < best THEN best - e <= 1e-14 * best ELSE lam * 4 > 1e12 END
+  FROM (SELECT s.*, {_total("pow(" + _FIT.format(p="s.p2", m="s.m2") + " - s.ys[n], 2)")} AS e
+   FROM (SELECT t.*, greatest(0.3, least(3.0, phi + (b * g1 - h * g2) / (a * b - h * h))) AS p2, greatest(0.3, least(0.6, m + (a * g2 - h * g1) / (a * b - h * h))) AS m2
+    FROM (SELECT s.*, {_total(f"{_D_PHI} * {_D_PHI}")} * (1 + s.lam) + s.lam * 1e-12 AS a, {_total(f"{_D_M} * {_D_M}")} * (1 + s.lam) + s.lam * 1e-12 AS b, {_total(f"{_D_PHI} * {_D_M}")} AS h, {_total(f"{_D_PHI} * (s.ys[n] - " + _FIT.format(p="s.phi", m="s.m") + ")")} AS g1, {_total(f"{_D_M} * (s.ys[n] - " + _FIT.format(p="s.phi", m="s.m") + ")")} AS g2 FROM gn s WHERE NOT s.done AND s.k < 200) t) s) z),
+ ft AS (SELECT curve, arg_max(phi, k) AS phi, arg_max(m, k) AS m FROM gn GROUP BY 1),
+ gr AS (SELECT curve, j, 400.0 * j / 3999 AS g FROM c2 CROSS JOIN (SELECT unnest(range(0, 4000)) AS j)),
+ sa AS (SELECT curve, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM o WINDOW w AS (PARTITION BY curve ORDER BY x)),
+ en AS (SELECT curve, arg_min(y, x) AS y_first FROM o GROUP BY 1),
+ iv AS (SELECT gr.curve, j, g, CASE WHEN sa.x IS NULL THEN y_first WHEN nx IS NULL THEN y ELSE y + (ny - y) * (g - sa.x) / (nx - sa.x) END AS drawn FROM gr JOIN en USING (curve) ASOF LEFT JOIN sa ON sa.curve = gr.curve AND gr.g >= sa.x),
+ cv AS (SELECT iv.curve, j, g, clear, CASE WHEN g >= x0 THEN drawn WHEN clear > 0 THEN greatest(y0 * pow(1 + x0 / phi, m) / pow(1 + g / phi, m), drawn) ELSE y0 * pow(1 + x0 / phi, m) / pow(1 + g / phi, m) END AS c FROM iv JOIN e1 USING (curve) JOIN ft USING (curve) JOIN c2 USING (curve)),
+ dq AS (SELECT curve, clear, (g + lag(g) OVER w) / 2 AS mid, (c + lag(c) OVER w) / 2 * (g - lag(g) OVER w) AS q, (c * g + lag(c) OVER w * lag(g) OVER w) / 2 * (g - lag(g) OVER w) AS e FROM cv WINDOW w AS (PARTITION BY curve ORDER BY j)),
+ sm AS (SELECT d.curve, max(clear) > 0 AS clipped, sum(q) AS q, sum(e) AS e, coalesce(sum(q) FILTER (mid < first_x), 0) AS below, coalesce(sum(q) FILTER (mid >= first_x AND mid <= last_x), 0) AS chart, coalesce(sum(q) FILTER (mid > last_x), 0) AS above FROM dq d JOIN (SELECT DISTINCT curve, first_x, last_x FROM o) USING (curve) GROUP BY 1)
+ SELECT curve, round(q, 4) AS qoss, round(e, 4) AS eoss, round(q / 400, 4) AS co_tr, round(2 * e / 160000, 4) AS co_er, round(below, 4) AS q_below, round(chart, 4) AS q_chart, round(above, 4) AS q_above, round(phi, 3) AS phi, round(m, 3) AS m, round(CASE WHEN q > 0 THEN below / q ELSE 0 END, 4) AS extrapolated_fraction, clipped FROM sm JOIN ft USING (curve)"""
