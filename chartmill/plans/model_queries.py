@@ -191,7 +191,7 @@ QUERIES = {
     "model_plateau": (lambda s, d: _round(D.plateau(*_gate_charge(s, d))), stepwise_sql.PLATEAU.format(points=_GATE_CHARGE)),
     "model_chain_segments": (lambda s, d: D.chain_segments(_segments(s, d)), stepwise_sql.CHAINS),
     "layout_pages": (lambda s, d: _pages(s, d).select("id", "doc", "page", "role", "mode", F.array_join("tokens", " ").alias("tokens"), G.fingerprint(F.col("tokens")).alias("fingerprint")), f"WITH {_PG} SELECT id, doc, page, role, mode, array_to_string(tokens, ' ') AS tokens, substr(sha256(array_to_string(list_sort(list_distinct(tokens)), chr(10))), 1, 20) AS fingerprint FROM pp"),
-    "layout_clusters": (_clusters, None),
+    "layout_clusters": (_clusters, stepwise_sql.CLUSTERS.format(pages=_PG)),
     "layout_documents": (lambda s, d: D.document_signatures(_pages(s, d).withColumn("layout", F.concat_ws("-", "role", "mode"))), f"""WITH {_PG}, z AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY doc) AS n FROM pp),
  t AS (SELECT doc, concat('pages:', CASE WHEN n <= 4 THEN '1-4' WHEN n <= 8 THEN '5-8' WHEN n <= 12 THEN '9-12' WHEN n <= 16 THEN '13-16' WHEN n <= 24 THEN '17-24' ELSE '25+' END) AS t FROM z UNION SELECT doc, concat_ws(':', 'page-role', CAST(least(4, i * 5 // greatest(n, 1)) AS BIGINT), role, mode) FROM z UNION SELECT doc, concat('layout:', role, '-', mode) FROM z WHERE role <> 'other'
  UNION SELECT doc, concat('role-count:', role, ':', {_BIN.format('count(*)')}) FROM z GROUP BY doc, role UNION SELECT doc, concat('mode-count:', mode, ':', {_BIN.format('count(*)')}) FROM z GROUP BY doc, mode), g AS (SELECT doc, string_agg(t, chr(10) ORDER BY t) AS tokens FROM t GROUP BY 1) SELECT doc, n_pages, tokens, substr(sha256(tokens), 1, 20) AS fingerprint FROM g JOIN (SELECT doc, count(*) AS n_pages FROM pp GROUP BY 1) USING (doc)"""),

@@ -133,3 +133,21 @@ COSS = f"""WITH RECURSIVE {CLEAN}, o AS (SELECT *, row_number() OVER w - 1 AS i,
  dq AS (SELECT curve, clear, (g + lag(g) OVER w) / 2 AS mid, (c + lag(c) OVER w) / 2 * (g - lag(g) OVER w) AS q, (c * g + lag(c) OVER w * lag(g) OVER w) / 2 * (g - lag(g) OVER w) AS e FROM cv WINDOW w AS (PARTITION BY curve ORDER BY j)),
  sm AS (SELECT d.curve, max(clear) > 0 AS clipped, sum(q) AS q, sum(e) AS e, coalesce(sum(q) FILTER (mid < first_x), 0) AS below, coalesce(sum(q) FILTER (mid >= first_x AND mid <= last_x), 0) AS chart, coalesce(sum(q) FILTER (mid > last_x), 0) AS above FROM dq d JOIN (SELECT DISTINCT curve, first_x, last_x FROM o) USING (curve) GROUP BY 1)
  SELECT curve, round(q, 4) AS qoss, round(e, 4) AS eoss, round(q / 400, 4) AS co_tr, round(2 * e / 160000, 4) AS co_er, round(below, 4) AS q_below, round(chart, 4) AS q_chart, round(above, 4) AS q_above, round(phi, 3) AS phi, round(m, 3) AS m, round(CASE WHEN q > 0 THEN below / q ELSE 0 END, 4) AS extrapolated_fraction, clipped FROM sm JOIN ft USING (curve)"""
+
+
+def _alike(a: str, b: str) -> str:
+    return f"(CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b})) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE) END)"
+
+
+#: {pages}: CTEs ending in pp (id, role, mode, tokens).
+CLUSTERS = f"""WITH RECURSIVE {{pages}}, fp AS (SELECT concat_ws('|', role, mode) AS coarse, id, tokens, substr(sha256(array_to_string(list_sort(list_distinct(tokens)), chr(10))), 1, 20) AS f FROM pp),
+ d AS (SELECT coarse, f, list_distinct(arg_min(tokens, id)) AS t, count(*) AS n, min(id) AS low, max(id) AS high FROM fp GROUP BY 1, 2), o AS (SELECT *, {{{{'f': f, 't': t, 'n': n, 'low': low, 'high': high}}}} AS g, row_number() OVER (PARTITION BY coarse ORDER BY n DESC, low) AS k FROM d),
+ s(coarse, k, cl) AS (SELECT coarse, k, [{{{{'g': [g], 't': t, 'id': CASE WHEN n <= 2 THEN low ELSE high END}}}}] FROM o WHERE k = 1
+  UNION ALL SELECT coarse, k, CASE WHEN place <= len(cl) THEN list_concat(list_append(cl[1 : place - 1], made), cl[place + 1 : len(cl)]) ELSE list_append(cl, made) END
+  FROM (SELECT *, CASE WHEN list_sum(list_transform(ng, lambda a: a.n)) <= 2 THEN {{{{'g': ng, 't': list_min(list_transform(ng, lambda a: {{{{'low': a.low, 't': a.t}}}})).t, 'id': list_min(list_transform(ng, lambda a: a.low))}}}} ELSE {{{{'g': ng, 't': top.t, 'id': top.h}}}} END AS made
+   FROM (SELECT *, list_max(list_transform(ng, lambda a: {{{{'s': list_sum(list_transform(ng, lambda b: b.n * {_alike('a.t', 'b.t')})), 'l': -len(a.t), 'h': a.high, 't': a.t}}}})) AS top
+    FROM (SELECT *, CASE WHEN place <= len(cl) THEN list_append(cl[place].g, g) ELSE [g] END AS ng
+     FROM (SELECT *, CASE WHEN list_max(sims) >= 0.72 THEN list_max(list_transform(range(1, len(sims) + 1), lambda i: CASE WHEN sims[i] = list_max(sims) THEN i END)) ELSE len(cl) + 1 END AS place
+      FROM (SELECT o.coarse, o.k, o.g, s.cl, list_transform(s.cl, lambda c: {_alike('c.t', 'o.t')}) AS sims FROM s JOIN o ON o.coarse = s.coarse AND o.k = s.k + 1) q1) q2) q3) q4) q5),
+ z AS (SELECT coarse, unnest(arg_max(cl, k)) AS c FROM s GROUP BY 1), r AS (SELECT coarse, c, row_number() OVER (PARTITION BY coarse ORDER BY list_sum(list_transform(c.g, lambda a: a.n)) DESC, c.id) AS cluster FROM z), u AS (SELECT coarse, cluster, c.id AS medoid, unnest(c.g).f AS f FROM r)
+ SELECT fp.id, coarse, cluster, medoid FROM fp JOIN u USING (coarse, f)"""
