@@ -40,7 +40,7 @@ PRIOR_WORDS = 20
 CORE, FACTOR = 0.75, 1.485
 #: Bins for a factor of two in the squared distance, factors of two to either side of 1, share of the pooled variance added, the fall
 #: of a log determinant that counts, and C-steps after which it is an error (a handful are usual).
-BINS, SPAN, RIDGE, FALL, MOST_STEPS = 128, 40, 1e-6, 1e-4, 200
+BINS, SPAN, RIDGE, FALL, MOST_STEPS = 128, 40, 1e-6, 1e-3, 200
 #: Squared Mahalanobis distance beyond which a row is rejected: chi-square with 4 degrees of freedom at 1 - 1e-6.
 CUTOFF = 33.4
 MIN_GROUP = 30
@@ -163,8 +163,8 @@ def _starts(rows: DataFrame, ridge: list[float], small: bool) -> DataFrame:
         # a little below the correlation, so that the matrix is definite
         return 0.99 * scale * F.col(f"{v}_{i}_{j}") / F.sqrt(F.greatest(F.col(f"{v}_{i}_{i}") * F.col(f"{v}_{j}_{j}"), F.lit(1e-12)))
 
-    starts = [found.select("grp", F.lit(k).alias("start"), *_MEANS, *[scatter(k, i, j).alias(f"s_{i}_{j}") for i, j in _PAIRS]) for k in range(3)]
-    return _rounded(starts[0].unionByName(starts[1]).unionByName(starts[2]))
+    starts = F.array(*[F.struct(F.lit(k).alias("start"), *_MEANS, *[scatter(k, i, j).alias(f"s_{i}_{j}") for i, j in _PAIRS]) for k in range(3)])
+    return _rounded(found.select("grp", F.explode(starts).alias("f")).select("grp", "f.*"))
 
 
 def _c_step(rows: DataFrame, fit: DataFrame, ridge: list[float], small: bool) -> DataFrame:
@@ -196,10 +196,10 @@ def minimum_determinant(rows: DataFrame, small: bool = True) -> DataFrame:
     for _ in range(MOST_STEPS):
         new = _factored(_c_step(rows, state.where("fell").select(columns), ridge, small)).select(*columns, "logdet")
         old = state.select(F.col("grp").alias("_g"), F.col("start").alias("_s"), *[F.col(c).alias(f"o_{c}") for c in [*columns[2:], "logdet"]], F.col("fell").alias("live"))
-        both = old.join(new, (F.col("grp") == F.col("_g")) & (F.col("start") == F.col("_s")), "left")
+        both = old.join(small_side(new, small), (F.col("grp") == F.col("_g")) & (F.col("start") == F.col("_s")), "left")
         lower = F.coalesce(F.col("logdet") < F.col("o_logdet"), F.lit(False))
         state = written(both.select(F.col("_g").alias("grp"), F.col("_s").alias("start"), *[F.when(lower, F.col(c)).otherwise(F.col(f"o_{c}")).alias(c) for c in [*columns[2:], "logdet"]], F.coalesce(F.col("o_logdet") - F.col("logdet") > FALL, F.lit(False)).alias("fell")), "mcd-state")
-        if not state.where("fell").limit(1).count():
+        if not state.agg(F.max("fell")).first()[0]:
             break
     else:
         raise RuntimeError(f"no convergence in {MOST_STEPS} steps")
