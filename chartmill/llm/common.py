@@ -6,6 +6,8 @@ import gc
 import re
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,18 @@ def release(spark: SparkSession, paths: list[str], reader: DataFrame | None) ->
         time.sleep(0.5)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Steps that run inside hand `rows` texts at once to Python instead of Spark's ten thousand, which can be hundreds of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def delete_written(spark: SparkSession) -> None:
     """Removes every table that written() made in this application."""
     jvm = spark.sparkContext._jvm

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import small_batches, small_side, written
 from .components import components
 from .ngrams import mixed
 from .shingles import set_key, sets
@@ -139,7 +139,7 @@ def _given_out(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     nodes.append(node)
                     counts.append(len(keys))
                     total += len(keys)
-                if total > 500_000:
+                if total > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), counts))], ["sig", "node"])
                     sigs, nodes, counts, total = [], [], [], 0
             if total:
@@ -367,11 +367,13 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (doc_id, node, n by row; node, label of linked nodes)."""
     spark: SparkSession = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    nodes = written(_nodes(d), "parity-nodes")
+    with small_batches(spark):
+        nodes = written(_nodes(d), "parity-nodes")
     words = nodes.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(words * 0.6 / PART_ROWS) + 1)
-    given = _given_out(d, _frequent(d)).repartition(tasks, "sig").sortWithinPartitions("sig", "node")
-    stars = written(given.mapInArrow(_stars, "sig long, center long, node long"), "parity-stars")
+    with small_batches(spark, 3000):  # rows of parts go to Python in these batches too
+        given = _given_out(d, _frequent(d)).repartition(tasks, "sig").sortWithinPartitions("sig", "node")
+        stars = written(given.mapInArrow(_stars, "sig long, center long, node long"), "parity-stars")
     info = written(nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "parity-info")
     groups = written(_distinct_groups(stars.select("sig", "node").unionByName(stars.select("sig", F.col("center").alias("node")).distinct())), "parity-groups")
     repeated = bool(nodes.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())

@@ -14,7 +14,7 @@ from .ngrams import mixed
 
 WIDTH = 5
 #: Bytes of normalised text hashed at once (a longer text alone).
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = np.random.Generator(np.random.Philox(key=20)).integers(1, 1 << 63, 256, dtype=np.uint64)
