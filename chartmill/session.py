@@ -7,11 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | None = None, app: str = "chartmill") -> SparkSession:
-    """A local session for tests and the bench; clusters bring their own."""
+def local_session(cpus: int | None = None, app: str = "chartmill", scratch: str | None = None) -> SparkSession:
+    """A local session for tests and the bench, with its scratch folder; clusters bring their own."""
     n = cpus or os.cpu_count() or 4
+    builder = SparkSession.builder
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return (
-        SparkSession.builder.master(f"local[{n}]")
+        builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(max(8, n)))
         .config("spark.sql.adaptive.enabled", "true")

@@ -10,8 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark(tmp_path_factory):
     from chartmill.session import local_session
 
-    s = local_session(4, "tests")
-    s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    s = local_session(4, "tests", str(tmp_path_factory.mktemp("shared")))
     s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
     yield s
