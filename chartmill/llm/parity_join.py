@@ -353,14 +353,17 @@ def _round_pairs(groups: DataFrame, labels: DataFrame | None, info: DataFrame, k
 
 
 def _last_pairs(groups: DataFrame, labels: DataFrame | None, info: DataFrame) -> DataFrame:
-    """a, b: all pairs of different components that share a group and that size and sketch allow, each once."""
+    """a, b: all pairs of different components that share a group and that size and sketch allow, each once.
+
+    A long text's row holds kilobytes of sketch and of group keys, so Python gets few rows at once."""
     columns = ["key", "sig", "node", "label", "n", "bits", "block", "own"]
-    rows = _labelled(groups, labels).join(info, "node")
-    live = written(_dealt(rows, MOST_MEMBERS).select(columns).mapInArrow(_live, "sig long").distinct(), "parity-live")
-    left = written(groups.join(live, "sig", "left_semi"), "parity-left")
-    lists = left.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # at most the parts that a node gives out
-    rows = _labelled(left, labels).join(info.join(lists, "node"), "node")
-    return written(_dealt(rows, MOST_MEMBERS).select(*columns, "sigs").mapInArrow(_rest, "a long, b long"), "parity-rest")
+    with small_batches(groups.sparkSession, 500):
+        rows = _labelled(groups, labels).join(info, "node")
+        live = written(_dealt(rows, MOST_MEMBERS).select(columns).mapInArrow(_live, "sig long").distinct(), "parity-live")
+        left = written(groups.join(live, "sig", "left_semi"), "parity-left")
+        lists = left.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))  # at most the parts that a node gives out
+        rows = _labelled(left, labels).join(info.join(lists, "node"), "node")
+        return written(_dealt(rows, MOST_MEMBERS).select(*columns, "sigs").mapInArrow(_rest, "a long, b long"), "parity-rest")
 
 
 def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
