@@ -225,7 +225,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, repeated: bool)
     """Of plausible pairs (a, b), those whose sets overlap enough: the sets of their nodes are made again and counted."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("x")).select("node", "x.doc_id", "x.text_key").join(wanted, "node", "left_semi")
-    known = written(_read_again(docs, written(ids, "parity-ids")), "parity-sets")
+    ids = written(ids, "parity-ids")
+    with small_batches(docs.sparkSession):
+        known = written(_read_again(docs, ids), "parity-sets")
     if repeated:  # some rows are identical
         known = known.dropDuplicates(["node"])
     a, b = known.toDF("a", "na", "sa"), known.toDF("b", "nb", "sb")
@@ -382,7 +384,8 @@ def similar_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated = bool(nodes.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count())
     labels = None
     for k in range(ROUNDS):
-        pairs = written(_round_pairs(groups, labels, info, k), "parity-pairs")
+        with small_batches(spark):
+            pairs = written(_round_pairs(groups, labels, info, k), "parity-pairs")
         if pairs.limit(1).count():
             labels = components(_linked(pairs, d, nodes, repeated), labels)
         groups = written(_open(groups, labels), "parity-open")
