@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grouped import per_key
+
 
 def by_axis() -> Window:
     return Window.partitionBy("axis")
@@ -81,28 +86,39 @@ def tick_columns(labels: DataFrame, gap: float) -> DataFrame:
 
 
 def maximal_linear_runs(ticks: DataFrame, least: int = 3, floor: float = 0.35, share: float = 0.08) -> DataFrame:
-    """Maximal runs of consecutive ticks that are strictly monotone and linear within max(floor, share of the median step).
-
-    All (start, stop) pairs are judged by prefix sums; runs inside another accepted run are dropped."""
-    w = by_axis().orderBy("pixel", "value")
-    up = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = ticks.withColumn("i", F.row_number().over(w)).withColumn("_dv", F.col("value") - F.lag("value").over(w))
-    t = t.withColumn("_rise", F.sum(F.when(F.col("_dv") > 0, 1).otherwise(0)).over(up)).withColumn("_fall", F.sum(F.when(F.col("_dv") < 0, 1).otherwise(0)).over(up))
-    p = t.select("axis", "i", "value", "_rise", "_fall", *[F.sum(e).over(up).alias(k) for k, e in (("sx", F.col("pixel")), ("sy", F.col("value")), ("sxx", F.col("pixel") * F.col("pixel")), ("sxy", F.col("pixel") * F.col("value")), ("syy", F.col("value") * F.col("value")))], "pixel")
-    lo, hi = (p.select("axis", *[F.col(c).alias(f"{s}_{c}") for c in p.columns if c != "axis"]) for s in ("a", "b"))
-    r = lo.join(hi, "axis").where(f"b_i - a_i + 1 >= {least}")
-    n = F.col("b_i") - F.col("a_i") + 1
-    steps = F.col("b_i") - F.col("a_i")
-    mono = (F.col("b__rise") - F.col("a__rise") == steps) | (F.col("b__fall") - F.col("a__fall") == steps)
-    own = {"sx": F.col("a_pixel"), "sy": F.col("a_value"), "sxx": F.col("a_pixel") * F.col("a_pixel"), "sxy": F.col("a_pixel") * F.col("a_value"), "syy": F.col("a_value") * F.col("a_value")}
-    d = {k: F.col(f"b_{k}") - F.col(f"a_{k}") + own[k] for k in own}
-    over = lambda a, b: F.try_divide(a, b)
-    xx, xy, yy = d["sxx"] - over(d["sx"] * d["sx"], n), d["sxy"] - over(d["sx"] * d["sy"], n), d["syy"] - over(d["sy"] * d["sy"], n)
-    rms = F.sqrt(F.greatest(yy - F.when(xx > 1e-12, over(xy * xy, xx)).otherwise(0.0), F.lit(0.0)) / F.greatest(n, F.lit(1)))
-    step = F.try_divide(F.abs(F.col("b_value") - F.col("a_value")), steps)
-    ok = r.where(mono).withColumn("rms", rms).where(F.col("rms") <= F.greatest(F.lit(floor), share * step)).select("axis", F.col("a_i").alias("start"), F.col("b_i").alias("stop"), "rms")
-    inner = ok.alias("r").join(ok.select("axis", F.col("start").alias("s2"), F.col("stop").alias("e2")).alias("o"), (F.col("r.axis") == F.col("o.axis")) & (F.col("s2") <= F.col("start")) & (F.col("e2") >= F.col("stop")) & ((F.col("s2") < F.col("start")) | (F.col("e2") > F.col("stop"))), "left_anti")
-    return inner.select("axis", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), "rms")
+    """Maximal runs of consecutive ticks that are strictly monotone and linear within max(floor, share of the mean step).
+
+    An axis is read once, in order: from each tick a run grows while it is monotone, with running moments about its own mean, so
+    that ticks far from pixel 0 lose no digits. Runs inside another accepted run are dropped."""
+    kind = ticks.schema["axis"].dataType.simpleString()
+
+    def run(axis, c: dict[str, np.ndarray]) -> list[tuple]:
+        x, y = c["pixel"].tolist(), c["value"].tolist()
+        n, reach, out = len(y), -1, []
+        sign = [0, *[(v > u) - (v < u) for u, v in zip(y, y[1:], strict=False)]]
+        end = list(range(n))
+        for i in range(n - 2, -1, -1):
+            if sign[i + 1]:
+                end[i] = end[i + 1] if i + 2 < n and sign[i + 2] == sign[i + 1] else i + 1
+        for i in range(n):
+            if end[i] <= reach:
+                continue
+            mx, my, xx, xy, yy = x[i], y[i], 0.0, 0.0, 0.0
+            best = (i, 0.0) if least <= 1 and mx == mx and my == my else None
+            for j in range(i + 1, end[i] + 1):
+                k, dx, dy = j - i + 1, x[j] - mx, y[j] - my
+                mx, my = mx + dx / k, my + dy / k
+                xx, xy, yy = xx + dx * (x[j] - mx), xy + dx * (y[j] - my), yy + dy * (y[j] - my)
+                rms = math.sqrt(max(yy - (xy * xy / xx if xx > 1e-12 else 0.0), 0.0) / k)
+                if k >= least and rms <= max(floor, share * abs(y[j] - y[i]) / (j - i)):
+                    best = (j, rms)
+            if best and best[0] > reach:
+                out.append((axis, i + 1, best[0] + 1, best[1]))
+                reach = best[0]
+        return out
+
+    used = ticks.select("axis", F.col("pixel").cast("double").alias("pixel"), F.col("value").cast("double").alias("value"))
+    return per_key(used, "axis", ["pixel", "value"], run, f"axis {kind}, start bigint, stop bigint, rms double", ("pixel", "value"))
 
 
 def consensus_fit(ticks: DataFrame, inlier: float = 0.35) -> DataFrame:
