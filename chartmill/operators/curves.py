@@ -196,10 +196,10 @@ def coarse_monotone(points: DataFrame, bins: int = 24) -> DataFrame:
 
 
 def three_segments(points: DataFrame, least: int = 2) -> DataFrame:
-    """The split of a curve into three lines with least squared error, over all split pairs; sums of prefixes make each pair O(1).
+    """The split of a curve into three lines with least squared error, over all split pairs; moments that grow point by point make each pair O(1).
 
-    Curves of any length are fitted: a curve's pairs are scanned by the first split, in memory linear in its points
-    and time that grows with their square. Curves of fewer than 3 * least points give no row."""
+    The moments are about each segment's own mean, so a segment of points close together keeps its digits. Curves of any length
+    are fitted: a curve's pairs are scanned by the second split, in memory linear in its points and time that grows with their square. Curves of fewer than 3 * least points give no row."""
     kind = points.schema["curve"].dataType.simpleString()
 
     def run(pdf):
@@ -208,22 +208,36 @@ def three_segments(points: DataFrame, least: int = 2) -> DataFrame:
         if n < 3 * least:
             return pd.DataFrame({"curve": [], "n_points": [], "first_split": [], "second_split": [], "sse": []})
         x, y = (p[k].to_numpy(float) - p[k].mean() for k in "xy")
-        sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (np.ones(n), x, y, x * x, x * y, y * y)]
 
-        def sse(lo, hi):
-            k, sx, sy, sxx, sxy, syy = (v[hi] - v[lo] for v in sums)
-            xx, xy, yy = sxx - sx * sx / k, sxy - sx * sy / k, syy - sy * sy / k
-            return np.maximum(yy - np.where(xx > 1e-12, xy * xy / np.where(xx > 1e-12, xx, 1.0), 0.0), 0.0)
+        def add(m, k, px, py):
+            dx, dy = px - m[0], py - m[1]
+            m[0] += dx / k
+            m[1] += dy / k
+            ex, ey = px - m[0], py - m[1]
+            m[2] += dx * ex
+            m[3] += dx * ey
+            m[4] += dy * ey
+
+        def sse(m):
+            flat = m[2] <= 1e-12
+            return np.maximum(m[4] - np.where(flat, 0.0, m[3] * m[3] / np.where(flat, 1.0, m[2])), 0.0)
 
         best = None
-        last = sse(np.arange(2 * least, n - least + 1), n)
-        for i in range(least, n - 2 * least + 1):
-            j = np.arange(i + least, n - least + 1)
-            total = sse(0, i) + sse(i, j) + last[i - least :]
-            near = np.round(total, 6)
-            at = int(near.argmin())
-            if best is None or near[at] < best[0]:
-                best = (near[at], i, int(j[at]), float(total[at]))
+        first, last, tail, made = np.zeros(n + 1), np.zeros(n + 1), np.zeros((5, 1)), np.zeros((5, n))
+        for j in range(n - 1, -1, -1):
+            add(tail, n - j, x[j], y[j])
+            last[j] = sse(tail)[0]
+        counts = np.arange(n, 0, -1)
+        for j in range(1, n - least + 1):  # made: moments of the points from each start up to j
+            add(made[:, :j], counts[n - j :], x[j - 1], y[j - 1])
+            first[j] = sse(made[:, :1])[0]
+            if j >= 2 * least:
+                i = slice(least, j - least + 1)
+                total = first[i] + sse(made[:, i]) + last[j]
+                near = np.round(total, 6)
+                at = int(near.argmin())
+                if best is None or (near[at], least + at, j) < best[:3]:
+                    best = (near[at], least + at, j, float(total[at]))
         return pd.DataFrame({"curve": [p["curve"].iloc[0]], "n_points": [n], "first_split": [best[1]], "second_split": [best[2]], "sse": [best[3]]})
 
     used = points.where(finite(F.col("x")) & finite(F.col("y"))).select("curve", F.col("x").cast("double"), F.col("y").cast("double"))
