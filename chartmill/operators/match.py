@@ -91,14 +91,36 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def similar_pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """rows (key, id, tokens): pairs within a key that share a token and are `least` alike; shared tokens are counted by a join on them."""
-    size = rows.select(key, "id", F.size(F.array_distinct("tokens")).alias("n"))
-    t = rows.select(key, "id", F.explode(F.array_distinct("tokens")).alias("token"))
-    both = t.toDF(key, "a", "token").join(t.toDF(key, "b", "token"), [key, "token"]).where("a < b").groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("common"))
-    j = both.join(size.toDF(key, "a", "na"), [key, "a"]).join(size.toDF(key, "b", "nb"), [key, "b"])
-    j = j.withColumn("similarity", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
-    return j.where(F.col("similarity") >= least).select(key, "a", "b", "similarity")
+def tasks(rows: DataFrame) -> int:
+    """Tasks for steps that compute much from few bytes, which adaptive execution would put into one."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(left: DataFrame, right: DataFrame, key: str, parts: int = 16) -> DataFrame:
+    """left x right within a key, for small rows: a key's pairs are dealt to `parts` places. right's columns, the key apart, are named otherwise."""
+    a = left.withColumn("_part", F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(parts)))
+    b = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    n = tasks(left)
+    return a.repartition(n, key, "_part").join(b.repartition(n, key, "_part"), [key, "_part"]).drop("_part")
+
+
+def similar_pairs(rows: DataFrame, key: str, least: float, block: int = 1000) -> DataFrame:
+    """rows (key, id, tokens): pairs within a key that share a token and are `least` alike.
+
+    Sets are compared once each, however many rows hold them; the rows of two alike sets, in blocks of ids, are then paired."""
+    held = rows.select(key, "id", F.array_sort(F.array_distinct("tokens")).alias("t")).where("id IS NOT NULL AND size(array_compact(t)) > 0")
+    held = held.withColumn("_b", F.floor((F.row_number().over(Window.partitionBy(key, "t").orderBy("id")) - 1) / block))
+    sets = held.groupBy(key, "t", "_b").agg(F.collect_list("id").alias("ids"))
+    one = sets.select(key, "t").distinct()
+    common = F.size(F.array_intersect(F.array_compact("ta"), F.array_compact("tb")))
+    near = dealt(one.withColumnRenamed("t", "ta"), one.withColumnRenamed("t", "tb"), key).where("ta <= tb").withColumn("_n", common).where("_n > 0")
+    near = near.withColumn("similarity", F.col("_n") / (F.size("ta") + F.size("tb") - F.col("_n"))).where(F.col("similarity") >= least).select(key, "ta", "tb", "similarity")
+    a, b = sets.toDF(key, "ta", "_ba", "x"), sets.toDF(key, "tb", "_bb", "ys")
+    pairs = near.join(a, [key, "ta"]).join(b, [key, "tb"]).where("ta < tb OR _ba <= _bb").repartition(tasks(rows))
+    inside = (F.col("ta") == F.col("tb")) & (F.col("_ba") == F.col("_bb"))
+    each = pairs.select(key, "similarity", inside.alias("_in"), "ys", F.explode("x").alias("x")).select(key, "similarity", "_in", "x", F.explode("ys").alias("y"))
+    each = each.where("x < y OR (NOT _in AND x <> y)")
+    return each.select(key, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def matched_on_rounded(left: DataFrame, right: DataFrame, decimals: int = 1) -> DataFrame:
