@@ -141,12 +141,17 @@ def fingerprint(tokens: Column) -> Column:
 
 
 def medoids(rows: DataFrame, key: str) -> DataFrame:
-    """rows (key, id, tokens): of one or two members the smallest id; else the greatest summed similarity, then fewest tokens, then greatest id."""
-    from .match import jaccard
+    """rows (key, id, tokens): of one or two members the smallest id; else the greatest summed similarity, then fewest tokens, then greatest id.
+
+    Sets are compared once each, weighed by the rows that hold them."""
+    from .match import dealt, jaccard
 
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    a, b = rows.select(key, F.col("id").alias("a"), F.col("tokens").alias("ta")), rows.select(key, F.col("tokens").alias("tb"))
-    s = a.join(b, key).groupBy(key, "a").agg(F.round(F.sum(jaccard(F.col("ta"), F.col("tb"))), 9).alias("total"), F.max(F.size("ta")).alias("size"))
+    held = rows.select(key, F.col("id").alias("a"), F.size("tokens").alias("size"), F.array_sort(F.array_distinct("tokens")).alias("t"))
+    sets = held.groupBy(key, "t").agg(F.count(F.lit(1)).alias("_n"))
+    both = dealt(sets.select(key, F.col("t").alias("ta")), sets.select(key, F.col("t").alias("tb"), "_n"), key)
+    total = both.groupBy(key, F.col("ta").alias("t")).agg(F.sum(F.col("_n") * jaccard(F.col("ta"), F.col("tb"))).alias("total"))
+    s = held.join(total, [key, "t"], "left").groupBy(key, "a").agg(F.round(F.sum("total"), 9).alias("total"), F.max("size").alias("size"))
     best = best_row(s, [key], F.desc("total"), F.asc("size"), F.desc("a")).select(key, "a")
     return n.join(best, key).select(key, "n", F.when(F.col("n") <= 2, F.col("least")).otherwise(F.col("a")).alias("medoid"))
 
