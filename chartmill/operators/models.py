@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from .grouped import per_key
 from .interpolate import interp_clamped
-from .validate import TRACES, yes
+from .validate import TRACES
 
 
 def adaptive_knots(points: DataFrame, most_error: float = 0.02, most_knots: int = 256) -> DataFrame:
@@ -88,27 +88,52 @@ def assign_traces(residuals: DataFrame, priors: DataFrame) -> DataFrame:
 def temperature_law(curves: DataFrame, anchors: DataFrame, samples: int = 120) -> DataFrame:
     """Shift of the gate voltage between two temperatures at matched currents, fitted by dV = dVth + s * (I / K)^(1/p).
 
-    curves (part, temp, i, v) with strictly increasing i in a curve; anchors (part, tref, vth, k, p, id_gc, vpl). Statuses say what is missing."""
-    tref = curves.join(anchors, "part")
-    ref = tref.where(F.abs(F.col("temp") - F.col("tref")) <= 1e-6).select("part", F.col("temp").alias("cold")).distinct()
-    hot = tref.where(F.col("temp") > F.col("tref") + 1e-6).groupBy("part").agg(F.max("temp").alias("hot"))
-    top = curves.groupBy("part", "temp").agg(F.max("i").alias("top"))
-    a = anchors.join(ref, "part", "left").join(hot, "part", "left").join(top.toDF("part", "cold", "ct"), ["part", "cold"], "left").join(top.toDF("part", "hot", "ht"), ["part", "hot"], "left")
-    a = a.withColumn("i_lo", F.greatest(F.lit(5.0), 0.10 * F.col("id_gc"))).withColumn("i_hi", F.least(2.0 * F.col("id_gc"), 0.85 * F.least("ct", "ht")))
-    pivot = F.abs(F.col("k") * F.pow(F.col("vpl") - F.col("vth"), F.col("p")) - F.col("id_gc")) / F.col("id_gc")
-    physical = yes((F.col("k") > 0) & (F.col("p") > 1) & (F.col("id_gc") > 0) & (F.col("vpl") > F.col("vth")))
-    status = F.when(F.col("cold").isNull(), "no_reference_curve").when(F.col("hot").isNull(), "no_hotter_curve").when(~physical, "nonphysical_anchor").when(pivot > 1e-6, "anchor_off_pivot").when(F.col("i_hi") <= 2 * F.col("i_lo"), "short_current_span").otherwise("ok")
-    a = a.withColumn("status", status)
-    g = a.where("status = 'ok'").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("i", F.col("i_lo") + (F.col("i_hi") - F.col("i_lo")) * F.col("j") / (samples - 1))
-    key = lambda t: F.concat_ws("@", F.col("part").cast("string"), t.cast("string"))
-    pts = curves.select(key(F.col("temp")).alias("curve"), F.col("i").alias("x"), F.col("v").alias("y"))
-    side = lambda c, n: interp_clamped(pts, g.select(key(F.col(c)).alias("curve"), F.col("i").alias("px"), "part", "j")).select("part", "j", F.col("value").alias(n))
-    m = g.join(side("cold", "vc"), ["part", "j"]).join(side("hot", "vh"), ["part", "j"]).withColumn("d", F.col("vh") - F.col("vc")).withColumn("ov", F.pow(F.col("i") / F.col("k"), 1 / F.col("p")))
-    fit = m.groupBy("part").agg(F.regr_intercept("d", "ov").alias("d_vth"), F.regr_slope("d", "ov").alias("shape"), F.sqrt(F.greatest(F.regr_syy("d", "ov") - F.regr_sxy("d", "ov") * F.regr_sxy("d", "ov") / F.nullif(F.regr_sxx("d", "ov"), F.lit(0.0)), F.lit(0.0)) / samples).alias("rms"), F.sqrt(F.avg((F.col("vth") + F.col("ov") - F.col("vc")) * (F.col("vth") + F.col("ov") - F.col("vc")))).alias("cold_rms"))
-    out = a.join(fit, "part", "left").withColumn("_dt", F.col("hot") - F.col("cold"))
-    status = F.when(F.col("status") != "ok", F.col("status")).when(1 + F.col("shape") <= 0, "nonpositive_scale").when(F.col("rms") > 0.1, "law_misses_shifts").otherwise("ok")
-    ok = status == "ok"
-    return out.select("part", status.alias("status"), F.when(ok, F.col("d_vth") / F.col("_dt")).alias("d_vth_per_k"), F.when(ok, -F.col("p") * F.log(F.when(1 + F.col("shape") > 0, 1 + F.col("shape"))) / F.col("_dt")).alias("d_log_k_per_k"), "rms", "cold_rms", F.when(ok & (-F.col("d_vth") / F.nullif("shape", F.lit(0.0)) > 0), F.col("k") * F.pow(F.greatest(-F.col("d_vth") / F.nullif("shape", F.lit(0.0)), F.lit(0.0)), F.col("p"))).alias("ztc_a"))
+    curves (part, temp, i, v) with strictly increasing i in a curve; anchors (part, tref, vth, k, p, id_gc, vpl). Statuses say what is missing.
+    A part's anchor and points meet in one shuffle and are fitted together; points without temp, i or v are left out."""
+    kind = anchors.schema["part"].dataType.simpleString()
+    names = ["tref", "vth", "k", "p", "id_gc", "vpl"]
+
+    def fitted(anchor: list, temp: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        tref, vth, k, p, id_gc, vpl = (np.nan if a is None else float(a) for a in anchor)
+        cold, hot = temp[np.abs(temp - tref) <= 1e-6], temp[temp > tref + 1e-6]
+        if not len(cold):
+            return ("no_reference_curve", *[None] * 5)
+        if not len(hot):
+            return ("no_hotter_curve", *[None] * 5)
+        if not (k > 0 and p > 1 and id_gc > 0 and vpl > vth):
+            return ("nonphysical_anchor", *[None] * 5)
+        if abs(k * (vpl - vth) ** p - id_gc) / id_gc > 1e-6:
+            return ("anchor_off_pivot", *[None] * 5)
+        a, b = temp == cold[0], temp == hot.max()
+        lo, hi = max(5.0, 0.10 * id_gc), min(2.0 * id_gc, 0.85 * min(x[a].max(), x[b].max()))
+        if hi <= 2 * lo:
+            return ("short_current_span", *[None] * 5)
+        at = lo + (hi - lo) * np.arange(samples) / (samples - 1)
+        vc, ov = np.interp(at, x[a], y[a]), (at / k) ** (1 / p)
+        d = np.interp(at, x[b], y[b]) - vc
+        do, dd = ov - ov.mean(), d - d.mean()
+        xx, xy, yy = float(do @ do), float(do @ dd), float(dd @ dd)
+        s = xy / xx
+        vs = float(d.mean() - s * ov.mean())
+        rms, off = float(np.sqrt(max(yy - xy * xy / xx, 0.0) / samples)), vth + ov - vc
+        cold_rms = float(np.sqrt(np.mean(off * off)))
+        if 1 + s <= 0:
+            return ("nonpositive_scale", None, None, rms, cold_rms, None)
+        if rms > 0.1:
+            return ("law_misses_shifts", None, None, rms, cold_rms, None)
+        dt = float(hot.max() - cold[0])
+        return ("ok", vs / dt, float(-p * np.log(1 + s) / dt), rms, cold_rms, k * (-vs / s) ** p if s and -vs / s > 0 else None)
+
+    def run(part, c: dict[str, np.ndarray]) -> list[tuple]:
+        own = c["anchor"]
+        n = next((i for i, a in enumerate(own) if a is None), len(own))  # anchors come first
+        return [(part, *fitted(list(a), c["temp"][n:], c["i"][n:], c["v"][n:])) for a in own[:n]]
+
+    pts = curves.where("part IS NOT NULL").select("part", *[F.col(c).cast("double").alias(c) for c in ("temp", "i", "v")], F.lit(None).cast("array<double>").alias("anchor"))
+    nothing = F.lit(None).cast("double")
+    own = anchors.select("part", *[nothing.alias(c) for c in ("temp", "i", "v")], F.array(*[F.col(c).cast("double") for c in names]).alias("anchor"))
+    rows = own.unionByName(pts.where("temp IS NOT NULL AND i IS NOT NULL AND v IS NOT NULL"))
+    return per_key(rows, "part", ["temp", "i", "v", "anchor"], run, f"part {kind}, status string, d_vth_per_k double, d_log_k_per_k double, rms double, cold_rms double, ztc_a double", ("temp", "i"))
 
 
 def cluster_layouts(pages: DataFrame, threshold: float = 0.72) -> DataFrame:
