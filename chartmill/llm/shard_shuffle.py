@@ -16,12 +16,11 @@ doc_ids are records like any others; an empty table gives no rows; extra columns
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
 #: Records in a bucket, about, and bytes of a bucket that is written with its texts.
 BUCKET_ROWS, BUCKET_BYTES = 20_000, 64_000_000
 
@@ -50,31 +49,38 @@ def two_pass_shuffle(records: DataFrame, key: list[str], seed: int = 0, bucket_r
     starts = sizes.select(F.col("_bucket").alias("_b"), (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
     order = [*key, "_copy"]
 
-    def permute(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", na_position="first")
-        rng = np.random.Generator(np.random.Philox(key=[seed, int(pdf["_bucket"].iloc[0])]))
-        pdf["_at"] = _fisher_yates(len(pdf), rng)
-        return pdf
+    def permute(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [(c, "ascending") for c in order], null_placement="at_start"))
+        rng = np.random.Generator(np.random.Philox(key=[seed, t.column("_bucket")[0].as_py()]))
+        return t.append_column("_at", pa.array(_fisher_yates(len(t), rng)))
 
     schema = dealt.withColumn("_at", F.lit(0).cast("long")).schema
-    shuffled = dealt.groupBy("_bucket").applyInPandas(permute, schema)
-    return shuffled.join(starts, F.col("_bucket") == F.col("_b")).withColumn("place", F.col("_start") + F.col("_at")).drop("_bucket", "_b", "_at", "_start", "_copy")
+    shuffled = dealt.groupBy("_bucket").applyInArrow(permute, schema)
+    # one row a bucket, so that records are not dealt again
+    return shuffled.join(F.broadcast(starts), F.col("_bucket") == F.col("_b")).withColumn("place", F.col("_start") + F.col("_at")).drop("_bucket", "_b", "_at", "_start", "_copy")
+
+
+def _bounded(docs: DataFrame, bucket_rows: int) -> tuple[int, int]:
+    """Rows of docs, and rows of a bucket such that its texts stay under BUCKET_BYTES, about."""
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64), F.lit(0))).first()
+    return n, max(1, min(bucket_rows, int(n * BUCKET_BYTES // max(size, 1))))
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, size, text_crc32, shard, slot under the law ``rows``. Only digests are shuffled."""
+    """docs (doc_id, text) -> doc_id, size, text_crc32, shard, slot under the law ``rows``.
+
+    Whole records pass both steps; sizes and checksums are those of the texts at their places."""
+    n, bucket_rows = _bounded(docs, bucket_rows)
+    placed = two_pass_shuffle(docs.select("doc_id", "text"), ["doc_id", "text"], seed, bucket_rows, n)
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    rows = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).cast("long").alias("text_crc32"))
-    placed = two_pass_shuffle(written(rows, "shard-rows"), ["doc_id", "text_crc32", "size"], seed, bucket_rows)
-    return placed.select("doc_id", "size", "text_crc32", F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
+    return placed.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).cast("long").alias("text_crc32"), F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("long").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> None:
     """The whole records as Parquet, one folder a shard, in slot order."""
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     hashed = docs.withColumn("_crc", F.crc32(data).cast("long"))
-    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(data) + 64), F.lit(0))).first()
-    bucket_rows = max(1, min(bucket_rows, int(n * BUCKET_BYTES // max(size, 1))))
+    n, bucket_rows = _bounded(docs, bucket_rows)
     placed = two_pass_shuffle(hashed, ["doc_id", "_crc"], seed, bucket_rows, n).drop("_crc")
     placed = placed.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("place") / shards).cast("long")).drop("place")
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
