@@ -74,8 +74,8 @@ OPENINGS = ["", "Copyright (c) 2019 the authors. All rights reserved. ", "See th
 BUCKETS, PASSAGE, STEP, EDGE = 1 << 13, 48, 24, 12
 #: Lines without a word end a paragraph. Possessive, so that the matcher keeps no stack.
 BREAK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
-#: Bound of the corpus sample for the unknown class, quantiles of the unknown class and of notices that the bound lies between, share of a template's bigrams that confirms.
-NEGATIVE_ROWS, QUANTILE, KEPT, COVER = 400, 0.999, 0.02, 0.6
+#: Bound of the corpus sample for the unknown class, quantiles of the unknown class and of notices that the bound lies between, share of a template's bigrams that confirms, share that keeps a line of the corpus out of the unknown class.
+NEGATIVE_ROWS, QUANTILE, KEPT, COVER, PIECE = 400, 0.999, 0.02, 0.6, 0.5
 UNKNOWN = "unknown"
 # Words of templates that any English text holds.
 COMMON = frozenset("the of to and in or is a an any this on it be by for with without may not that are can as all has his her from which either work".split())
@@ -89,6 +89,13 @@ def _bigrams(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
+def _terms(w: Column) -> Column:
+    """Hashes of the uni- and bigrams: no strings are built, and HashingTF, which turns every string into a Java one, takes integers as they are.
+
+    The outer lambda evaluates w once, wherever the optimizer puts it."""
+    return F.get(F.transform(F.array(w), lambda v: F.concat(F.transform(v, lambda x: F.hash(x)), F.transform(v, lambda x, i: F.hash(x, F.get(v, i + 1))))), 0)
+
+
 def _windows(w: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - STEP, F.lit(1)), F.lit(STEP)), lambda at: F.slice(w, at, PASSAGE))
 
@@ -101,10 +108,8 @@ def _paragraphs(docs: DataFrame) -> DataFrame:
     words = paras.select("doc_id", "text_key", "para", F.filter(F.transform(F.split("body", "\n"), words_of), lambda w: F.size(w) > 0).alias("lines"))
     whole = words.withColumn("whole", F.flatten("lines"))
     some = F.arrays_overlap("whole", F.array(*[F.lit(w) for w in _anchors()]))
-    known = F.when(some, F.array_distinct(F.filter(F.concat("whole", _bigrams(F.col("whole"))), lambda t: t.isin(_known_parts()))))
-    cover = whole.withColumn("known", known).withColumn("templates", _template_parts())
-    covers = F.when(F.size("known") > 0, F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("known"))) >= COVER * F.size(t))).otherwise(False)
-    return cover.select("doc_id", "text_key", "para", "lines", covers.alias("covers"))
+    known = whole.withColumn("known", F.when(some, _held(F.col("whole"))))
+    return known.select("doc_id", "text_key", "para", "lines", _covers(F.col("known"), COVER).alias("covers"))
 
 
 def _own(lines: Column) -> Column:
@@ -123,7 +128,7 @@ def passages(docs: DataFrame) -> DataFrame:
 
 
 def featured(rows: DataFrame) -> DataFrame:
-    terms = rows.withColumn("terms", F.concat("words", _bigrams(F.col("words"))))
+    terms = rows.withColumn("terms", _terms(F.col("words")))
     return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="terms", outputCol="features").transform(terms).drop("terms")
 
 
@@ -140,7 +145,9 @@ def training_notes(spark: SparkSession, corpus: DataFrame | None) -> DataFrame:
     # Only ids are ranked in one place; at most NEGATIVE_ROWS of them are broadcast.
     sample = corpus.where(F.col("text").isNotNull()).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
     paras = _paragraphs(sample.select("doc_id", F.lit(0).cast("long").alias("text_key"), "text"))
-    clean = paras.where(~F.col("covers")).select(F.explode(_own(F.col("lines"))).alias("w")).select("w.words")
+    clean = paras.select(F.explode(F.when(~F.col("covers"), _own(F.col("lines")))).alias("w")).select("w.words")
+    # Nor is a piece of a notice cut apart, which a whole one holds too.
+    clean = clean.where(~_covers(_held(F.col("words")), PIECE))
     clean = clean.withColumn("aside", F.pmod(F.xxhash64("words"), F.lit(4)) == 0)
     return fixed.unionByName(clean.select(F.lit(UNKNOWN).alias("family"), "words", "aside"))
 
@@ -161,10 +168,25 @@ def _known_parts() -> list[str]:
     return sorted({p for n in [n for ns in NAMES.values() for n in ns] + list(CLAUSES.values()) for p in _parts_of(n)})
 
 
-def _template_parts(family: str | None = None) -> Column:
-    """Literal array of the templates' bigrams; their number is that of the fixed values above."""
+def _hash_of(part: str) -> Column:
+    """The part among _terms; a constant when the plan is made."""
+    return F.hash(*[F.lit(w) for w in part.split()])
+
+
+def _held(w: Column) -> Column:
+    """Those of _terms that are the templates'."""
+    return F.array_distinct(F.filter(_terms(w), lambda t: t.isin([_hash_of(p) for p in _known_parts()])))
+
+
+def _covers(held: Column, share: float) -> Column:
+    """Whether they are that share of a template. Equal hashes of other words may say so too: passages are confirmed by their words."""
+    return F.get(F.transform(F.array(held), lambda v: F.when(F.size(v) > 0, F.exists(_template_parts(hashed=True), lambda t: F.size(F.array_intersect(t, v)) >= share * F.size(t))).otherwise(False)), 0)
+
+
+def _template_parts(family: str | None = None, hashed: bool = False) -> Column:
+    """Literal array of the templates' bigrams, or of their hashes; their number is that of the fixed values above."""
     notes = [n for f, ns in NAMES.items() for n in ns if family in (None, f)] + [c for f, c in CLAUSES.items() if family in (None, f)]
-    return F.array(*[F.array(*[F.lit(p) for p in _parts_of(n)]) for n in notes])
+    return F.array(*[F.array(*[_hash_of(p) if hashed else F.lit(p) for p in _parts_of(n)]) for n in notes])
 
 
 class Scanner:
