@@ -97,7 +97,8 @@ def _terms(w: Column) -> Column:
 
 
 def _windows(w: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - STEP, F.lit(1)), F.lit(STEP)), lambda at: F.slice(w, at, PASSAGE))
+    # The outer lambda evaluates w once and not once a window.
+    return F.get(F.transform(F.array(w), lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - STEP, F.lit(1)), F.lit(STEP)), lambda at: F.slice(v, at, PASSAGE))), 0)
 
 
 def _paragraphs(docs: DataFrame) -> DataFrame:
